@@ -1,6 +1,508 @@
-"""Queries over the driver's tables and their DuckDB equivalents."""
+"""Queries over the driver's tables, each with its DuckDB equivalent where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import expressions as X
+from tidemark.operators import coverage, gtid, identity, normalise, policy, retention, timetravel, undo
+from tidemark.operators import search as S
+from tidemark.plans.views import accounts, orders_baseline, orders_log, run, with_views
+from tidemark.sources import archive, baseline, dumps
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+COLS = ["event_id", "event_timestamp", "schema_name", "table_name", "event_type", "pk_values", "row_before", "row_after"]
+LISTED = ", ".join(COLS)
+AT, SNAPSHOT_TIME = "1999-06-01 00:00:00", "1998-01-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where all executors see it."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+# Small tables that stand in for a catalogue and rules; they are only ever joined to the driver's tables.
+SNAPSHOTS = """SELECT * FROM (VALUES (1,'app','accounts','amount',1,'',0),(1,'app','accounts','kind',2,'',0),(1,'app','accounts','user_id',3,'PRI',0),
+(1,'app','wallets','amount',1,'',0),(1,'app','wallets','kind',2,'',0),(1,'app','wallets','user_id',3,'PRI',0),
+(2,'app','accounts','amount',1,'',1),(2,'app','accounts','kind',2,'PRI',0),(2,'app','accounts','user_id',3,'PRI',0),
+(2,'app','wallets','amount',1,'',1),(2,'app','wallets','kind',2,'PRI',0),(2,'app','wallets','user_id',3,'PRI',0),
+(1,'shop','orders','o_orderkey',1,'PRI',0),(1,'shop','orders','price_cents',2,'',0),(1,'shop','orders','status',3,'',0))
+AS t(snapshot_id, schema_name, table_name, column_name, ordinal_position, column_key, is_generated)"""
+FLAGS = "SELECT * FROM (VALUES ('app','wallets','','billing'),('app','accounts','kind','pii')) AS t(schema_name, table_name, column_name, flag)"
+PROFILES = "SELECT * FROM (VALUES (1,'dev'),(2,'marketing')) AS t(id, name)"
+RULES = "SELECT * FROM (VALUES (1,'billing','deny'),(2,'pii','deny'),(2,'billing','allow')) AS t(profile_id, flag, permission)"
+
+
+def small(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(sql)
+
+
+def simple(name: str, where: str, **fields) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = {k: v(spark) if callable(v) else v for k, v in fields.items()}
+        return S.matching(accounts(spark, sf_dir), S.Search(**own)).select(COLS)
+
+    f.__name__ = name
+    query(f"SELECT {LISTED} FROM cl WHERE {where}")(f)
+
+
+JSON_EQ = "(COALESCE(json_extract_string(row_after, '$.kind') = '{v}', false) OR COALESCE(json_extract_string(row_before, '$.kind') = '{v}', false))"
+JSON_NULL = "(COALESCE(json_type(json_extract(row_after, '$.amount')) = 'NULL', false) OR COALESCE(json_type(json_extract(row_before, '$.amount')) = 'NULL', false))"
+CHANGED = "list_filter(['amount', 'kind', 'user_id'], lambda c: json_extract(row_before, '$.' || c) IS DISTINCT FROM json_extract(row_after, '$.' || c))"
+
+simple("search_schema_table", "schema_name = 'app' AND table_name = 'accounts'", schema="app", table="accounts")
+simple("search_pk", "pk_values = '7'", pk="7")
+simple("search_pk_in", "pk_values IN ('3', '5', '8')", pk_in=["3", "5", "8"])
+simple("search_pk_join", "pk_values IN ('3', '5', '8')", pk_in=lambda s: s.createDataFrame([("3",), ("5",), ("8",)], "pk string"))
+simple("search_event_type", "event_type = 3", event_type=3)
+simple("search_gtid", "gtid = '3e11fa47-71ca-11e1-9e33-c80aa9429562:100'", gtid="3e11fa47-71ca-11e1-9e33-c80aa9429562:100")
+simple("search_time_range", "event_timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 12:30:00'", since="2024-01-05", until="2024-01-06 12:30:00")
+simple("search_changed_column", f"event_type = 2 AND list_contains({CHANGED}, 'amount')", changed_column="amount")
+simple("search_column_eq", JSON_EQ.format(v="click"), column_eq=[("kind", "click")])
+simple("search_column_null", JSON_NULL, column_eq=[("amount", None)])
+simple("search_column_and", JSON_EQ.format(v="click") + " AND " + JSON_NULL, column_eq=[("kind", "click"), ("amount", None)])
+simple("search_unsafe_column", "false", column_eq=[("a b", "x")])
+simple("search_flag", "table_name = 'wallets'", flagged=lambda s: small(s, FLAGS).filter("flag = 'billing'"))
+simple("search_deny", "table_name <> 'wallets'", denied=lambda s: small(s, FLAGS).filter("flag = 'billing'"))
+simple("pk_hash_filter", "pk_values IN ('11', '12')", pk_hashes=lambda s: s.createDataFrame([("11",), ("12",)], "p string").select(F.sha2("p", 256)))
+
+
+@query(f"SELECT event_id, schema_name, table_name, CASE WHEN table_name = 'accounts' THEN regexp_replace(row_before, '\"kind\":\"[^\"]*\"', '\"kind\":null') ELSE row_before END AS row_before, CASE WHEN table_name = 'accounts' THEN regexp_replace(row_after, '\"kind\":\"[^\"]*\"', '\"kind\":null') ELSE row_after END AS row_after FROM cl")
+def redact_columns(spark, sf_dir):
+    denied = policy.profile_rules(small(spark, RULES), small(spark, PROFILES), small(spark, FLAGS), "marketing")
+    return policy.apply_policy(accounts(spark, sf_dir), denied).select("event_id", "schema_name", "table_name", "row_before", "row_after")
+
+
+@query("SELECT schema_name, table_name, count(*) AS events FROM cl WHERE table_name = 'wallets' GROUP BY 1, 2")
+def profile_rules(spark, sf_dir):
+    """Events that a profile may not see."""
+    denied = policy.profile_rules(small(spark, RULES), small(spark, PROFILES), small(spark, FLAGS), "dev")
+    return accounts(spark, sf_dir).join(denied.filter("column_name = ''"), ["schema_name", "table_name"], "left_semi").groupBy("schema_name", "table_name").agg(F.count("*").alias("events"))
+
+
+@query(f"SELECT {LISTED} FROM cl ORDER BY event_timestamp, event_id LIMIT 100")
+def first_n(spark, sf_dir):
+    return S.first_n(accounts(spark, sf_dir), 100).select(COLS)
+
+
+@query(f"SELECT {LISTED} FROM cl QUALIFY row_number() OVER (PARTITION BY pk_values ORDER BY event_timestamp DESC, event_id DESC) <= 2")
+def latest_n_per_pk(spark, sf_dir):
+    return S.latest_per_key(accounts(spark, sf_dir), 2).select(COLS)
+
+
+def two_sources(spark, sf_dir):
+    log = accounts(spark, sf_dir)
+    return [log.filter("event_id % 3 < 2").withColumn("origin", F.lit("live")), log.filter("event_id % 3 > 0").withColumn("origin", F.lit("archive"))]
+
+
+@query("SELECT event_id, pk_values, CASE WHEN event_id % 3 < 2 THEN 'live' ELSE 'archive' END AS origin FROM cl")
+def merge_sources(spark, sf_dir):
+    return S.merge_sources(two_sources(spark, sf_dir)).select("event_id", "pk_values", "origin")
+
+
+@query(f"SELECT {LISTED} FROM (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY pk_values ORDER BY event_timestamp DESC, event_id DESC) <= 1) ORDER BY event_timestamp, event_id LIMIT 50")
+def merge_and_trim(spark, sf_dir):
+    return S.merge_and_trim(two_sources(spark, sf_dir), 50, 1).select(COLS)
+
+
+@query(f"SELECT {LISTED} FROM cl WHERE table_name = 'wallets' AND event_type = 2 ORDER BY event_timestamp, event_id LIMIT 40")
+def search_merged(spark, sf_dir):
+    return S.search(two_sources(spark, sf_dir), S.Search(table="wallets", event_type=2, limit=40)).select(COLS)
+
+
+@query("SELECT u.position, u.pk_values, count(c.event_id) AS events, COALESCE(min(c.event_id), -1) AS first_id, COALESCE(max(c.event_id), -1) AS last_id FROM (SELECT DISTINCT CAST(user_id AS BIGINT) * 2 AS position, CAST(user_id * 2 AS VARCHAR(20)) AS pk_values FROM events) u LEFT JOIN cl c ON c.pk_values = u.pk_values GROUP BY 1, 2")
+def grouped_by_pk(spark, sf_dir):
+    wanted = run(spark, sf_dir, "SELECT DISTINCT CAST(user_id AS BIGINT) * 2 AS position, CAST(user_id * 2 AS VARCHAR(20)) AS pk_values FROM events")
+    ids = F.transform("events", lambda e: e["event_id"])
+    return S.grouped_by_pk(accounts(spark, sf_dir), wanted).select("position", "pk_values", F.size("events").cast("long").alias("events"), F.coalesce(F.array_min(ids), F.lit(-1)).alias("first_id"), F.coalesce(F.array_max(ids), F.lit(-1)).alias("last_id"))
+
+
+@query("SELECT DISTINCT sha256(CAST(user_id * 2 AS VARCHAR)) AS pk_hash, c.pk_values, c.pk_values IS NOT NULL AS found FROM events e LEFT JOIN (SELECT DISTINCT pk_values FROM cl) c ON c.pk_values = CAST(e.user_id * 2 AS VARCHAR)")
+def pk_hash_lookup(spark, sf_dir):
+    requests = run(spark, sf_dir, "SELECT sha2(CAST(user_id * 2 AS STRING), 256) AS pk_hash FROM events")
+    return identity.resolve_hashes(requests, two_sources(spark, sf_dir))
+
+
+@query(f"SELECT event_id, array_to_string({CHANGED}, ',') AS changed FROM cl WHERE event_type = 2")
+def changed_columns(spark, sf_dir):
+    return accounts(spark, sf_dir).filter("event_type = 2").select("event_id", F.array_join(X.changed_columns("row_before", "row_after"), ",").alias("changed"))
+
+
+@query("SELECT event_id, concat_ws('|', replace(replace(event_type || '|' || CAST(event_id AS VARCHAR), '\\', '\\\\'), '|', '\\|'), CAST(user_id AS VARCHAR), '<nil>') AS pk FROM events")
+def pk_encode(spark, sf_dir):
+    parts = F.array(F.concat_ws("|", "event_type", F.col("event_id").cast("string")), F.col("user_id").cast("string"), F.lit(None).cast("string"))
+    return run(spark, sf_dir, "SELECT * FROM events").select("event_id", X.pk_encode(parts).alias("pk"))
+
+
+@query("SELECT event_id, lpad(CAST(event_id AS VARCHAR), 8, '0') || '-71ca-11e1-9e33-' || lpad(CAST(user_id AS VARCHAR), 12, '0') || ':1-' || CAST(event_id AS VARCHAR) || ',plain' AS gtid FROM events")
+def gtid_repair(spark, sf_dir):
+    raw = F.concat(F.col("event_id").cast("string"), F.lit("-71ca-11e1-9e33-"), F.col("user_id").cast("string"), F.lit(":1-"), F.col("event_id").cast("string"), F.lit(", plain"))
+    return run(spark, sf_dir, "SELECT * FROM events").select("event_id", X.gtid_repair(raw).alias("gtid"))
+
+
+@query("""WITH n AS (SELECT DISTINCT split_part(gtid, ':', 1) AS uuid, CAST(split_part(gtid, ':', 2) AS BIGINT) AS n FROM cl WHERE gtid IS NOT NULL AND event_id % 10 < 8),
+r AS (SELECT uuid, min(n) AS lo, max(n) AS hi FROM (SELECT *, n - row_number() OVER (PARTITION BY uuid ORDER BY n) AS g FROM n) GROUP BY uuid, g)
+SELECT uuid, uuid || ':' || string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR) END, ':' ORDER BY lo) AS gtid_set FROM r GROUP BY uuid""")
+def gtid_set(spark, sf_dir):
+    return gtid.set_text(gtid.intervals(accounts(spark, sf_dir).filter("event_id % 10 < 8"), buckets=256))
+
+
+GTID_SPANS = "WITH n AS (SELECT DISTINCT split_part(gtid, ':', 1) AS uuid, CAST(split_part(gtid, ':', 2) AS BIGINT) AS n FROM cl WHERE gtid IS NOT NULL AND {where}), {name} AS (SELECT uuid, min(n) AS lo, max(n) AS hi FROM (SELECT *, n - row_number() OVER (PARTITION BY uuid ORDER BY n) AS g FROM n) GROUP BY uuid, g)"
+
+
+@query("""WITH n AS (SELECT DISTINCT split_part(gtid, ':', 1) AS uuid, CAST(split_part(gtid, ':', 2) AS BIGINT) AS n, event_id % 50 < 45 AS seen FROM cl WHERE gtid IS NOT NULL),
+p AS (SELECT uuid, min(n) AS lo, max(n) AS hi FROM (SELECT uuid, n, n - row_number() OVER (PARTITION BY uuid ORDER BY n) AS g FROM (SELECT DISTINCT uuid, n FROM n)) GROUP BY uuid, g),
+c AS (SELECT uuid, min(n) AS lo, max(n) AS hi FROM (SELECT uuid, n, n - row_number() OVER (PARTITION BY uuid ORDER BY n) AS g FROM (SELECT DISTINCT uuid, n FROM n WHERE seen)) GROUP BY uuid, g)
+SELECT uuid, lo, hi FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.uuid = p.uuid AND p.lo >= c.lo AND p.hi <= c.hi)""")
+def gtid_gap(spark, sf_dir):
+    log = accounts(spark, sf_dir)
+    return gtid.gtid_gap(gtid.intervals(log), gtid.intervals(log.filter("event_id % 50 < 45")))
+
+
+FILES = "SELECT CASE WHEN table_name = 'wallets' THEN 's2' ELSE 's1' END AS server_id, binlog_file AS file, max(end_pos) AS size FROM cl GROUP BY 1, 2"
+MARKS = f"SELECT server_id, file, size + CASE WHEN CAST(right(file, 1) AS INT) % 3 = 0 THEN 1 ELSE 0 END AS position FROM ({FILES}) f"
+
+
+@query(f"WITH f AS ({FILES}), m AS ({MARKS}), k AS (SELECT server_id, min(file) AS earliest_file, max(file) AS latest FROM f WHERE right(file, 1) <> '4' GROUP BY 1) SELECT m.server_id, m.file, m.position, CASE WHEN m.file LIKE '%4' OR m.position > f.size THEN 'unfillable' WHEN m.file < k.latest THEN 'fillable' ELSE 'ok' END AS status, k.earliest_file FROM m JOIN f ON f.server_id = m.server_id AND f.file = m.file LEFT JOIN k ON k.server_id = m.server_id")
+def position_gap(spark, sf_dir):
+    return gtid.position_gap(run(spark, sf_dir, MARKS), run(spark, sf_dir, f"SELECT * FROM ({FILES}) f WHERE right(file, 1) <> '4'"))
+
+
+SPARSE = "SELECT event_id, binlog_file, start_pos AS pos, CASE WHEN event_id % 4 = 0 THEN gtid END AS gtid, CASE WHEN event_id % 5 = 0 THEN connection_id END AS connection_id FROM cl"
+
+
+@query(f"SELECT event_id, last_value(gtid IGNORE NULLS) OVER w AS gtid, COALESCE(last_value(connection_id IGNORE NULLS) OVER w, -1) AS connection_id FROM ({SPARSE}) WINDOW w AS (PARTITION BY binlog_file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def carry_forward(spark, sf_dir):
+    return normalise.carry_forward(run(spark, sf_dir, SPARSE), ["gtid", "connection_id"]).select("event_id", "gtid", F.coalesce("connection_id", F.lit(-1)).alias("connection_id"))
+
+
+DDL = """SELECT event_id, ts AS detected_at, CAST(event_id % 3 AS INT) AS snapshot_id, 'session' AS schema_name,
+CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'ALTER TABLE `s1`.`t' || CAST(user_id AS VARCHAR(9)) || '` ADD c INT' WHEN 1 THEN 'create table if not exists s2.t2 (id int)' WHEN 2 THEN '  DROP TABLE IF EXISTS `t3`'
+ WHEN 3 THEN 'RENAME TABLE t4 TO t5' WHEN 4 THEN 'TRUNCATE s6.t6' WHEN 5 THEN 'truncate table `t7`' WHEN 6 THEN 'SELECT 1' ELSE 'UPDATE t SET a = 1' END AS query FROM events"""
+DDL_KIND = "CASE event_id % 8 WHEN 0 THEN 'ALTER TABLE' WHEN 1 THEN 'CREATE TABLE' WHEN 2 THEN 'DROP TABLE' WHEN 3 THEN 'RENAME TABLE' ELSE 'TRUNCATE TABLE' END AS ddl_type"
+DDL_NAMES = "CASE event_id % 8 WHEN 0 THEN 's1' WHEN 1 THEN 's2' WHEN 4 THEN 's6' ELSE 'session' END AS schema_name, CASE event_id % 8 WHEN 0 THEN 't' || CAST(user_id AS VARCHAR) WHEN 1 THEN 't2' WHEN 2 THEN 't3' WHEN 3 THEN 't4' WHEN 4 THEN 't6' ELSE 't7' END AS table_name"
+
+
+@query(f"SELECT event_id, {DDL_KIND}, {DDL_NAMES} FROM events WHERE event_id % 8 < 6")
+def ddl_classify(spark, sf_dir):
+    return normalise.ddl_rows(run(spark, sf_dir, DDL)).select("event_id", "ddl_type", "schema_name", "table_name")
+
+
+@query(f"SELECT event_id, ts AS detected_at, {DDL_KIND}, {DDL_NAMES} FROM events WHERE event_id % 8 = 4 AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts DESC LIMIT 100")
+def schema_changes(spark, sf_dir):
+    changes = normalise.ddl_rows(run(spark, sf_dir, DDL))
+    return identity.schema_changes(changes, schema="s6", ddl_type="truncate", since="2024-01-10 00:00:00").select("event_id", "detected_at", "ddl_type", "schema_name", "table_name")
+
+
+LAST = f"last AS (SELECT pk_values AS pk, event_type, row_after, n FROM (SELECT *, count(*) OVER (PARTITION BY pk_values) AS n, row_number() OVER (PARTITION BY pk_values ORDER BY event_timestamp DESC, event_id DESC) AS r FROM co WHERE event_timestamp <= TIMESTAMP '{AT}') WHERE r = 1)"
+MERGED = f"WITH {LAST}, m AS (SELECT COALESCE(b.pk_values, pk) AS pk_values, CASE WHEN pk IS NULL THEN b.row_image ELSE row_after END AS row_image, COALESCE(n, 0) AS n, CASE WHEN pk IS NULL THEN 'passthrough' WHEN event_type = 3 AND b.pk_values IS NULL THEN 'none' WHEN event_type = 3 THEN 'deleted' WHEN b.pk_values IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM bl b FULL JOIN last ON b.pk_values = pk)"
+
+
+@query(MERGED + " SELECT pk_values, row_image, action FROM m WHERE action NOT IN ('none', 'deleted')")
+def state_at(spark, sf_dir):
+    return timetravel.state_at(orders_baseline(spark, sf_dir), orders_log(spark, sf_dir), AT)
+
+
+@query(MERGED + " SELECT CAST(json_extract_string(row_image, '$.o_orderkey') AS BIGINT) AS o_orderkey, CAST(json_extract_string(row_image, '$.price_cents') AS BIGINT) AS price_cents, json_extract_string(row_image, '$.status') AS status FROM m WHERE action NOT IN ('none', 'deleted')")
+def typed_state(spark, sf_dir):
+    return timetravel.typed_rows(state_at(spark, sf_dir), "o_orderkey long, price_cents long, status string").drop("pk_values")
+
+
+@query(MERGED + " SELECT pk_values, row_image, action FROM m WHERE action NOT IN ('none', 'deleted') AND pk_values IN ('1', '2', '3', '100000005')")
+def row_state_at(spark, sf_dir):
+    return timetravel.row_state_at(orders_baseline(spark, sf_dir), orders_log(spark, sf_dir), ["1", "2", "3", "100000005"], AT)
+
+
+@query(f"SELECT pk_values, TIMESTAMP '{SNAPSHOT_TIME}' AS event_timestamp, CAST(0 AS BIGINT) AS event_id, 'baseline' AS source, row_image AS state FROM bl UNION ALL SELECT pk_values, event_timestamp, event_id, 'log', CASE WHEN event_type <> 3 THEN row_after END FROM co WHERE event_timestamp <= TIMESTAMP '{AT}'")
+def row_history(spark, sf_dir):
+    return timetravel.history(orders_baseline(spark, sf_dir), orders_log(spark, sf_dir), SNAPSHOT_TIME, AT)
+
+
+@query(MERGED + " SELECT count(*) FILTER (action = 'passthrough') AS passthrough, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'deleted') AS deleted, CAST(0 AS BIGINT) AS invalid, CAST(sum(n) AS BIGINT) AS events FROM m")
+def reconstruct_report(spark, sf_dir):
+    return timetravel.report(orders_baseline(spark, sf_dir), orders_log(spark, sf_dir), AT)
+
+
+@query(f"SELECT TIMESTAMP '{SNAPSHOT_TIME}' AS event_timestamp, 'shop' AS schema_name, 'orders' AS table_name, CAST(6 AS INT) AS event_type, pk_values, row_image AS row_after FROM bl")
+def snapshot_events(spark, sf_dir):
+    out = timetravel.snapshot_events(orders_baseline(spark, sf_dir), "shop", "orders", SNAPSHOT_TIME)
+    return out.select("event_timestamp", "schema_name", "table_name", "event_type", "pk_values", "row_after")
+
+
+@query("SELECT json_extract_string(row_image, '$.status') AS status, count(*) AS n FROM bl GROUP BY 1")
+def baseline_sql(spark, sf_dir):
+    return baseline.sql_over(spark, "SELECT get_json_object(row_image, '$.status') AS status, count(*) AS n FROM {b} GROUP BY 1", b=orders_baseline(spark, sf_dir))
+
+
+@query("SELECT event_id, binlog_file, start_pos, binlog_file < 'mysql-bin.100001' OR binlog_file = 'mysql-bin.100001' AND start_pos <= 500 AS continuous FROM cl ORDER BY event_timestamp, event_id LIMIT 1")
+def continuity_check(spark, sf_dir):
+    return timetravel.continuity(accounts(spark, sf_dir), "mysql-bin.100001", 500)
+
+
+INVENTORY = "SELECT 'shop' AS schema_name, 'c' || CAST(o_custkey AS VARCHAR(9)) AS table_name, o_orderdate AS snapshot_time, 'p/' || CAST(max(o_orderkey) AS VARCHAR(9)) AS path FROM orders GROUP BY 1, 2, 3"
+ASKED = "SELECT 'shop' AS schema_name, 'c' || CAST(c_custkey AS VARCHAR(9)) AS table_name, TIMESTAMP '1997-01-01 00:00:00' AS at_time FROM customer"
+
+
+@query(f"WITH i AS ({INVENTORY}), a AS ({ASKED}) SELECT a.schema_name, a.table_name, i.snapshot_time, i.path FROM a LEFT JOIN (SELECT * FROM i WHERE snapshot_time <= TIMESTAMP '1997-01-01 00:00:00' QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY snapshot_time DESC) = 1) i ON i.table_name = a.table_name")
+def baseline_pick(spark, sf_dir):
+    return timetravel.pick_baseline(run(spark, sf_dir, INVENTORY), run(spark, sf_dir, ASKED).withColumnRenamed("at_time", "at")).drop("at")
+
+
+Q = lambda c, j: f"CASE WHEN json_type(json_extract({j}, '$.{c}')) = 'VARCHAR' THEN '''' || json_extract_string({j}, '$.{c}') || '''' ELSE COALESCE(json_extract_string({j}, '$.{c}'), 'NULL') END"
+NAME = "'`app`.`' || table_name || '`'"
+WHERE = f"CASE WHEN schema_version = 2 THEN '`kind` = ' || {Q('kind', 'row_after')} || ' AND `user_id` = ' || {Q('user_id', 'row_after')} ELSE '`user_id` = ' || {Q('user_id', 'row_after')} END"
+UNDO = {
+    3: f"'INSERT INTO ' || {NAME} || ' (' || CASE WHEN schema_version = 2 THEN '' ELSE '`amount`, ' END || '`kind`, `user_id`) VALUES (' || CASE WHEN schema_version = 2 THEN '' ELSE {Q('amount', 'row_before')} || ', ' END || {Q('kind', 'row_before')} || ', ' || {Q('user_id', 'row_before')} || ');'",
+    2: f"'UPDATE ' || {NAME} || ' SET ' || CASE WHEN schema_version = 2 THEN '' ELSE '`amount` = ' || {Q('amount', 'row_before')} || ', ' END || '`kind` = ' || {Q('kind', 'row_before')} || ', `user_id` = ' || {Q('user_id', 'row_before')} || ' WHERE ' || {WHERE} || ';'",
+    1: f"'DELETE FROM ' || {NAME} || ' WHERE ' || {WHERE} || ';'",
+}
+
+
+def undo_query(name: str, kind: int, version: int | None) -> None:
+    where = f"event_type = {kind}" + ("" if version is None else f" AND schema_version = {version}")
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return undo.statements(accounts(spark, sf_dir).filter(where), small(spark, SNAPSHOTS)).select("event_id", "statement")
+
+    f.__name__ = name
+    query(f"SELECT event_id, {UNDO[kind]} AS statement FROM cl WHERE {where}")(f)
+
+
+undo_query("undo_delete", 3, 1)
+undo_query("undo_update", 2, 1)
+undo_query("undo_insert", 1, 1)
+undo_query("undo_by_schema_version", 2, None)
+
+
+@query("SELECT event_id, 'DELETE FROM `shop`.`orders` WHERE `o_orderkey` = ' || json_extract_string(row_after, '$.o_orderkey') || ' AND `price_cents` = ' || json_extract_string(row_after, '$.price_cents') || ' AND `status` = ''' || json_extract_string(row_after, '$.status') || ''';' AS statement FROM co WHERE event_type = 1")
+def undo_no_pk(spark, sf_dir):
+    nothing = small(spark, SNAPSHOTS).filter("schema_name = 'app'")
+    return undo.statements(orders_log(spark, sf_dir).filter("event_type = 1").withColumn("schema_version", F.lit(0)), nothing).select("event_id", "statement")
+
+
+@query()
+def undo_script(spark, sf_dir):
+    return undo.script(S.matching(accounts(spark, sf_dir), S.Search(table="wallets")), small(spark, SNAPSHOTS))
+
+
+@query(f"SELECT event_id, {UNDO[2]} AS statement FROM cl WHERE event_type = 2 AND table_name = 'accounts' AND pk_values = '8'")
+def undo_rows_by_hash(spark, sf_dir):
+    hashes = spark.createDataFrame([("8",)], "p string").select(F.sha2("p", 256))
+    found = S.matching(accounts(spark, sf_dir), S.Search(pk_hashes=hashes, event_type=2, table="accounts"))
+    return undo.statements(found, small(spark, SNAPSHOTS)).select("event_id", "statement")
+
+
+ARCHIVED = "SELECT date_trunc('HOUR', event_timestamp) AS hour, count(*) AS row_count FROM cl WHERE event_timestamp < TIMESTAMP '2024-01-15 00:00:00' AND NOT (day(event_timestamp) = 3 AND hour(event_timestamp) IN (4, 5, 9)) GROUP BY 1"
+LIVE = "SELECT DISTINCT date_trunc('HOUR', event_timestamp) AS hour FROM cl WHERE event_timestamp >= TIMESTAMP '2024-01-14 12:00:00'"
+HOURS = f"WITH h AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-20 23:00:00', INTERVAL 1 HOUR)) AS hour), c AS (SELECT h.hour, CASE WHEN l.hour IS NOT NULL THEN 'live' WHEN a.hour IS NOT NULL THEN 'archived' ELSE 'gap' END AS status FROM h LEFT JOIN ({LIVE}) l ON l.hour = h.hour LEFT JOIN ({ARCHIVED}) a ON a.hour = h.hour)"
+
+
+@query(HOURS + " SELECT hour, status FROM c")
+def hour_coverage(spark, sf_dir):
+    return coverage.hour_coverage(run(spark, sf_dir, LIVE), run(spark, sf_dir, ARCHIVED), "2024-01-02 00:00:00", "2024-01-21 00:00:00")
+
+
+@query(HOURS + " SELECT status, min(hour) AS first_hour, max(hour) AS last_hour, count(*) AS hours FROM (SELECT *, CAST(epoch(hour) / 3600 AS BIGINT) - row_number() OVER (PARTITION BY status ORDER BY hour) AS g FROM c) GROUP BY status, g")
+def hour_ranges(spark, sf_dir):
+    return coverage.hour_ranges(hour_coverage(spark, sf_dir))
+
+
+@query(HOURS + " SELECT count(*) AS hours, min(hour) AS first_hour, max(hour) AS last_hour, CAST(count(*) AS VARCHAR) || ' hours are missing between ' || strftime(min(hour), '%Y-%m-%d %H:%M') || ' and ' || strftime(max(hour), '%Y-%m-%d %H:%M') AS message FROM c WHERE status = 'gap'")
+def gap_summary(spark, sf_dir):
+    return coverage.gap_summary(hour_coverage(spark, sf_dir))
+
+
+@query(f"SELECT * FROM (SELECT min(event_timestamp) AS first_event, max(event_timestamp) AS last_event, count(*) AS events FROM cl), (SELECT count(*) AS ddl, count(*) FILTER (event_id % 3 = 0) AS ddl_without_snapshot FROM events WHERE event_id % 8 < 6), (SELECT CAST(sum(row_count) AS BIGINT) AS archived_rows, min(hour) AS first_archived_hour FROM ({ARCHIVED}))")
+def coverage_summary(spark, sf_dir):
+    changes = normalise.ddl_rows(run(spark, sf_dir, DDL)).withColumn("snapshot_id", F.expr("nullif(snapshot_id, 0)"))
+    return coverage.coverage_summary(accounts(spark, sf_dir), changes, run(spark, sf_dir, ARCHIVED))
+
+
+@query("SELECT date_trunc('hour', event_timestamp) AS hour, count(*) AS events FROM cl GROUP BY 1")
+def hour_stats(spark, sf_dir):
+    return coverage.hour_stats(accounts(spark, sf_dir))
+
+
+def ledger(spark, sf_dir):
+    """Archived hours: every third is uploaded, every seventh waits for it."""
+    n = F.hour("hour") + F.dayofmonth("hour")
+    return run(spark, sf_dir, ARCHIVED).select(X.partition_name("hour").alias("partition_name"), F.lit("s1").alias("server_id"), F.when(n % 5 != 0, F.concat(F.lit("/a/server_id=s1/"), X.partition_name("hour"))).alias("local_path"), (F.col("row_count") * 100).alias("file_size_bytes"), "row_count", F.when((n % 3 == 0) | (n % 7 == 0), F.concat(F.lit("b"), (n % 2).cast("string"))).alias("s3_bucket"), F.when(n % 7 != 0, F.col("hour")).alias("s3_uploaded_at"))
+
+
+LEDGER = f"SELECT strftime(hour, 'p_%Y%m%d%H') AS partition_name, hour, 's1' AS server_id, CASE WHEN n % 5 <> 0 THEN '/a/server_id=s1/' || strftime(hour, 'p_%Y%m%d%H') END AS local_path, row_count * 100 AS file_size_bytes, row_count, CASE WHEN n % 3 = 0 OR n % 7 = 0 THEN 'b' || CAST(n % 2 AS VARCHAR) END AS s3_bucket, CASE WHEN n % 7 <> 0 THEN hour END AS s3_uploaded_at FROM (SELECT *, hour(hour) + day(hour) AS n FROM ({ARCHIVED}))"
+
+
+@query(f"SELECT count(*) AS files, CAST(sum(row_count) AS BIGINT) AS rows, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, count(local_path) AS local_files, count(s3_bucket) AS remote_files, string_agg(DISTINCT s3_bucket, ',' ORDER BY s3_bucket) AS buckets FROM ({LEDGER})")
+def archive_stats(spark, sf_dir):
+    return coverage.archive_stats(ledger(spark, sf_dir))
+
+
+INGEST = "SELECT binlog_file, CASE WHEN max(event_id) % 3 = 0 THEN 'failed' WHEN max(event_id) % 3 = 1 THEN 'in_progress' ELSE 'completed' END AS status, count(*) AS events_indexed, CASE WHEN max(event_id) % 4 > 0 THEN table_name END AS server_id FROM cl GROUP BY binlog_file, table_name"
+
+
+@query(f"SELECT COALESCE(server_id, '(unknown)') AS server_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'failed') AS failed, CAST(sum(events_indexed) AS BIGINT) AS events FROM ({INGEST}) GROUP BY 1")
+def ingest_summary(spark, sf_dir):
+    return coverage.ingest_summary(run(spark, sf_dir, INGEST))
+
+
+NOW = "2024-01-31 00:30:00"
+EXPIRED = "SELECT DISTINCT date_trunc('hour', event_timestamp) AS hour FROM cl WHERE date_trunc('hour', event_timestamp) < TIMESTAMP '2024-01-24 00:30:00'"
+
+
+@query(EXPIRED)
+def expired_hours(spark, sf_dir):
+    return retention.expired_hours(coverage.hour_stats(accounts(spark, sf_dir)).select("hour"), NOW, "7 days")
+
+
+@query(f"WITH e AS ({EXPIRED}), l AS ({LEDGER}) SELECT e.hour FROM e WHERE e.hour IN (SELECT hour FROM l) AND e.hour NOT IN (SELECT hour FROM l WHERE s3_bucket IS NOT NULL AND s3_uploaded_at IS NULL)")
+def drop_guard(spark, sf_dir):
+    return retention.droppable(expired_hours(spark, sf_dir), ledger(spark, sf_dir))
+
+
+@query(f"SELECT partition_name, server_id, COALESCE(CASE WHEN row_count % 2 = 0 THEN 'new' END, s3_bucket) AS s3_bucket, row_count + 1 AS row_count FROM ({LEDGER})")
+def ledger_upsert(spark, sf_dir):
+    own = ledger(spark, sf_dir).select("partition_name", "server_id", "s3_bucket", "row_count")
+    return retention.ledger_upsert(own, own.select("partition_name", "server_id", F.when(F.col("row_count") % 2 == 0, "new").alias("s3_bucket"), (F.col("row_count") + 1).alias("row_count")))
+
+
+@query("SELECT event_id, size FROM (SELECT event_id, length(pk_values) + 200 AS size, row_number() OVER w AS n, sum(length(pk_values) + 200) OVER w AS held FROM cl WINDOW w AS (ORDER BY event_timestamp DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n <= 5000 AND held <= 600000")
+def retention_caps(spark, sf_dir):
+    log = accounts(spark, sf_dir).withColumn("size", F.length("pk_values").cast("long") + 200)
+    return retention.newest(log, 5000, 600_000).select("event_id", "size")
+
+
+SERVERS = "SELECT 's' || CAST(c_custkey AS VARCHAR(9)) AS server_id, 'u' || CAST(c_custkey AS VARCHAR(9)) AS server_uuid, 'h' || CAST(c_custkey AS VARCHAR(9)) AS host, CAST(3306 AS INT) AS port, 'app' AS username FROM customer WHERE c_custkey % 5 <> 4"
+SEEN = "SELECT c_custkey AS observation_id, 'u' || CAST(CASE WHEN c_custkey % 5 = 2 THEN c_custkey + 1000000 ELSE c_custkey END AS VARCHAR(9)) AS server_uuid, 'h' || CAST(CASE WHEN c_custkey % 5 = 1 THEN c_custkey + 2000000 WHEN c_custkey % 5 = 3 THEN c_custkey - 2 ELSE c_custkey END AS VARCHAR(9)) AS host, CAST(3306 AS INT) AS port, 'app' AS username FROM customer"
+
+
+@query("SELECT c_custkey AS observation_id, CASE c_custkey % 5 WHEN 0 THEN 'no_change' WHEN 1 THEN 'migration' WHEN 2 THEN 'uuid_regen' WHEN 3 THEN 'conflict' ELSE 'new' END AS outcome, CASE WHEN c_custkey % 5 < 3 THEN 's' || CAST(c_custkey AS VARCHAR) END AS server_id, CASE c_custkey % 5 WHEN 1 THEN 'host' WHEN 2 THEN 'server_uuid' END AS field FROM customer")
+def identity_resolve(spark, sf_dir):
+    out = identity.resolve(run(spark, sf_dir, SEEN), run(spark, sf_dir, SERVERS))
+    return out.select("observation_id", "outcome", "server_id", F.get("changes", F.lit(0))["field"].alias("field"))
+
+
+USAGE = "SELECT 'db' || CAST(s_nationkey AS VARCHAR(9)) AS constraint_schema, 'fk' || CAST(s_suppkey AS VARCHAR(9)) AS constraint_name, 'supplier' AS table_name, 's_nationkey' AS column_name, CAST(1 AS INT) AS ordinal_position, CASE WHEN s_suppkey % 4 > 0 THEN 'nation' END AS referenced_table, 'n_nationkey' AS referenced_column FROM supplier"
+CONSTRAINTS = "SELECT 'db' || CAST(s_nationkey AS VARCHAR(9)) AS constraint_schema, 'fk' || CAST(s_suppkey AS VARCHAR(9)) AS constraint_name, CASE WHEN s_suppkey % 3 = 0 THEN 'CASCADE' ELSE 'RESTRICT' END AS update_rule, CASE WHEN s_suppkey % 5 = 0 THEN 'CASCADE' ELSE 'RESTRICT' END AS delete_rule FROM supplier"
+
+
+@query(f"SELECT u.*, update_rule, delete_rule FROM ({USAGE}) u JOIN ({CONSTRAINTS}) c ON c.constraint_schema = u.constraint_schema AND c.constraint_name = u.constraint_name WHERE referenced_table IS NOT NULL")
+def fk_rows(spark, sf_dir):
+    return identity.foreign_key_rows(run(spark, sf_dir, USAGE), run(spark, sf_dir, CONSTRAINTS))
+
+
+@query(f"SELECT * FROM ({CONSTRAINTS}) WHERE (update_rule = 'CASCADE' OR delete_rule = 'CASCADE') AND constraint_schema IN ('db1', 'db2', 'db3')")
+def fk_cascades(spark, sf_dir):
+    return identity.cascades(run(spark, sf_dir, CONSTRAINTS), ["db1", "db2", "db3"])
+
+
+TABLE_ROWS = "SELECT 'db' AS schema_name, 't' || CAST(c_custkey AS VARCHAR(9)) AS table_name, CASE WHEN c_custkey % 11 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type, CASE WHEN c_custkey % 6 = 0 THEN 'MyISAM' ELSE 'InnoDB' END AS engine FROM customer"
+COLUMN_ROWS = "SELECT 'db' AS schema_name, 't' || CAST(c_custkey AS VARCHAR(9)) AS table_name, 'id' AS column_name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'PRI' END AS column_key FROM customer"
+
+
+@query("SELECT 'db' AS schema_name, 't' || CAST(c_custkey AS VARCHAR) AS table_name, problem FROM (SELECT c_custkey, 'engine' AS problem FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 'no primary key' FROM customer WHERE c_custkey % 4 = 0) WHERE c_custkey % 11 <> 0")
+def table_validation(spark, sf_dir):
+    return identity.table_violations(run(spark, sf_dir, TABLE_ROWS), run(spark, sf_dir, COLUMN_ROWS))
+
+
+@query(f"SELECT 's1' AS server_id, event_id, event_timestamp, schema_name, table_name, event_type, sha256(pk_values) AS pk_hash, CASE WHEN event_type = 2 THEN array_to_string({CHANGED}, ',') END AS changed FROM cl")
+def split_metadata(spark, sf_dir):
+    out = normalise.split_metadata(accounts(spark, sf_dir), "s1")
+    return out.withColumn("changed", F.array_join("changed_columns", ",")).drop("changed_columns")
+
+
+@query("SELECT event_id, event_timestamp, pk_values, sha256(pk_values) AS pk_hash, row_before, row_after, 's1' AS server_id, schema_name || '.' || table_name AS schema_table, CAST(CAST(event_timestamp AS DATE) AS VARCHAR) AS date FROM cl")
+def split_payload(spark, sf_dir):
+    return normalise.split_payload(accounts(spark, sf_dir), "s1").withColumn("date", F.col("date").cast("string"))
+
+
+@query("SELECT DISTINCT strftime(ts, 'p_%Y%m%d%H') AS partition_name, date_trunc('hour', ts) AS hour FROM events")
+def partition_name(spark, sf_dir):
+    names = run(spark, sf_dir, "SELECT ts FROM events").select(X.partition_name("ts").alias("partition_name")).distinct()
+    return names.withColumn("hour", X.partition_time("partition_name"))
+
+
+@query("SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 62167219200 AS seconds, date_trunc('second', ts) AS back FROM events")
+def to_seconds(spark, sf_dir):
+    own = run(spark, sf_dir, "SELECT event_id, ts FROM events").select("event_id", X.to_seconds("ts").alias("seconds"))
+    return own.withColumn("back", X.from_to_seconds("seconds"))
+
+
+@query(f"SELECT {LISTED} FROM cl WHERE event_timestamp BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-09 18:30:00'")
+def archive_round_trip(spark, sf_dir):
+    root = shared_folder(spark)
+    archive.write_archive(accounts(spark, sf_dir), root, "s1")
+    return archive.read_archive(spark, root, S.Search(since="2024-01-05 06:00:00", until="2024-01-09 18:30:00")).select(COLS)
+
+
+@query(f"SELECT {LISTED} FROM cl")
+def stream_ingest(spark, sf_dir):
+    from tidemark.streaming import ingest
+
+    root = shared_folder(spark)
+    log = accounts(spark, sf_dir).select(COLS)
+    for part in ("a", "b"):  # the second copy is a replay
+        log.repartition(4, "event_id").write.parquet(f"{root}/in/{part}")
+    feed = ingest.read_feed(spark, f"{root}/in/*", log.schema, 3)
+    ingest.ingest(ingest.replay_dedup(feed, ["event_id"], "400 days"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(COLS)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus || '''\\' AS status, CAST(NULL AS VARCHAR) AS nothing FROM orders")
+def dump_sql_read(spark, sf_dir):
+    root = shared_folder(spark)
+    rows = run(spark, sf_dir, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders").select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.lit("'\\")).alias("status"), F.lit(None).cast("string").alias("nothing"))
+    dumps.write_dump(rows, root, "shop", "orders", "CREATE TABLE `orders` (`o_orderkey` int)", "2024-01-01 00:00:00")
+    return dumps.read_sql_dump(spark, f"{root}/shop.orders").select(*[F.col("values")[i].alias(c) for i, c in enumerate(rows.columns)])
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority || chr(9) || '\\' AS priority, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status FROM orders")
+def dump_tab_read(spark, sf_dir):
+    root = shared_folder(spark)
+    rows = run(spark, sf_dir, "SELECT CAST(o_orderkey AS STRING) AS k, o_orderpriority, o_orderstatus, o_orderkey FROM orders")
+    text = F.concat_ws("\t", "k", F.concat("o_orderpriority", F.lit("\\t\\\\")), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).otherwise("\\N"))
+    rows.select(text).write.text(root)
+    return dumps.read_tab_dump(spark, root).select(F.col("values")[0].alias("o_orderkey"), F.col("values")[1].alias("priority"), F.col("values")[2].alias("status"))
+
+
+FEED = """SELECT event_id, CAST('f1' AS STRING) AS binlog_file, event_id * 100 + 99 AS end_pos, 99L AS event_size, unix_timestamp(ts) AS epoch, '' AS gtid, 0L AS connection_id,
+CAST(1 AS INT) AS schema_version, 'app' AS schema_name, CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE 'accounts' END AS table_name, CAST(1 + event_id % 3 AS INT) AS event_type,
+array(array(CAST(event_id AS STRING), event_type, CAST(user_id AS STRING)), array(CAST(event_id + 1 AS STRING), event_type, CAST(user_id + CASE WHEN event_id % 3 = 1 THEN 0 ELSE 1 END AS STRING))) AS rows FROM events"""
+IMAGE = "concat('{\"amount\":', CAST(event_id + i AS VARCHAR), ',\"kind\":\"', event_type, '\",\"user_id\":', CAST(user_id + CASE WHEN event_id % 3 = 1 THEN 0 ELSE i END AS VARCHAR), '}')"
+
+
+@query(f"""WITH e AS (SELECT *, event_id % 3 AS k FROM events WHERE event_id % 10 <> 0), r AS (SELECT *, unnest([0, 1]) AS i FROM e), j AS (SELECT *, {IMAGE} AS img FROM r)
+SELECT event_id, i AS ordinal, CASE WHEN k = 2 THEN img END AS row_before, CASE WHEN k = 0 THEN img END AS row_after, CAST(user_id + i AS VARCHAR) AS pk_values, CAST(NULL AS VARCHAR) AS changed FROM j WHERE k <> 1
+UNION ALL SELECT a.event_id, 0, a.img, b.img, CAST(a.user_id AS VARCHAR), 'amount' FROM j a JOIN j b ON a.event_id = b.event_id AND a.i = 0 AND b.i = 1 WHERE a.k = 1""")
+def normalise_feed(spark, sf_dir):
+    good, _ = normalise.normalise(run(spark, sf_dir, FEED), small(spark, SNAPSHOTS))
+    return good.select("event_id", "ordinal", "row_before", "row_after", "pk_values", F.array_join("changed_columns", ",").alias("changed"))
+
+
+@query("SELECT event_id, 'unknown_table' AS reject FROM events WHERE event_id % 10 = 0")
+def rejected_feed(spark, sf_dir):
+    return normalise.normalise(run(spark, sf_dir, FEED), small(spark, SNAPSHOTS))[1].select("event_id", "reject")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'UPDATE' ELSE 'UNKNOWN(' || CAST(event_id + 10 AS VARCHAR) || ')' END AS name, CAST(event_id AS VARCHAR) || ' B' AS size FROM events WHERE event_id < 1000")
+def display_names(spark, sf_dir):
+    code = F.when(F.col("event_id") % 2 == 0, F.lit(2)).otherwise(F.col("event_id").cast("int") + 10)
+    return run(spark, sf_dir, "SELECT event_id FROM events WHERE event_id < 1000").select("event_id", X.event_type_name(code).alias("name"), X.human_bytes("event_id").alias("size"))
