@@ -2,8 +2,8 @@
 pre-token frequencies of the documents.
 
 A task turns a block of documents into one row per distinct pre-token with the documents that hold it and how often.
-A hot pre-token so has one row per block, not one per document. Rows are dealt by pre-token; the distinct pre-tokens
-are counted by the library and joined back, and frequency times count is summed per document.
+A hot pre-token so has one row per block, not one per document. Rows are dealt and sorted by pre-token; each distinct
+pre-token is counted by the library once and joined to its rows, and frequency times count is summed per document.
 
 Null text counts as empty: no tokens. Repeated rows (same id, same text) each get a row; different texts under one id
 are parts of one document whose counts add up. Rows with a null id are taken as one id. Extra columns are not returned.
@@ -26,8 +26,10 @@ from tidemark.llm.bpe import byte_characters
 
 #: Bytes of text that a task turns into one block of frequencies.
 BLOCK_BYTES = 32 << 20
-#: Documents whose sums a task holds before it hands them on.
-HELD_SUMS = 1_000_000
+#: Postings that a task sums up before it hands the sums on.
+HELD_SUMS = 2_000_000
+#: Ids whose sums travel in one row.
+BLOCK_IDS = 1 << 12
 #: Below this code point, letter and digit classes are alike in all Unicode versions and all text is in NFC.
 PLAIN_BELOW = 0x0250
 #: Stands for a null id in the postings.
@@ -117,54 +119,66 @@ def frequencies(path: str):
     return run
 
 
-def counted(path: str):
-    """Arrow batches of distinct pre-tokens to (piece, tokens)."""
+def summed(path: str):
+    """Postings in order of their pre-token to sums per document, packed for blocks of BLOCK_IDS ids. A pre-token is
+    counted when its first row passes, and that count is joined to all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = pre_tokens(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cutter.count(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["piece", "tokens"])
-
-    return run
-
-
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings with their pre-token's tokens to sums per document, one row for each document and HELD_SUMS."""
-    keys: list[np.ndarray] = []
-    sums: list[np.ndarray] = []
-    held = 0
+        keys: list[np.ndarray] = []
+        sums: list[np.ndarray] = []
+        held, last, tokens = 0, None, 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if keys:
+        def flush() -> Iterator[pa.RecordBatch]:
             own, at = np.unique(np.concatenate(keys), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, weights=np.concatenate(sums)).astype(np.int64))], names=["key", "tokens"])
+            total = np.bincount(at, weights=np.concatenate(sums)).astype("<u4")
+            block = own // BLOCK_IDS
+            edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+            ends = [*edges[1:].tolist(), len(own)]
+            parts = list(zip(edges.tolist(), ends, strict=True))
+            inside = (own - block * BLOCK_IDS).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array([inside[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([total[a:b].tobytes() for a, b in parts], pa.binary())], names=["block", "inside", "sums"])
             keys.clear()
             sums.clear()
 
-    for batch in batches:
-        n, first, tokens = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
-        steps, times = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for i, many in enumerate(n.tolist()):
-            if many > 1:
-                keys.append(first[i] + np.concatenate([[0], np.cumsum(wide(steps[i], many - 1))]))
-                sums.append(wide(times[i], many) * tokens[i])
-                held += many
-        one = np.flatnonzero(n == 1)
-        keys.append(first[one])
-        sums.append(tokens[one] * np.array([int.from_bytes(times[i], "little") for i in one.tolist()], dtype=np.int64))
-        held += len(one)
-        if held > HELD_SUMS:
+        for batch in batches:
+            counts = []
+            for piece in batch.column(0).to_pylist():
+                if piece != last:
+                    last, tokens = piece, cutter.count(piece)
+                counts.append(tokens)
+            counts = np.array(counts, dtype=np.int64)
+            n, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            steps, times = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for i in np.flatnonzero(n > 1).tolist():
+                keys.append(first[i] + np.concatenate([[0], np.cumsum(wide(steps[i], n[i] - 1))]))
+                sums.append(wide(times[i], n[i]) * counts[i])
+            one = np.flatnonzero(n == 1)
+            keys.append(first[one])
+            sums.append(counts[one] * np.array([int.from_bytes(times[i], "little") for i in one.tolist()], dtype=np.int64))
+            held += int(n.sum())
+            if held > HELD_SUMS:
+                yield from flush()
+                held = 0
+        if held:
             yield from flush()
-            held = 0
-    yield from flush()
+
+    return run
+
+
+def added(table: pa.Table) -> pa.Table:
+    """The sums of a block of ids."""
+    inside = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("inside").to_pylist()])
+    sums = np.bincount(inside, weights=np.concatenate([np.frombuffer(x, "<u4") for x in table.column("sums").to_pylist()]), minlength=BLOCK_IDS)
+    there = np.flatnonzero(np.bincount(inside, minlength=BLOCK_IDS))
+    return pa.table({"key": pa.array(there + table.column("block")[0].as_py() * BLOCK_IDS), "tokens": pa.array(sums[there].astype(np.int64))})
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) per document, as the tokenizers file at path counts."""
     plain = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = plain.mapInArrow(frequencies(path), "piece string, n int, first long, steps binary, times binary").repartition("piece")
-    pieces = dealt.select("piece").distinct().mapInArrow(counted(path), "piece string, tokens long")
-    sums = dealt.join(pieces, "piece").select("n", "first", "steps", "times", "tokens").mapInArrow(summed, "key long, tokens long").groupBy("key").agg(F.sum("tokens").alias("tokens"))
+    dealt = plain.mapInArrow(frequencies(path), "piece string, n int, first long, steps binary, times binary").repartition("piece").sortWithinPartitions("piece")
+    sums = dealt.mapInArrow(summed(path), "block long, inside binary, sums binary").groupBy("block").applyInArrow(added, "key long, tokens long")
     heads = plain.select("key", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"))
     heads = heads.groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), (F.min("hash") == F.max("hash")).alias("same"))
     repeats = F.when(F.col("same"), F.col("rows")).otherwise(1)
