@@ -36,7 +36,7 @@ KMER = 20
 WINDOWS = WIDTH - KMER + 1  # k-mers in a window; also the places an anchor can have in one
 KEY = WIDTH + KMER + WINDOWS - 1 - KMER + 2  # right context, left context, first and last place
 HOT_DOCUMENTS = 1000
-#: Chunks and buckets for each shuffle partition, so that partitions come out even.
+#: Chunks for each shuffle partition, so that partitions come out even; there is a bucket for each partition.
 SPREAD = 4
 
 _RANDOM = np.random.default_rng(50)
@@ -431,9 +431,9 @@ def cut_out(docs: pa.Table, gone: pa.Table) -> pa.Table:
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, kept binary, starts, ends array<int>) per row: the bytes that stay, and the maximal removed runs as
     byte ranges of the input. Ids are integers."""
-    n = SPREAD * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(n)).cast("long"))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(SPREAD * n)).cast("long"))
     anchors = docs.groupBy("chunk").applyInArrow(send_anchors(n), "bucket long, chunk long, blob binary")
     named = anchors.groupBy("bucket").applyInArrow(name_repeated, "chunk long, bucket long, blob binary")
     runs = docs.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(send_runs(n), "bucket long, chunk long, blob binary")
