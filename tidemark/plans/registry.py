@@ -502,7 +502,195 @@ def rejected_feed(spark, sf_dir):
     return normalise.normalise(run(spark, sf_dir, FEED), small(spark, SNAPSHOTS))[1].select("event_id", "reject")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'UPDATE' ELSE 'UNKNOWN(' || CAST(event_id + 10 AS VARCHAR) || ')' END AS name, CAST(event_id AS VARCHAR) || ' B' AS size FROM events WHERE event_id < 1000")
+#: Tenths of a unit, half up, as text.
+TENTHS = "CAST((n * 10 + {0} // 2) // {0} // 10 AS VARCHAR) || '.' || CAST((n * 10 + {0} // 2) // {0} % 10 AS VARCHAR)"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'UPDATE' ELSE 'UNKNOWN(' || CAST(event_id + 10 AS VARCHAR) || ')' END AS name, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN {TENTHS.format(1024)} || ' KB' WHEN n < 1073741824 THEN {TENTHS.format(1048576)} || ' MB' ELSE {TENTHS.format(1073741824)} || ' GB' END AS size FROM (SELECT event_id, event_id * 300 AS n FROM events)")
 def display_names(spark, sf_dir):
     code = F.when(F.col("event_id") % 2 == 0, F.lit(2)).otherwise(F.col("event_id").cast("int") + 10)
-    return run(spark, sf_dir, "SELECT event_id FROM events WHERE event_id < 1000").select("event_id", X.event_type_name(code).alias("name"), X.human_bytes("event_id").alias("size"))
+    return run(spark, sf_dir, "SELECT event_id FROM events").select("event_id", X.event_type_name(code).alias("name"), X.human_bytes(F.col("event_id") * 300).alias("size"))
+
+
+@query("SELECT event_id, CAST(200 + octet_length(encode(pk_values)) + 192 * ((row_before IS NOT NULL)::INT + (row_after IS NOT NULL)::INT) AS BIGINT) AS size FROM cl")
+def row_sizes(spark, sf_dir):
+    """Every image of the view has three keys."""
+    return accounts(spark, sf_dir).select("event_id", X.row_size("row_before", "row_after", "pk_values").alias("size"))
+
+
+@query("SELECT event_id, CASE WHEN length(row_after) > 20 THEN left(row_after, 19) || '…' ELSE row_after END AS shown FROM cl")
+def truncated_images(spark, sf_dir):
+    return accounts(spark, sf_dir).select("event_id", X.truncate_text("row_after", 20).alias("shown"))
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS whole, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS millis, CASE WHEN ts = date_trunc('second', ts) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS unknown FROM events")
+def canonical_keys(spark, sf_dir):
+    """Key values as text by their source type; without a known precision the value decides."""
+    ts = F.col("ts").cast("timestamp")
+    forms = (("whole", F.col("event_id"), "bigint", "bigint"), ("day", ts, "date", "date"), ("seconds", ts, "datetime", "datetime"), ("millis", ts, "datetime", "datetime(3)"), ("unknown", ts, "datetime", ""))
+    return run(spark, sf_dir, "SELECT event_id, ts FROM events").select("event_id", *[X.canonical_key(c, kind, full).alias(name) for name, c, kind, full in forms])
+
+
+@query("SELECT DISTINCT '/a/b' AS root, table_name AS server, date_trunc('hour', event_timestamp) AS hour, date_trunc('second', event_timestamp) AS moment FROM cl")
+def archive_paths(spark, sf_dir):
+    """Paths of archive files and snapshot folders, taken apart again."""
+    t = F.col("event_timestamp")
+    path = F.concat(F.lit("/a/b/server_id="), F.col("table_name"), F.date_format(t, "'/event_date='yyyy-MM-dd'/event_hour='HH'/part-0.parquet'"))
+    own = accounts(spark, sf_dir).select(path.alias("path"), F.date_format(t, "yyyy-MM-dd'T'HH-mm-ss'Z'").alias("folder")).distinct()
+    root, server, hour = X.archive_path("path")
+    return own.select(root.alias("root"), server.alias("server"), hour.alias("hour"), X.dir_time("folder").alias("moment"))
+
+
+# A catalogue of one table for each supplier, in a schema for each nation.
+CATALOGUE = """SELECT CAST(s_nationkey % 3 + 1 AS INT) AS snapshot_id, CASE WHEN s_nationkey % 5 = 0 THEN 'mysql' ELSE 'n' || CAST(s_nationkey AS VARCHAR(9)) END AS schema_name,
+'t' || CAST(s_suppkey AS VARCHAR(9)) AS table_name, column_name, CASE WHEN column_name = 'total' THEN 'STORED GENERATED' WHEN s_suppkey % 2 = 0 THEN '' END AS extra
+FROM supplier CROSS JOIN (SELECT 'id' AS column_name UNION ALL SELECT 'name' UNION ALL SELECT 'total') AS c"""
+KEYS = "SELECT CAST(s_nationkey % 3 + 1 AS INT) AS snapshot_id, 'fk' || CAST(s_suppkey % 40 AS VARCHAR(9)) AS constraint_name FROM supplier WHERE s_nationkey % 3 <> 1"
+
+
+@query(f"SELECT c.snapshot_id, count(DISTINCT schema_name || '.' || table_name) AS tables, count(*) AS columns, COALESCE(max(k.n), 0) AS foreign_keys FROM ({CATALOGUE}) c LEFT JOIN (SELECT snapshot_id, count(DISTINCT constraint_name) AS n FROM ({KEYS}) GROUP BY 1) k ON k.snapshot_id = c.snapshot_id GROUP BY 1")
+def snapshot_stats(spark, sf_dir):
+    return coverage.snapshot_stats(run(spark, sf_dir, CATALOGUE), run(spark, sf_dir, KEYS))
+
+
+@query(f"SELECT 4 AS snapshot_id, schema_name, table_name, column_name, CAST(COALESCE(extra, '') LIKE '%GENERATED%' AS INT) AS is_generated, TIMESTAMP '{AT}' AS snapshot_time FROM ({CATALOGUE}) WHERE schema_name <> 'mysql'")
+def schema_snapshot(spark, sf_dir):
+    """A catalogue as the next snapshot; the three of before are numbered 1 to 3."""
+    catalogue = run(spark, sf_dir, CATALOGUE)
+    return normalise.schema_snapshot(catalogue.drop("snapshot_id"), catalogue.select("snapshot_id"), AT).select("snapshot_id", "schema_name", "table_name", "column_name", "is_generated", "snapshot_time")
+
+
+TABLE_FLAGS = "SELECT 'n' || CAST(s_nationkey AS VARCHAR(9)) AS schema_name, 't' || CAST(s_suppkey AS VARCHAR(9)) AS table_name, CASE WHEN s_suppkey % 3 = 0 THEN 'name' ELSE '' END AS column_name, CASE WHEN s_suppkey % 2 = 0 THEN 'pii' ELSE 'billing' END AS flag FROM supplier"
+
+
+@query(f"SELECT schema_name, table_name, column_name, flag FROM ({TABLE_FLAGS}) WHERE flag = 'pii'")
+def list_flags(spark, sf_dir):
+    return policy.list_flags(run(spark, sf_dir, TABLE_FLAGS), flag="pii")
+
+
+GRANTS = "SELECT s_nationkey AS profile_id, 'f' || CAST(s_suppkey AS VARCHAR(9)) AS flag, CASE WHEN s_suppkey % 2 = 0 THEN 'deny' ELSE 'allow' END AS permission FROM supplier"
+
+
+@query(f"SELECT n_name AS profile, flag, permission FROM ({GRANTS}) JOIN nation ON n_nationkey = profile_id")
+def list_access(spark, sf_dir):
+    return policy.list_access(run(spark, sf_dir, GRANTS), run(spark, sf_dir, "SELECT n_nationkey AS id, n_name AS name FROM nation"))
+
+
+@query("SELECT 's' || CAST(c_custkey AS VARCHAR) AS server_id, CASE c_custkey % 5 WHEN 1 THEN 'host' ELSE 'server_uuid' END AS field, CASE c_custkey % 5 WHEN 1 THEN 'h' ELSE 'u' END || CAST(c_custkey AS VARCHAR) AS old, CASE c_custkey % 5 WHEN 1 THEN 'h' || CAST(c_custkey + 2000000 AS VARCHAR) ELSE 'u' || CAST(c_custkey + 1000000 AS VARCHAR) END AS new FROM customer WHERE c_custkey % 5 IN (1, 2)")
+def identity_audit(spark, sf_dir):
+    return identity.audit_rows(identity.resolve(run(spark, sf_dir, SEEN), run(spark, sf_dir, SERVERS)))
+
+
+UUIDS = "SELECT event_id, ts AS event_timestamp, 's' || CAST(user_id % 50 AS VARCHAR(9)) AS server_id, 'u' || CAST(CAST(floor(event_id / 100) AS BIGINT) AS VARCHAR(20)) AS server_uuid FROM events"
+
+
+@query(f"SELECT event_id, server_id, server_uuid, previous_uuid FROM (SELECT *, lag(server_uuid) OVER (PARTITION BY server_id ORDER BY event_timestamp, event_id) AS previous_uuid FROM ({UUIDS})) WHERE server_uuid <> previous_uuid")
+def source_replaced(spark, sf_dir):
+    from tidemark.streaming import ingest
+
+    return ingest.identity_changes(run(spark, sf_dir, UUIDS)).select("event_id", "server_id", "server_uuid", "previous_uuid")
+
+
+VERSIONS = "SELECT binlog_file, end_pos + 50 AS end_pos, CAST(event_id % 1000 + 5 AS INT) AS snapshot_id, CASE WHEN event_id % 4 = 0 THEN 'TRUNCATE TABLE' ELSE 'ALTER TABLE' END AS ddl_type FROM cl WHERE event_id % 50 < 3"
+
+
+@query(f"WITH v AS (SELECT * FROM ({VERSIONS}) WHERE ddl_type <> 'TRUNCATE TABLE') SELECT c.event_id, COALESCE(v.snapshot_id, 1) AS schema_version FROM cl c ASOF LEFT JOIN v ON v.binlog_file = c.binlog_file AND v.end_pos <= c.end_pos")
+def schema_versions(spark, sf_dir):
+    """The version of each event by the schema changes before it in its log file."""
+    from tidemark.streaming import ingest
+
+    return ingest.schema_versions(accounts(spark, sf_dir), run(spark, sf_dir, VERSIONS), 1).select("event_id", "schema_version")
+
+
+@query(f"SELECT DISTINCT binlog_file FROM cl WHERE binlog_file NOT IN (SELECT binlog_file FROM ({INGEST}) WHERE status = 'completed')")
+def pending_files(spark, sf_dir):
+    from tidemark.streaming import ingest
+
+    return ingest.pending_files(accounts(spark, sf_dir).select("binlog_file").distinct(), run(spark, sf_dir, INGEST))
+
+
+@query("SELECT CAST(length(bin(n)) - 1 AS INT) AS size_class, count(*) AS batches FROM (SELECT count(*) AS n FROM cl GROUP BY date_trunc('hour', event_timestamp)) GROUP BY 1")
+def batch_sizes(spark, sf_dir):
+    """Hours stand for batches."""
+    from tidemark.streaming import ingest
+
+    return ingest.batch_sizes(hour_stats(spark, sf_dir).select(F.col("events").alias("rows")))
+
+
+@query(f"SELECT event_id FROM cl WHERE date_trunc('hour', event_timestamp) NOT IN (SELECT hour FROM ({LEDGER}))")
+def beyond_known(spark, sf_dir):
+    """Events in hours that the ledger doesn't list."""
+    hours = ledger(spark, sf_dir).select(X.partition_time("partition_name").alias("hour"))
+    return retention.beyond_known(accounts(spark, sf_dir), hours).select("event_id")
+
+
+@query(f"SELECT {LISTED} FROM cl WHERE event_timestamp >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+def recent_events(spark, sf_dir):
+    return retention.recent(accounts(spark, sf_dir), NOW, "10 days").select(COLS)
+
+
+@query("WITH m AS (SELECT *, CASE WHEN event_id % 5 = 0 AND event_type = 2 THEN pk_values || 'x' END AS moved FROM cl) SELECT event_id, event_type, pk_values, row_before, row_after FROM m WHERE moved IS NULL UNION ALL SELECT event_id, 3, pk_values, row_before, NULL FROM m WHERE moved IS NOT NULL UNION ALL SELECT event_id, 1, moved, NULL, row_after FROM m WHERE moved IS NOT NULL")
+def key_moves(spark, sf_dir):
+    """Updates that change the key become a DELETE and an INSERT."""
+    new = F.when(F.col("event_id") % 5 == 0, F.concat("pk_values", F.lit("x")))
+    return timetravel.split_pk_moves(accounts(spark, sf_dir), new).select("event_id", "event_type", "pk_values", "row_before", "row_after")
+
+
+STATES_AT = "2024-01-20 12:00:00"
+
+
+@query(f"SELECT table_name, pk_values, row_after AS row_image FROM (SELECT *, row_number() OVER (PARTITION BY table_name, pk_values ORDER BY event_timestamp DESC, event_id DESC) AS r FROM cl WHERE event_timestamp <= TIMESTAMP '{STATES_AT}') WHERE r = 1 AND event_type <> 3")
+def states_at(spark, sf_dir):
+    """Several tables, none with a snapshot, at one moment."""
+    log = accounts(spark, sf_dir)
+    done, failed = timetravel.states_at({t: (None, log.filter(F.col("table_name") == t)) for t in ("accounts", "wallets")}, STATES_AT)
+    if failed:
+        raise RuntimeError(str(failed))
+    own = [df.select(F.lit(t).alias("table_name"), "pk_values", "row_image") for t, df in done.items()]
+    return own[0].unionByName(own[1])
+
+
+@query(MERGED + ", r AS (SELECT count(*) FILTER (action = 'passthrough') AS passthrough, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'deleted') AS deleted, 0 AS invalid, sum(n) AS events FROM m) SELECT CAST(2 AS BIGINT) AS tables, 2 * passthrough AS passthrough, 2 * updated AS updated, 2 * inserted AS inserted, 2 * deleted AS deleted, CAST(0 AS BIGINT) AS invalid, CAST(2 * events AS BIGINT) AS events FROM r")
+def run_totals(spark, sf_dir):
+    """The totals of a run over two tables; here both are orders."""
+    return coverage.run_totals([reconstruct_report(spark, sf_dir)] * 2)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def snapshot_search(spark, sf_dir):
+    """A search over the typed columns of a snapshot."""
+    s = S.Search(column_eq=[("o_orderstatus", "F"), ("o_orderpriority", "1-URGENT")])
+    assert S.snapshot_reason(s) is None
+    return run(spark, sf_dir, "SELECT * FROM orders").filter(S.snapshot_filter(s)).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') AS event_timestamp, CASE event_type WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END AS event_type, '[\"amount\"]' AS changed_columns FROM cl")
+def result_listing(spark, sf_dir):
+    """Events as a listing shows them."""
+    log = accounts(spark, sf_dir).withColumn("changed_columns", F.array(F.lit("amount")))
+    return S.result_columns(log).select("event_id", "event_timestamp", "event_type", "changed_columns")
+
+
+@query("SELECT event_id, pk_values, sha256(pk_values) AS pk_hash, row_before, row_after, schema_name || '.' || table_name AS schema_table FROM cl")
+def stream_split_sinks(spark, sf_dir):
+    """A stream that writes metadata and payloads apart; read again and joined."""
+    from tidemark.streaming import ingest
+
+    root = shared_folder(spark)
+    log = accounts(spark, sf_dir)
+    log.repartition(4, "event_id").write.parquet(f"{root}/in")
+    write = ingest.split_sinks("s1", f"{root}/metadata", f"{root}/payload")
+    feed = ingest.read_feed(spark, f"{root}/in", log.schema, 2)
+    feed.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    full = spark.read.parquet(f"{root}/payload").select("event_id", "pk_values", "row_before", "row_after", "schema_table")
+    return spark.read.parquet(f"{root}/metadata").select("event_id", "pk_hash").join(full, "event_id")
+
+
+@query("SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS table_name, TIMESTAMP '2024-01-05 06:00:00' AS snapshot_time FROM nation WHERE n_nationkey < 3")
+def baseline_discovery(spark, sf_dir):
+    """Snapshots found by their folders."""
+    root = shared_folder(spark)
+    orders = run(spark, sf_dir, "SELECT o_orderkey, o_custkey FROM orders")
+    for i in range(3):
+        orders.filter(F.col("o_custkey") % 3 == i).write.parquet(f"{root}/2024-01-05T06-00-00Z/shop/n{i}")
+    return baseline.discover(spark, root).select("table_name", "snapshot_time")
