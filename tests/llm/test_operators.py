@@ -159,6 +159,22 @@ def test_fuzzy_passages(spark, docs):
     assert (near.word_start, near.word_end, near.first_word_start, near.first_word_end) == (0, 69, 100, 170) and 0.96 < near.identity < 1
 
 
+def test_passages_of_hot_seeds(spark, monkeypatch):
+    """Dealing hot seeds over partitions changes no link to the first document, and loses none."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, rarer = words(70), words(60)
+    rows = [(i, f"{words(rng.randrange(20))} {shared} {words(15)} {rarer if i in (5, 30) else words(9)}", "a") for i in range(40)]
+    key = lambda r: (r.doc_id, r.word_start, r.word_end, r.first_word_start, r.first_word_end, r.identity)
+    plain = {key(r) for r in chain_dedup.passages(frame(spark, rows)).collect() if r.first_doc_id == 0}
+    monkeypatch.setattr(chain_dedup, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(chain_dedup, "HOT_ROWS", 10)
+    assert chain_dedup.hot_seeds(frame(spark, rows).selectExpr("doc_id AS doc", "text"))
+    out = chain_dedup.passages(frame(spark, rows)).collect()
+    assert {key(r) for r in out if r.first_doc_id == 0} == plain and {k[0] for k in plain} == set(range(1, 40))
+    assert all(r.first_doc_id < r.doc_id for r in out) and any((r.doc_id, r.first_doc_id) == (30, 5) for r in out)
+
+
 def test_chains_are_the_best(spark):
     rng = random.Random(2)
     for _ in range(50):
