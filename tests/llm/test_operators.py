@@ -159,6 +159,26 @@ def test_fuzzy_passages(spark, docs):
     assert (near.word_start, near.word_end, near.first_word_start, near.first_word_end) == (0, 69, 100, 170) and 0.96 < near.identity < 1
 
 
+def test_passages_of_text_that_repeats_itself(spark):
+    """Documents that share 50 words of such text with an earlier one have a passage, however often its k-mers stand elsewhere."""
+    rng = random.Random(12)
+    rows = [(i, f"a{i} " + " ".join(["and"] * (20 + i)) + f" b{i} " + " ".join(["x", "y", "z"] * (5 + i // 3)), "a") for i in range(40)]
+    rows += [(100 + i, " ".join(" ".join([rng.choice("pqr")] * rng.randrange(5, 60)) for _ in range(rng.randrange(1, 9))), "a") for i in range(60)]
+    seen, expected = {}, set()
+    for key, text, _ in rows:
+        words = text.split()
+        own = {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
+        if any(seen.setdefault(w, key) != key for w in own):
+            expected.add(key)
+    out = chain_dedup.passages(frame(spark, rows)).collect()
+    assert len(expected) > 40 and expected <= {r.doc_id for r in out}
+    texts = {key: text.split() for key, text, _ in rows}
+    for r in out:
+        assert r.first_doc_id < r.doc_id and r.word_end - r.word_start >= 50 and r.first_word_end - r.first_word_start >= 50
+        if r.identity == 1:
+            assert texts[r.doc_id][r.word_start : r.word_end] == texts[r.first_doc_id][r.first_word_start : r.first_word_end]
+
+
 def test_passages_of_hot_seeds(spark, monkeypatch):
     """Dealing hot seeds over partitions changes no link to the first document, and loses none."""
     rng = random.Random(8)
