@@ -1,5 +1,6 @@
 """Small cases: literals, key forms, sources, merging, streaming, and laws between operators."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -225,3 +226,19 @@ def test_stream_helpers(spark, tmp_path):
     mixed = spark.createDataFrame([(1, "", "s"), (4, "DROP TABLE t", "s"), (5, "", "s")], "event_type int, query string, schema_name string")
     ingest.route(mixed, str(tmp_path / "log"), str(tmp_path / "ddl"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1 and spark.read.parquet(str(tmp_path / "ddl")).first().ddl_type == "DROP TABLE"
+
+
+def test_newest_within_caps(spark):
+    """Against ranks and running sums over all rows, with many rows in a second, null sizes and caps that nothing reaches."""
+    rng = random.Random(4)
+    rows = [(i, datetime(2024, 1, 1 + rng.randrange(2), rng.randrange(3), 0, rng.randrange(4)), rng.choice([None, 0, 5, 9])) for i in range(200)]
+    log = spark.createDataFrame([*rows, (999, None, 5)], "event_id long, event_timestamp timestamp, size long")
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    for events, size in ((None, None), (37, None), (None, 300), (60, 300), (60, 90), (0, None), (None, 0), (1000, 10**6)):
+        want, held = set(), 0
+        for n, (key, _, own) in enumerate(ordered, 1):
+            held += own or 0
+            if (events is None or n <= events) and (size is None or held <= size):
+                want.add(key)
+        out = retention.newest(log, events, size)
+        assert {r.event_id for r in out.collect()} == want and out.columns == log.columns

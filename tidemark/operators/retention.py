@@ -35,19 +35,31 @@ def beyond_known(log: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def newest(log: DataFrame, max_events: int | None = None, max_bytes: int | None = None, size_col: str = "size") -> DataFrame:
-    """The newest events within both caps. Counts and bytes run within hours, and over the few hour totals before them,
-    so that the log is never one window."""
-    own = log.withColumn("_hour", F.date_trunc("hour", "event_timestamp"))
-    totals = own.groupBy("_hour").agg(F.count("*").alias("_events"), F.sum(size_col).alias("_bytes"))
-    after = W.partitionBy(F.lit(0)).orderBy(F.desc("_hour")).rowsBetween(W.unboundedPreceding, -1)  # over hours only
-    later = totals.select("_hour", F.coalesce(F.sum("_events").over(after), F.lit(0)).alias("_later"), F.coalesce(F.sum("_bytes").over(after), F.lit(0)).alias("_later_bytes"))
-    w = W.partitionBy("_hour").orderBy(F.desc("event_timestamp"), F.desc("event_id"))
-    out = own.join(later, "_hour").withColumns({"_rank": F.row_number().over(w) + F.col("_later"), "_held": F.sum(size_col).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("_later_bytes")})
-    if max_events is not None:
-        out = out.filter(F.col("_rank") <= max_events)
-    if max_bytes is not None:
-        out = out.filter(F.col("_held") <= max_bytes)
-    return out.select(log.columns)
+    """The newest events within both caps; those without a time go, and a null size counts as 0. Totals by second show the
+    one second that a cap cuts: newer events stay whole, by a filter that reaches the scan, and only the rows of that
+    second are ranked."""
+    log = log.filter("event_timestamp IS NOT NULL")
+    size, second = F.coalesce(F.col(size_col), F.lit(0)), F.unix_seconds(F.col("event_timestamp").cast("timestamp"))
+    totals = log.groupBy(second.alias("second")).agg(F.count("*").alias("events"), F.sum(size).alias("bytes")).withColumn("hour", F.expr("second div 3600"))
+    newer = W.orderBy(F.desc("hour")).rowsBetween(W.unboundedPreceding, -1)  # over hours only
+    hours = totals.groupBy("hour").agg(F.sum("events").alias("e"), F.sum("bytes").alias("b"))
+    hours = hours.select("hour", F.sum("e").over(newer).alias("hour_events"), F.sum("b").over(newer).alias("hour_bytes"))
+    within = W.partitionBy("hour").orderBy(F.desc("second")).rowsBetween(W.unboundedPreceding, -1)
+    before = {f"before_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) + F.coalesce(f"hour_{c}", F.lit(0)) for c in ("events", "bytes")}
+    caps = [(c, cap) for c, cap in (("events", max_events), ("bytes", max_bytes)) if cap is not None]
+    over = [F.col(c) + F.col(f"before_{c}") > cap for c, cap in caps]
+    if not over:
+        return log
+    cut = totals.join(hours, "hour").withColumns(before).filter(over[0] | over[-1]).orderBy(F.desc("second")).first()
+    if cut is None:
+        return log
+    start, end = (F.timestamp_seconds(F.lit(cut.second + i)) for i in (0, 1))
+    w = W.partitionBy(F.date_trunc("second", "event_timestamp")).orderBy(F.desc("event_timestamp"), F.desc("event_id")).rowsBetween(W.unboundedPreceding, 0)
+    edge = log.filter((F.col("event_timestamp") >= start) & (F.col("event_timestamp") < end))
+    edge = edge.withColumns({"_events": F.count("*").over(w) + cut.before_events, "_bytes": F.sum(size).over(w) + cut.before_bytes})
+    for c, cap in caps:
+        edge = edge.filter(F.col(f"_{c}") <= cap)
+    return log.filter(F.col("event_timestamp") >= end).unionByName(edge.select(log.columns))
 
 
 def recent(log: DataFrame, now, max_age: str) -> DataFrame:
