@@ -299,6 +299,27 @@ def undo_no_pk(spark, sf_dir):
     return undo.statements(orders_log(spark, sf_dir).filter("event_type = 1").withColumn("schema_version", F.lit(0)), nothing).select("event_id", "statement")
 
 
+ANY_UNDO = "CASE event_type " + " ".join(f"WHEN {kind} THEN {text}" for kind, text in UNDO.items()) + " END"
+
+
+@query(f"SELECT event_id, {ANY_UNDO} AS statement FROM cl WHERE gtid = '3e11fa47-71ca-11e1-9e33-c80aa9429562:100'")
+def undo_transaction(spark, sf_dir):
+    found = S.matching(accounts(spark, sf_dir), S.Search(gtid="3e11fa47-71ca-11e1-9e33-c80aa9429562:100"))
+    return undo.statements(found, small(spark, SNAPSHOTS)).select("event_id", "statement")
+
+
+@query(f"SELECT event_id, {ANY_UNDO} AS statement FROM cl WHERE " + JSON_EQ.format(v="click"))
+def undo_by_column_value(spark, sf_dir):
+    found = S.matching(accounts(spark, sf_dir), S.Search(column_eq=[("kind", "click")]))
+    return undo.statements(found, small(spark, SNAPSHOTS)).select("event_id", "statement")
+
+
+@query(f"SELECT event_id, {ANY_UNDO} AS statement FROM cl WHERE table_name = 'wallets' AND event_timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 12:30:00' AND pk_values IN ('3', '5', '8', '12', '20')")
+def undo_keys_in_time(spark, sf_dir):
+    found = S.matching(accounts(spark, sf_dir), S.Search(table="wallets", since="2024-01-05", until="2024-01-06 12:30:00", pk_in=["3", "5", "8", "12", "20"]))
+    return undo.statements(found, small(spark, SNAPSHOTS)).select("event_id", "statement")
+
+
 @query()
 def undo_script(spark, sf_dir):
     return undo.script(S.matching(accounts(spark, sf_dir), S.Search(table="wallets")), small(spark, SNAPSHOTS))
