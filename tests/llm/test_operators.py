@@ -195,6 +195,20 @@ def test_passages_of_hot_seeds(spark, monkeypatch):
     assert all(r.first_doc_id < r.doc_id for r in out) and any((r.doc_id, r.first_doc_id) == (30, 5) for r in out)
 
 
+def test_passages_apart_in_one_pair(spark):
+    """Each passage that a pair of documents shares is found, however long the one before and whatever lies between."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for i, (first, gap, second) in enumerate(((100, 100, 100), (100, 80, 100), (100, 300, 100), (300, 500, 300), (200, 80, 600), (60, 60, 60), (70, 30, 70))):
+        a, b = words(first), words(second)
+        rows += [(2 * i, " ".join(a + words(gap) + b), "a"), (2 * i + 1, " ".join(a + words(gap) + b), "a")]
+        want |= {(2 * i + 1, 2 * i, 0, first), (2 * i + 1, 2 * i, first + gap, first + gap + second)}
+    out = chain_dedup.passages(frame(spark, rows)).collect()
+    met = {w for w in want for r in out if (r.doc_id, r.first_doc_id) == w[:2] and r.word_start <= w[2] and r.word_end >= w[3]}
+    assert met == want
+
+
 def test_chains_are_the_best(spark):
     rng = random.Random(2)
     for _ in range(50):
