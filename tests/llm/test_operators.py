@@ -209,6 +209,21 @@ def test_passages_apart_in_one_pair(spark):
     assert met == want
 
 
+def test_passages_whose_parts_stand_singly(spark):
+    """A run of lines is met as a whole, though each line stands alone in documents before its first holder and between."""
+    rng = random.Random(31)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for trial, sizes in enumerate([(40, 40), (35, 30), (25, 25, 25), (20, 20, 21)] * 10):
+        lines = [words(n) for n in sizes]
+        alone = lambda: [f"{words(30)} {line} {words(30)}" for line in lines]
+        texts = [*alone(), " ".join([words(30), *lines, words(30)]), *alone(), " ".join([words(9), *lines, words(40)])]
+        rows += [(100 * trial + i, text, "a") for i, text in enumerate(texts)]
+        want[100 * trial + len(texts) - 1] = (100 * trial + len(lines), 9, 9 + sum(sizes))
+    out = chain_dedup.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, (r.first_doc_id, r.word_start, r.word_end)) for r in out} == set(want.items())
+
+
 def test_chains_are_the_best(spark):
     rng = random.Random(2)
     for _ in range(50):
