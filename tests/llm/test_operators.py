@@ -195,6 +195,28 @@ def test_passages_of_hot_seeds(spark, monkeypatch):
     assert all(r.first_doc_id < r.doc_id for r in out) and any((r.doc_id, r.first_doc_id) == (30, 5) for r in out)
 
 
+@pytest.mark.parametrize("parts", ["4", "7"])
+def test_passages_do_not_depend_on_the_sample(spark, monkeypatch, parts):
+    """All pairs are the same, whether seeds count as hot or not and over however many partitions they are dealt."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, rarer = words(70), words(60)
+    rows = [(i, f"{words(rng.randrange(20))} {shared} {rarer if i % 13 == 5 else words(9)}", "a") for i in range(60)]
+    plain = {tuple(r) for r in chain_dedup.passages(frame(spark, rows)).collect()}
+    assert {(r[0], r[1]) for r in plain} >= {(i, j) for i in range(1, 60) for j in (0, i - 1)}
+    monkeypatch.setattr(chain_dedup, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(chain_dedup, "HOT_ROWS", 5)
+    own = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert {tuple(r) for r in chain_dedup.passages(frame(spark, rows)).collect()} == plain
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
 def test_passages_apart_in_one_pair(spark):
     """Each passage that a pair of documents shares is found, however long the one before and whatever lies between."""
     rng = random.Random(21)
