@@ -355,6 +355,15 @@ def test_html(spark):
     assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0), 4: ("plain text only", 15), 5: ("deep", 4), 6: ("cut off &am", 11), 7: ("", 0), None: ("A b", 3)}
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "overflow-hidden", "no-comments", "with-nav", "widget"])
+def test_html_in_a_wrapper(name):
+    """A wrapper's name leaves out no page, short headings and paragraphs beside the body stay, and what has such names goes."""
+    body = "".join(f"<p>Paragraph {i} of the story, with words, and commas, that go on for a while.</p>" for i in range(6))
+    page = f"<body><div class='{name}'><div class='cookie-bar'>We use cookies.</div><h1>A title</h1><p>Short start.</p><div class=body>{body}</div><div id=site-sidebar>Other things</div></div></body>"
+    text = html_text.main_text(page).split("\n")
+    assert text[:2] == ["A title", "Short start."] and len(text) == 8
+
+
 def test_html_on_pages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     import html as h

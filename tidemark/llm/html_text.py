@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a light tree. Elements that never hold an article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are left out. Every block with text of its own passes points for its length and
+forms, scripts, styles, reader comments) are left out. One that only its class or id tells stays if it holds most of the
+page's text and no article or main has text outside it. Every block with text of its own passes points for its length and
 commas to its ancestors, less with distance; an ancestor's points are discounted by the share of its text inside links.
 The best container is kept with those siblings that score well too, and its blocks are joined in page order.
 
@@ -31,6 +32,8 @@ SCOPES = frozenset("ul ol dl table select article section div main aside nav bod
 LEFT_OUT = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video map menu dialog noembed noframes".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES_OUT = frozenset("ad ads advert adverts advertisement advertising advertorial adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split())
+#: Other words in names such as cookie-bar or site-header; a name with any further word, such as has-sidebar, tells nothing.
+NAMES_BESIDE = frozenset("area article bar block blog bottom box button buttons container entry fixed form global icon icons inner item items left link links list main media mobile outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -43,10 +46,10 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("children", "name", "out", "parent", "points")
+    __slots__ = ("children", "name", "named", "out", "parent", "points")
 
-    def __init__(self, name: str, parent: Node | None, out: bool = False):
-        self.name, self.parent, self.out = name, parent, out
+    def __init__(self, name: str, parent: Node | None, out: bool = False, named: bool = False):
+        self.name, self.parent, self.out, self.named = name, parent, out, named
         self.children: list = []
         self.points = 0.0
 
@@ -65,11 +68,45 @@ def is_out(tag: str, attrs: str, parent: Node) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in ROLES_OUT:
             return True
-        if name in ("class", "id") and not NAMES_OUT.isdisjoint(NAME.findall(value)):
-            return True
     return False
 
 
+def is_named_out(tag: str, attrs: str) -> bool:
+    """Whether a class or an id, as a whole, names what holds no article text."""
+    if tag in ("html", "body", "article", "main") or not attrs:
+        return False
+    for name, value in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in value.strip("\"'").lower().split():
+                parts = set(NAME.findall(token))
+                if not NAMES_OUT.isdisjoint(parts) and (parts - NAMES_OUT) <= NAMES_BESIDE and ("hidden" not in parts or token == "hidden"):
+                    return True
+    return False
+
+
+def leave_out_named(root: Node) -> None:
+    """Leaves out the elements with such names, but those that hold most of the page's text."""
+    order, stack = [], [root]
+    while stack:
+        at = stack.pop()
+        order.append(at)
+        stack += [c for c in at.children if isinstance(c, Node) and not c.out]
+    if not any(node.named for node in order):
+        return
+    size = dict.fromkeys(order, 0)
+    for at in reversed(order):
+        size[at] += sum(len(c.strip()) for c in at.children if isinstance(c, str))
+        if at.parent is not None:
+            size[at.parent] += size[at]
+    inside: dict[Node, bool] = {}
+    apart = False
+    for at in order:
+        inside[at] = at.named or at.parent is not None and inside[at.parent]
+        apart |= at.name in ("article", "main") and size[at] > 0 and not inside[at]
+    for at in order:
+        at.out = at.out or at.named and (apart or 2 * size[at] <= size[root])
+
+
 def tree(page: str) -> Node:
     root = at = Node("#root", None)
     last, n = 0, len(page)
@@ -109,7 +146,7 @@ def tree(page: str) -> Node:
                     found = up
                 up = up.parent
             at = found.parent if found is not None else at
-        node = Node(tag, at, is_out(tag, m["attrs"], at))
+        node = Node(tag, at, is_out(tag, m["attrs"], at), is_named_out(tag, m["attrs"]))
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, last)
@@ -168,7 +205,9 @@ def blocks(node: Node) -> list[tuple[Node, str, int]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(tree(page))
+    root = tree(page)
+    leave_out_named(root)
+    found = blocks(root)
     if not found:
         return ""
     chars: dict[Node, list[int]] = {}
@@ -204,7 +243,7 @@ def main_text(page: str | None) -> str:
         for sibling in top.parent.children:
             if isinstance(sibling, Node) and sibling in chars:
                 n, links = chars[sibling]
-                if value(sibling) >= least or sibling.name in ("p", "pre", "blockquote", "h1", "h2") and links < 0.25 * n and n >= 80:
+                if value(sibling) >= least or sibling.name in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and links < 0.25 * n:
                     keep.add(sibling)
     out = []
     for owner, text, _ in found:
