@@ -12,6 +12,7 @@ from tidemark.functions import expressions as X
 from tidemark.operators import coverage, gtid, identity, normalise, policy, retention, timetravel, undo
 from tidemark.operators import search as S
 from tidemark.plans.views import accounts, orders_baseline, orders_log, run, with_views
+from tidemark.session import shared_root
 from tidemark.sources import archive, baseline, dumps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,10 +35,7 @@ def query(sql: str | None = None):
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where all executors see it."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 # Small tables that stand in for a catalogue and rules; they are only ever joined to the driver's tables.

@@ -1,8 +1,9 @@
-"""What Python workers need from the session."""
+"""What Python workers and intermediate data need from the session."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,3 +15,20 @@ def share_package(spark: SparkSession) -> None:
     root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Only a local
+    master, whose executors are this process, may do without and gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return root
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data, where it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
