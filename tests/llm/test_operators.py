@@ -272,6 +272,20 @@ def test_token_counts(spark, mixed):
     assert Counter(tuple(r) for r in token_counts.token_counts(frame(spark, mixed), path).collect()) == want
 
 
+def test_token_counts_row_for_row(spark, monkeypatch):
+    """Clashing and null ids give a row each, whatever the texts; pre-tokens dealt as hot count alike."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(1, "one text", "a"), (1, "another, longer text", "a"), (None, "x y", "a"), (None, "x y", "a"), (None, None, "b"), (2, "", "a"), (3, "same", "a"), (3, "same", "a"), (3, "other one", "a"), (4, "same", "a")]
+    rows += [(10 + i, "the same words of all", "a") for i in range(200)]
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids), False) for i, t, _ in rows)
+    assert Counter(tuple(r) for r in token_counts.token_counts(frame(spark, rows), path).collect()) == want
+    monkeypatch.setattr(token_counts, "BROADCAST_IDS", 0)
+    assert Counter(tuple(r) for r in token_counts.token_counts(frame(spark, rows), path).collect()) == want
+
+
 def test_line_dedup(spark, mixed):
     rows = mixed + [(500 + i, f"Home | About\nown line {i}\n\n  Home | About ", "a") for i in range(20)] + [(600, "Home | About", "q")]
     pages, total = defaultdict(set), Counter()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,19 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import share_package
+from tidemark.session import share_package, shared_root
 
 #: Rows in an Arrow batch: bounds what a Python worker holds when texts are long.
 BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that the operators rely on; the checkpoint folder is set only where the cluster names none."""
+    """Settings that the operators rely on. The checkpoint folder is the one that the session names; shared_root() says
+    what holds where it names none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     share_package(spark)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_root(spark))
     return spark
 
 

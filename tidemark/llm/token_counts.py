@@ -4,9 +4,11 @@ pre-token frequencies of the documents.
 A task turns a block of documents into one row per distinct pre-token with the documents that hold it and how often.
 A hot pre-token so has one row per block, not one per document. Rows are dealt and sorted by pre-token; each distinct
 pre-token is counted by the library once and joined to its rows, and frequency times count is summed per document.
+Rows of a pre-token that many documents of a block hold are dealt over all partitions, each of which counts it.
 
-Null text counts as empty: no tokens. Repeated rows (same id, same text) each get a row; different texts under one id
-are parts of one document whose counts add up. Rows with a null id are taken as one id. Extra columns are not returned.
+Each row of the input gives one row. Null text counts as empty: no tokens. Sums are kept by id; rows with the same id and
+different texts, null ids among them, are told apart by a hash of the text and summed in a pass of their own. Ids are
+integers, or text that can be cast to one. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ HELD_SUMS = 2_000_000
 BLOCK_IDS = 1 << 12
 #: Below this code point, letter and digit classes are alike in all Unicode versions and all text is in NFC.
 PLAIN_BELOW = 0x0250
-#: Stands for a null id in the postings.
-NULL_ID = -(1 << 62)
+#: A pre-token that so many documents of a block hold may be hot: its rows are dealt over all partitions.
+HOT_DOCUMENTS = 64
+#: Ids with different texts that are broadcast, 8 bytes each.
+BROADCAST_IDS = 1 << 20
 
 
 class PreTokens:
@@ -92,15 +96,16 @@ def posting(found: list[int]) -> tuple[int, int, bytes, bytes]:
     return len(ids), ids[0], narrow([b - a for a, b in zip(ids, ids[1:], strict=False)]), narrow([t for _, t in pairs])
 
 
-def frequencies(path: str):
-    """Arrow batches of (key, text) to rows of pre-token postings."""
+def frequencies(path: str, spread: int):
+    """Arrow batches of (key, text) to rows of pre-token postings. deal: 0, or one of spread numbers for rows of many
+    documents."""
 
     def rows(postings: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
         items = list(postings.items())
         for at in range(0, len(items), 50_000):
             part = items[at : at + 50_000]
             made = list(zip(*[posting(x) for _, x in part], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), *(pa.array(c, t) for c, t in zip(made, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["piece", "n", "first", "steps", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), *(pa.array(c, t) for c, t in zip(made, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)), pa.array([first % spread if n >= HOT_DOCUMENTS else 0 for n, first in zip(made[0], made[1], strict=True)], pa.int32())], names=["piece", "n", "first", "steps", "times", "deal"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = pre_tokens(path)
@@ -174,14 +179,31 @@ def added(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(there + table.column("block")[0].as_py() * BLOCK_IDS), "tokens": pa.array(sums[there].astype(np.int64))})
 
 
+def sums_by_key(texts: DataFrame, path: str) -> DataFrame:
+    """(key, tokens) of texts (key long, text string), for the keys that have tokens."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(frequencies(path, n), "piece string, n int, first long, steps binary, times binary, deal int").repartition("piece", "deal").sortWithinPartitions("piece")
+    return dealt.mapInArrow(summed(path), "block long, inside binary, sums binary").groupBy("block").applyInArrow(added, "key long, tokens long")
+
+
 def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) per document, as the tokenizers file at path counts."""
-    plain = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = plain.mapInArrow(frequencies(path), "piece string, n int, first long, steps binary, times binary").repartition("piece").sortWithinPartitions("piece")
-    sums = dealt.mapInArrow(summed(path), "block long, inside binary, sums binary").groupBy("block").applyInArrow(added, "key long, tokens long")
-    heads = plain.select("key", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"))
-    heads = heads.groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), (F.min("hash") == F.max("hash")).alias("same"))
-    repeats = F.when(F.col("same"), F.col("rows")).otherwise(1)
-    each = heads.join(sums, "key", "left").select("key", repeats.alias("repeats"), F.expr("CASE WHEN same THEN size div rows ELSE size END").alias("n_bytes"), F.expr("coalesce(CASE WHEN same THEN tokens div rows ELSE tokens END, 0L)").alias("n_tokens"))
-    each = each.withColumn("copy", F.explode(F.expr("sequence(1, cast(repeats as int))")))
-    return each.select(F.when(F.col("key") != NULL_ID, F.col("key")).cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    """(id, n_bytes, n_tokens, over_limit) per row, as the tokenizers file at path counts."""
+    plain = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = plain.select("id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n_bytes")).groupBy("id", "hash", "n_bytes").agg(F.count("*").alias("repeats")).checkpoint()
+    # Ids with one text are their own keys. Any others, usually none, are found beforehand and have the text's hash in the key.
+    unlike = own.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1 OR id IS NULL").select("id").checkpoint()
+    key = F.xxhash64("id", "hash")
+    if not (many := unlike.count()):
+        each = own.join(sums_by_key(plain.select(F.col("id").alias("key"), "text"), path), F.col("id") == F.col("key"), "left").withColumn("times", F.col("repeats"))
+    else:
+        is_unlike = unlike.select(F.col("id").alias("unlike_id"), F.lit(True).alias("other"))
+        is_unlike = F.broadcast(is_unlike) if many <= BROADCAST_IDS else is_unlike
+        marked = lambda x: x.join(is_unlike, F.col("id").eqNullSafe(F.col("unlike_id")), "left").drop("unlike_id")
+        texts, own = marked(plain.withColumn("hash", F.xxhash64("text"))), marked(own)
+        alike = sums_by_key(texts.filter("other IS NULL").select(F.col("id").alias("key"), "text"), path)
+        others = sums_by_key(texts.filter("other").dropDuplicates(["id", "hash"]).select(key.alias("key"), "text"), path)
+        each = own.filter("other IS NULL").join(alike, F.col("id") == F.col("key"), "left").withColumn("times", F.col("repeats"))
+        each = each.unionByName(own.filter("other").join(others, key == F.col("key"), "left").withColumn("times", F.lit(1).cast("long")))
+    each = each.withColumn("n_tokens", F.expr("coalesce(tokens, 0L) div times"))
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return each.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
