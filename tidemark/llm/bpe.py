@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import map_texts
 
-#: Pieces kept by a Python worker; beyond it the store starts anew (speed only).
-KEPT_PIECES = 300_000
+#: Pieces kept by a Python worker, and their most characters; beyond it the store starts anew (speed only).
+KEPT_PIECES, KEPT_CHARACTERS = 300_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -60,7 +60,11 @@ class Codec:
         new = list({p for ps in pieces for p in ps if p not in kept})
         for piece, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             kept[piece] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, ps)) for ps in pieces]
+        out = [b"".join(map(kept.__getitem__, ps)) for ps in pieces]
+        for piece in new:
+            if len(piece) > KEPT_CHARACTERS:
+                del kept[piece]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of a run of ids; a character that the run cuts stays cut."""
