@@ -11,8 +11,6 @@ get a result each; a null id is held out. Extra columns are not returned by pred
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import filter_texts
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
@@ -241,10 +238,15 @@ def fit(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_co
     return network
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character has a letter category; digits in circles, fractions and Roman numerals have not."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def labelled(network: Network | None, s: Settings, texts: list[str | None]) -> list[tuple[str, float]]:
     if network is None:
         return [(UNDETERMINED, 0.0)] * len(texts)
-    p = network.label([t.encode() if t and LETTER.search(t) else b"" for t in texts], s)
+    p = network.label([t.encode() if has_letter(t) else b"" for t in texts], s)
     best = p.argmax(axis=1)
     return [(network.labels[k], float(min(1.0, p[i, k]))) if p[i, k] > 0 else (UNDETERMINED, 0.0) for i, k in enumerate(best.tolist())]
 
@@ -267,7 +269,3 @@ def predict(df: DataFrame, network: Network | None, s: Settings = Settings(), id
 def accepted(df: DataFrame, network: Network | None, least: float = 0.35, s: Settings = Settings(), text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose language is determined with at least this score."""
     return filter_texts(df, text_col, lambda: lambda texts: [k != UNDETERMINED and p >= least for k, p in labelled(network, s, texts)])
-
-
-def is_held_out(doc_id) -> bool:
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
