@@ -410,11 +410,26 @@ def test_decontamination(spark, docs, sf_dir):
     for limit in (decontam.AUTOMATON_BYTES, 3000):
         got = {r.doc_id: r for r in decontam.contamination(frame(spark, rows), bench, limit=limit).collect()}
         assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
+        assert Counter(r.doc_id for r in decontam.drop_contaminated(frame(spark, rows), bench, limit=limit).collect()) == Counter(i for i, t, _ in rows if not want[i][1])
     first = got[1]
     assert [rows[0][1][s.start : s.end] for s in first.spans] == ["SHORT, item HERE", "an item without id but with words"]
     assert {r.doc_id for r in decontam.drop_contaminated(frame(spark, rows), bench).collect()} == {i for i, (_, n, _) in want.items() if not n}
     empty = bench.limit(0)
     assert decontam.contamination(frame(spark, rows), empty).filter("n_hit > 0").count() == 0
+    again = [(None, rows[0][1], "a"), (None, rows[0][1], "a"), (None, None, "a"), (7, rows[0][1], "a"), (7, "clean", "a")]
+    for limit in (decontam.AUTOMATON_BYTES, 3000):
+        got = decontam.contamination(frame(spark, again), bench, limit=limit)
+        assert Counter((r.doc_id, r.n_words, r.n_hit) for r in got.collect()) == Counter({(None, *want[1][:2]): 2, (None, 0, 0): 1, (7, *want[1][:2]): 1, (7, 1, 0): 1})
+        assert got.columns == ["doc_id", "n_words", "n_hit", "items", "spans"] and decontam.contamination(frame(spark, []), bench, limit=limit).count() == 0
+
+
+def test_one_automaton_at_a_time():
+    """A Python worker that serves several parts of a benchmark holds the last one's automaton."""
+    from types import SimpleNamespace
+
+    for part in range(4):
+        decontam.automaton(SimpleNamespace(value=(f"part {part}", [("i", b"a b c")])), 10)
+        assert len(decontam._BUILT) == 1
 
 
 def test_fingerprints(spark, mixed):
@@ -449,6 +464,8 @@ def test_language(spark, sf_dir):
     held = [r for r in rows if r.held_out]
     assert sum(r.lang == r.lang_pred for r in held) > 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows)
     odd = {r.doc_id: r for r in langid.predict(frame(spark, AWKWARD), network).collect()}
+    signs = frame(spark, [(i, t, "a") for i, t in enumerate(["½", "² ①", "Ⅷ 12", "_", "ª", "é", "字"])])
+    assert [r.lang_pred == "und" for r in sorted(langid.predict(signs, network).collect())] == [True] * 4 + [False] * 3
     assert [odd[i].lang_pred for i in (1, 2, 4, 14)] == ["und"] * 4 and odd[9].lang_pred != "und" and odd[None].held_out
     assert langid.fit(df.filter("lang IS NULL")) is None
     assert langid.predict(df.limit(3), None).filter("lang_pred = 'und'").count() == 3

@@ -4,8 +4,10 @@ Items are cut into words; each run of 10 words of an item (or the whole of a sho
 one character each, so that the automaton reads a document word by word, once, and finds every window. Hit words are
 mapped to character offsets of the original text.
 
-The items travel in a broadcast only up to AUTOMATON_BYTES; larger benchmarks are dealt by item into as many automata as
-they need, and the documents pass through them one after the other, without a shuffle.
+The items travel in one broadcast up to AUTOMATON_BYTES. A larger benchmark is dealt by item into parts of that size, one
+broadcast and one pass over the documents after the other: a pass writes what it finds to the shared folder and its
+broadcast goes, so that neither the driver nor a worker ever holds more than one part. What was found is then joined to the
+documents by id and a hash of the text.
 
 Null or wordless texts and items have no words and hit nothing. Items with a null id contaminate but are not listed;
 repeated items count once. Repeated documents get a result each. Extra columns are not returned by contamination();
@@ -14,15 +16,15 @@ drop_contaminated() returns all columns as they are.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import filter_texts, map_texts
+from tidemark.llm.common import arrow_type, as_bytes, filter_texts, id_field, map_texts, schema_of
 
 WINDOW_WORDS = 10
 #: Bytes of item text in one automaton; a window needs some 100 bytes a word in a Python worker.
@@ -72,30 +74,32 @@ class Windows:
             ids |= found
 
 
-def parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list:
-    """Broadcasts of the items, each of at most about limit bytes of text."""
+def dealt(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[DataFrame, int]:
+    """(part, item, text) of the items, and the number of parts, each of about limit bytes of text."""
     plain = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
-    dealt = plain.withColumn("part", F.expr(f"pmod(xxhash64(item, text), {n})"))
-    name = uuid.uuid4().hex
-    return [benchmark.sparkSession.sparkContext.broadcast((name, i, [(r.item, r.text.encode() if r.text is not None else None) for r in dealt.filter(F.col("part") == i).toLocalIterator()])) for i in range(n)]
+    n = -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit) or 1
+    return plain.select(F.expr(f"pmod(xxhash64(item, text), {n})").alias("part"), "item", "text"), n
 
 
-def searcher(held: list, size: int) -> Callable:
+def broadcast(items: DataFrame, part: int):
+    """A broadcast of the items of one part."""
+    rows = [(r.item, r.text.encode() if r.text is not None else None) for r in items.filter(F.col("part") == part).toLocalIterator()]
+    return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+
+def searcher(held, size: int) -> Callable:
     """A kernel: texts to [(words, marks, item ids)]."""
 
     def kernel():
-        automata = [automaton(b, size) for b in held]
+        own = automaton(held, size)
 
         def run(texts):
             out = []
             for text in texts:
-                own = words(text)
-                marks, ids = bytearray(len(own)), set()
-                for a in automata:
-                    a.hits(own, marks, ids)
-                out.append((own, marks, ids))
+                found = words(text)
+                marks, ids = bytearray(len(found)), set()
+                own.hits(found, marks, ids)
+                out.append((found, marks, ids))
             return out
 
         return run
@@ -107,50 +111,115 @@ _BUILT: dict[tuple, Windows] = {}
 
 
 def automaton(held, size: int) -> Windows:
-    """Built once for each benchmark, part and Python worker; those of another benchmark go."""
-    name, part, items = held.value
-    if (name, part, size) not in _BUILT:
-        for other in [k for k in _BUILT if k[0] != name]:
-            del _BUILT[other]
-        _BUILT[name, part, size] = Windows(items, size)
-    return _BUILT[name, part, size]
+    """Built once for each broadcast and Python worker, which holds one at a time."""
+    name, items = held.value
+    if (name, size) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, size] = Windows(items, size)
+    return _BUILT[name, size]
+
+
+def text_hash(text: Column) -> Column:
+    """96 bits and the length of a text; null for null."""
+    return F.when(text.isNotNull(), F.concat_ws("-", F.xxhash64(text).cast("string"), F.hash(text).cast("string"), F.octet_length(text).cast("string")))
+
+
+def ranges(marks: bytearray) -> list[tuple[int, int]]:
+    """Runs of hit words."""
+    return [m.span() for m in re.finditer(b"\1+", marks)]
+
+
+def passes(docs: DataFrame, items: DataFrame, n: int, size: int) -> DataFrame:
+    """(id, hash, hits array<struct<start,end>>, items) of the documents (id, text) in which one of n parts of the items
+    has windows, a row for each such part. hash: of the text, so that id and hash stand for the row."""
+    schema = "id string, hash string, hits array<struct<start: int, end: int>>, items array<string>"
+
+    def found_in(held) -> Callable:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            apply = searcher(held, size)()
+            for batch in batches:
+                marked = apply(as_bytes(batch.column(2)))
+                at = [i for i, (_, marks, _) in enumerate(marked) if any(marks)]
+                hits = [[{"start": a, "end": b} for a, b in ranges(marked[i][1])] for i in at]
+                listed = [sorted(marked[i][2] - {None}) for i in at]
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hits, kinds[2]), pa.array(listed, kinds[3])], names=["id", "hash", "hits", "items"])
+
+        return run
+
+    kinds = [arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields]
+    hashed = docs.select(F.col("id").cast("string").alias("id"), text_hash(F.col("text")).alias("hash"), "text")
+    out = None
+    for part in range(n):
+        held = broadcast(items, part)
+        own = hashed.mapInArrow(found_in(held), schema).checkpoint()
+        held.destroy()
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def spans(text: bytes | None, marks: bytearray) -> list[tuple[int, int]]:
+def spans(text: bytes | None, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character ranges of runs of hit words in the original text."""
-    if not any(marks):
+    if not hits:
         return []
     lower = text.decode().translate({c: c + 32 for c in range(0x41, 0x5B)})
     at = [m.span() for m in WORD.finditer(lower)]
-    return [(at[m.start()][0], at[m.end() - 1][1]) for m in re.finditer(b"\1+", marks)]
+    return [(at[a][0], at[b - 1][1]) for a, b in hits]
+
+
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans array<struct<start,end>>) per row; items are sorted."""
-    search = searcher(parts(benchmark, item_col, item_text_col, limit), size)
+    items, n = dealt(benchmark, item_col, item_text_col, limit)
 
-    def kernel():
-        run = search()
+    def columns(texts, found):
+        """found: (number of words, runs of hit words, items) of each text."""
+        return [[w for w, _, _ in found], [sum(b - a for a, b in h) for _, h, _ in found], [i for _, _, i in found], [[{"start": a, "end": b} for a, b in spans(t, h)] for t, (_, h, _) in zip(texts, found, strict=True)]]
 
-        def apply(texts):
-            found = run(texts)
-            return [[len(w) for w, _, _ in found], [sum(m) for _, m, _ in found], [sorted(i - {None}) for _, _, i in found], [[{"start": a, "end": b} for a, b in spans(t, m)] for t, (_, m, _) in zip(texts, found, strict=True)]]
+    if n == 1:
+        search = searcher(broadcast(items, 0), size)
 
-        return apply
+        def kernel():
+            run = search()
+            return lambda texts: columns(texts, [(len(w), ranges(m), sorted(i - {None})) for w, m, i in run(texts)])
 
-    return map_texts(df, id_col, text_col, "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>", kernel, binary=True)
+        return map_texts(df, id_col, text_col, FOUND, kernel, binary=True)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = passes(docs, items, n, size).groupBy(F.col("id").alias("key"), F.col("hash").alias("own")).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = docs.join(found, F.col("id").cast("string").eqNullSafe(F.col("key")) & (text_hash(F.col("text")) == F.col("own")), "left").select(F.col("id").alias(id_col), "text", "hits", "items")
+    schema = schema_of(id_field(df, id_col), FOUND)
+    kinds = [arrow_type(f.dataType) for f in schema.fields[1:]]
 
+    def merge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows without a hit word, all columns as they are."""
-    search = searcher(parts(benchmark, item_col, item_text_col, limit), size)
-
-    def kernel():
-        run = search()
-        return lambda texts: [not any(m) for _, m, _ in run(texts)]
+        for batch in batches:
+            texts, own = as_bytes(batch.column(1)), []
+            for text, hits, listed in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                marks = bytearray(len(words(text)))
+                for h in hits or []:
+                    marks[h["start"] : h["end"]] = b"\1" * (h["end"] - h["start"])
+                own.append((len(marks), ranges(marks), listed or []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns(texts, own), kinds, strict=True))], names=schema.names)
 
-    return filter_texts(df, text_col, kernel, binary=True)
+    return joined.mapInArrow(merge, schema)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows without a hit word, all columns as they are."""
+    items, n = dealt(benchmark, item_col, item_text_col, limit)
+    if n == 1:
+        search = searcher(broadcast(items, 0), size)
+
+        def kernel():
+            run = search()
+            return lambda texts: [not any(m) for _, m, _ in run(texts)]
+
+        return filter_texts(df, text_col, kernel, binary=True)
+    text = F.col(text_col)
+    found = passes(df.select(F.lit(None).cast("string").alias("id"), text.alias("text")), items, n, size).select(F.col("hash").alias("_own_hash")).distinct()
+    return df.join(found, text_hash(text) == F.col("_own_hash"), "left_anti")
