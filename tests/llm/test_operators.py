@@ -378,14 +378,40 @@ def test_html_in_a_wrapper(name):
     assert text[:2] == ["A title", "Short start."] and len(text) == 8
 
 
-def test_html_on_pages(spark, sf_dir):
+HTML_PROBES = [
+    ('<a href="/hidden-gems">the guide</a>', "the guide"), ('<a href="/x?id=ad">x</a>', "x"), ('<p title="a hidden gem">t</p>', "t"), ('<p data-hidden="false">t</p>', "t"), ("<p data-x='class=ad'>t</p>", "t"),
+    ("<p hidden>no</p><p>t</p>", "t"), ("<p aria-hidden=true>no</p><p>t</p>", "t"), ("<p style='display: none'>no</p><p>t</p>", "t"), ("<div class=ad>Buy, now, more words than the text has.</div><p>t</p>", "t"),
+    ('<div class="layout has-sidebar"><article><p>T, and more</p></article></div>', "T, and more"), ('<div class="post no-comments"><p>T</p></div>', "T"), ('<p class="comment-on-policy">T</p>', "T"),
+    ("<main><article><h1>A</h1><p>One, two, three.</p></article><article><h1>B</h1><p>One, two, four.</p></article></main>", "A\nOne, two, three.\nB\nOne, two, four."),
+    ("<div class=post><div class=head><h1>Title</h1></div><div class=w><div class=body><p>Long, text.</p><p>Long, text.</p></div></div></div>", "Title\nLong, text.\nLong, text."),
+    ("<article><section><h2>S</h2><p>Short.</p></section><section>" + "<p>Long, long text.</p>" * 9 + "</section></article>", "S\nShort." + "\nLong, long text." * 9),
+    ("<div><section><h2>S</h2><p>Short.</p></section><section>" + "<p>Long, long text.</p>" * 9 + "</section><ul><li><a href=x>Related</a></li><li><a href=y>links</a></li></ul></div>", "S\nShort." + "\nLong, long text." * 9),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), HTML_PROBES)
+def test_html_probes(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_html_on_pages(spark, sf_dir, tag):
+    """The scoring finds the text whatever the element around it is called."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     import html as h
 
     for r in rows:
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)
         want = [re.sub(r"\s+", " ", h.unescape(re.sub(r"<[^>]*>", " ", p))).strip() for p in re.split(r"</?(?:p|h1)>", body[1])]
-        assert html_text.main_text(r.html) == "\n".join(filter(None, want))
+        page = r.html.replace("<article", f"<{tag}").replace("</article", f"</{tag}")
+        assert html_text.main_text(page) == "\n".join(filter(None, want))
+
+
+def test_html_rows(spark):
+    """Repeated rows get a result each, extra columns with clashing names do no harm, and an empty table gives none."""
+    df = prepare(spark).createDataFrame([(1, "u", "<p>a</p>", 5, "x"), (1, "u", "<p>a</p>", 6, "y"), (None, None, None, None, None)], "page_id long, url string, html string, n_chars int, text string")
+    assert Counter(tuple(r) for r in html_text.extract(df).collect()) == Counter({(1, "u", "a", 1): 2, (None, None, "", 0): 1})
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 def test_decontamination(spark, docs, sf_dir):

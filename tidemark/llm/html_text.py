@@ -1,10 +1,11 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a light tree. Elements that never hold an article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are left out. One that only its class or id tells stays if it holds most of the
-page's text and no article or main has text outside it. Every block with text of its own passes points for its length and
-commas to its ancestors, less with distance; an ancestor's points are discounted by the share of its text inside links.
-The best container is kept with those siblings that score well too, and its blocks are joined in page order.
+forms, scripts, styles, reader comments) are left out. One that only its class or id tells, adverts excepted, stays if it
+holds most of the page's text and no article or main has text outside it. Every block with text of its own passes points for its length and
+commas to its ancestors, less with distance; an ancestor's points are discounted by the share of its text inside links, and
+count more for article and main. The best container is kept with those siblings that score well too or hold plain text
+blocks, and its blocks are joined in page order.
 
 Null or empty html gives an empty text. Broken markup is read as far as it goes: unclosed elements end with their parent.
 Repeated rows get a result each; extra columns are not returned.
@@ -32,17 +33,23 @@ SCOPES = frozenset("ul ol dl table select article section div main aside nav bod
 LEFT_OUT = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video map menu dialog noembed noframes".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES_OUT = frozenset("ad ads advert adverts advertisement advertising advertorial adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split())
+#: Of these, what is out however much of the page it holds.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored".split())
 #: Other words in names such as cookie-bar or site-header; a name with any further word, such as has-sidebar, tells nothing.
 NAMES_BESIDE = frozenset("area article bar block blog bottom box button buttons container entry fixed form global icon icons inner item items left link links list main media mobile outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s ]+")
 #: Points that pass to the parent, its parent and so on.
 SHARES = (1.0, 0.5, 0.25)
+#: What an element's own name adds to its points.
+WEIGHTS = {"article": 2.0, "main": 1.5}
 #: A sibling stays with this share of the best container's points.
 SIBLING_SHARE = 0.2
+#: So does one with such blocks and few links, unless the best container's own name tells where the text ends.
+TEXT_BLOCKS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 dd li td figcaption".split())
 
 
 class Node:
@@ -54,7 +61,12 @@ class Node:
         self.points = 0.0
 
 
-def is_out(tag: str, attrs: str, parent: Node) -> bool:
+def attributes(text: str) -> list[tuple[str, str]]:
+    """(name, value) of a tag's attributes, in lower case, read one after the other."""
+    return [(name.lower(), value.strip("\"'").lower()) for name, value in ATTRIBUTE.findall(text)] if text else []
+
+
+def is_out(tag: str, own: list[tuple[str, str]], parent: Node) -> bool:
     if tag in LEFT_OUT:
         return True
     if tag == "header":
@@ -62,22 +74,21 @@ def is_out(tag: str, attrs: str, parent: Node) -> bool:
         while at is not None and at.name not in ("article", "main"):
             at = at.parent
         return at is None
-    if tag in ("html", "body", "article", "main") or not attrs:
+    if tag in ("html", "body", "article", "main"):
         return False
-    for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in ROLES_OUT:
+    for name, value in own:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in ROLES_OUT or name in ("class", "id") and not ADVERTS.isdisjoint(value.split()):
             return True
     return False
 
 
-def is_named_out(tag: str, attrs: str) -> bool:
+def is_named_out(tag: str, own: list[tuple[str, str]]) -> bool:
     """Whether a class or an id, as a whole, names what holds no article text."""
-    if tag in ("html", "body", "article", "main") or not attrs:
+    if tag in ("html", "body", "article", "main"):
         return False
-    for name, value in ATTRIBUTE.findall(attrs):
-        if name.lower() in ("class", "id"):
-            for token in value.strip("\"'").lower().split():
+    for name, value in own:
+        if name in ("class", "id"):
+            for token in value.split():
                 parts = set(NAME.findall(token))
                 if not NAMES_OUT.isdisjoint(parts) and (parts - NAMES_OUT) <= NAMES_BESIDE and ("hidden" not in parts or token == "hidden"):
                     return True
@@ -146,7 +157,8 @@ def tree(page: str) -> Node:
                     found = up
                 up = up.parent
             at = found.parent if found is not None else at
-        node = Node(tag, at, is_out(tag, m["attrs"], at), is_named_out(tag, m["attrs"]))
+        own = attributes(m["attrs"])
+        node = Node(tag, at, is_out(tag, own, at), is_named_out(tag, own))
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, last)
@@ -229,21 +241,24 @@ def main_text(page: str | None) -> str:
             up, level = up.parent, level + 1
 
     def value(node: Node) -> float:
-        return node.points * (1 - chars[node][1] / max(1, chars[node][0]))
-
-    best = max(scored, key=value)
-    top, up = best, best
-    while up is not None:
-        if up.name == "article" or up.name == "main" and top.name != "article":
-            top = up
-        up = up.parent
+        return WEIGHTS.get(node.name, 1.0) * node.points * (1 - chars[node][1] / max(1, chars[node][0]))
+
+    top = max(scored, key=value)
+    least = SIBLING_SHARE * value(top)
+    while top.parent is not None and top.name not in WEIGHTS and chars[top.parent][0] == chars[top][0]:
+        top = top.parent  # a wrapper that holds nothing else
     keep = {top}
-    if top.parent is not None and top.name not in ("article", "main", "body", "html"):
-        least = SIBLING_SHARE * value(top)
+    if top.parent is not None and top.name not in ("body", "html"):
+        told: set[Node] = set()
+        for owner, _, _ in found:
+            if owner.name in TEXT_BLOCKS:
+                while owner is not None and owner not in told:
+                    told.add(owner)
+                    owner = owner.parent
         for sibling in top.parent.children:
             if isinstance(sibling, Node) and sibling in chars:
                 n, links = chars[sibling]
-                if value(sibling) >= least or sibling.name in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and links < 0.25 * n:
+                if value(sibling) >= least or top.name not in WEIGHTS and sibling in told and links < 0.25 * n:
                     keep.add(sibling)
     out = []
     for owner, text, _ in found:
