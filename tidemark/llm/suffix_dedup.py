@@ -16,7 +16,8 @@ decided at its own anchor. The steps:
 
 An anchor that stands in over HOT_DOCUMENTS documents, such as one at the rim of a passage that a third of all documents
 hold, is sent window by window, dealt by the windows' own bytes, so that no bucket gathers it. The chunks' texts are
-shuffled once; steps 1, 3 and 5 read the same exchange. Nothing passes through the driver.
+shuffled once; steps 1, 3 and 5 read the same exchange. The number of chunks follows the bytes of text, so a task holds
+about CHUNK_BYTES and what one document has beyond. Nothing but that number passes through the driver.
 
 Null text counts as empty. Rows with the same id never remove from each other; a null id neither loses bytes nor costs
 others any. Repeated rows get a result each; extra columns are not returned.
@@ -36,8 +37,9 @@ KMER = 20
 WINDOWS = WIDTH - KMER + 1  # k-mers in a window; also the places an anchor can have in one
 KEY = WIDTH + KMER + WINDOWS - 1 - KMER + 2  # right context, left context, first and last place
 HOT_DOCUMENTS = 1000
-#: Chunks for each shuffle partition, so that partitions come out even; there is a bucket for each partition.
-SPREAD = 4
+#: Most bytes of text in a chunk, on average, and chunks for each shuffle partition at least, so that partitions come out
+#: even. There is a bucket for SPREAD chunks.
+CHUNK_BYTES, SPREAD = 16 << 20, 4
 
 _RANDOM = np.random.default_rng(50)
 _BYTE = _RANDOM.integers(1, 1 << 32, 256, dtype=np.uint32)
@@ -314,14 +316,9 @@ def loser_tree(runs: list[Run]):
         if shared[a] != shared[b]:
             return (a, b) if shared[a] > shared[b] else (b, a)
         known = shared[a]
-        x, y = runs[a].key, runs[b].key
-        if x == y:
-            w, loser = (a, b) if a < b else (b, a)
-            shared[loser] = KEY
-            return w, loser
-        differ = int.from_bytes(x[known:], "big") ^ int.from_bytes(y[known:], "big")
-        w, loser = (a, b) if x < y else (b, a)
-        shared[loser] = KEY - (differ.bit_length() + 7) // 8
+        x, y = int.from_bytes(runs[a].key[known:], "big"), int.from_bytes(runs[b].key[known:], "big")
+        w, loser = (a, b) if x < y or x == y and a < b else (b, a)
+        shared[loser] = KEY - ((x ^ y).bit_length() + 7) // 8
         return w, loser
 
     size = 1
@@ -431,8 +428,9 @@ def cut_out(docs: pa.Table, gone: pa.Table) -> pa.Table:
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, kept binary, starts, ends array<int>) per row: the bytes that stay, and the maximal removed runs as
     byte ranges of the input. Ids are integers."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (SPREAD * CHUNK_BYTES)))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(SPREAD * n)).cast("long"))
     anchors = docs.groupBy("chunk").applyInArrow(send_anchors(n), "bucket long, chunk long, blob binary")
     named = anchors.groupBy("bucket").applyInArrow(name_repeated, "chunk long, bucket long, blob binary")
