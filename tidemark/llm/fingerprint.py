@@ -5,8 +5,8 @@ the normal size a cut needs more zero bits, beyond it fewer. A fingerprint is th
 lengths; the likeness of one to another is the share of its length that the other has too. Text that is moved or shifted
 keeps its chunks.
 
-Null text counts as empty; an empty text has an empty fingerprint, like itself alone. Repeated rows stand beside each
-other in the order of ids; a null id comes first. Extra columns are not returned.
+Null text counts as empty; an empty text has an empty fingerprint, like itself alone. Rows with one id stand beside each
+other in the order of ids, by text; null ids come first. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -110,17 +110,16 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bounds = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [])) if n > 1 else []
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("key"))) if bounds else F.lit(0)
     dealt = df.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("place", place)
-    firsts = sorted((r.place, r.first) for r in dealt.groupBy("place").agg(F.min("key").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    guard = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    places = F.array_compact(F.array(F.struct("place", F.lit(False).alias("guard")), F.when(guard[F.col("key")].isNotNull(), F.struct(guard[F.col("key")].alias("place"), F.lit(True).alias("guard")))))
-    sent = dealt.select("id", "key", "text", F.explode(places).alias("to")).select("id", "key", "text", "to.place", "to.guard")
-    ordered = sent.repartition(max(n, len(firsts)), "place").sortWithinPartitions("place", "guard", "key", "text")
+    firsts = dict(sorted((r.place, r.first) for r in dealt.groupBy("place").agg(F.min("key").alias("first")).collect()))
+    # By place: the range's first key, and the range before it (the last one before the first), where the guard goes.
+    before = dict(zip(firsts, [*list(firsts)[-1:], *list(firsts)[:-1]], strict=True))
+    of = lambda known, kind: F.get(F.array(*[F.lit(known.get(i)).cast(kind) for i in range(len(bounds) + 1)]), F.col("place"))
+    guard = F.when(F.col("key") == of(firsts, "long"), F.struct(of(before, "int").alias("place"), F.lit(True).alias("guard")))
+    sent = dealt.select("id", "key", "text", F.explode(F.array_compact(F.array(F.struct(F.col("place").cast("int").alias("place"), F.lit(False).alias("guard")), guard))).alias("to")).select("id", "key", "text", "to.place", "to.guard")
+    ordered = sent.repartitionById(len(bounds) + 1, F.col("place")).sortWithinPartitions("place", "guard", "key", "text")
     schema = schema_of(df.schema[id_col], "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    id_type = None
 
     def run(batches):
-        nonlocal id_type
         held = None  # (id, text, chunks) whose next document is to come
         place = None
         rows: list[tuple] = []
