@@ -331,6 +331,18 @@ def test_simhash(spark, mixed):
     assert kept == Counter({i: 1 for i in prints if want[i] == i})
 
 
+def test_simhash_rows_without_an_id(spark, monkeypatch):
+    """Rows with a null id have the component of their links and never name one; alone they have none. Of unlike rows with
+    one id, the same one stays however they are dealt. Fingerprints of many rows give what others give."""
+    rows = [(5, "one two three four", "a"), (None, "one two three four", "b"), (None, "quite another text here", "a"), (7, None, "a"), (None, "", "b"), (9, "one two three four", "x"), (5, "one two three four", "y"), (5, "one two three four", "y")]
+    for hot in (1, 1024):
+        monkeypatch.setattr(simhash, "HOT_PRINTS", hot)
+        got = Counter((r.doc_id, r.component_id) for r in simhash.groups(frame(spark, rows)).collect())
+        assert got == Counter([(5, 5), (5, 5), (5, 5), (None, 5), (9, 5), (None, None), (7, 7), (None, 7)])
+    kept = [Counter(tuple(r) for r in simhash.keep_one(frame(spark, x)).collect()) for x in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and Counter(r[0] for r in kept[0].elements()) == Counter({None: 3, 5: 1, 7: 1})
+
+
 def test_simhash_links_all_up_to_three_bits(spark):
     rng = random.Random(4)
     prints = {}

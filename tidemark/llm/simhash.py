@@ -20,6 +20,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import connected_components, map_texts
 
@@ -29,6 +30,10 @@ SEED = 42
 SEGMENT = 32
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
+#: Most fingerprints that are broadcast as those of many rows.
+HOT_PRINTS = 1024
+#: Internal columns of keep_one.
+OWN_ID, OWN_ROW = "__simhash_id", "__simhash_row"
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
@@ -83,11 +88,17 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def groups(df: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) per row."""
     own = fingerprints(df, id_col, text_col).checkpoint()
-    distinct = own.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    distinct = own.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows"))
     edges = links(distinct.filter(F.col("rep").isNotNull()), max_bits)
     components = connected_components(edges)
-    named = distinct.join(components, distinct["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select(id_col, "fp", F.col("component_id").cast(df.schema[id_col].dataType).alias("component_id"))
+    named = distinct.join(components, distinct["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "rows")
+    # Fingerprints of many rows, at most HOT_PRINTS by their share of them, go to the rows; the rest meet in a shuffle.
+    share = F.lit(-(-own.count() // HOT_PRINTS))
+    hot = named.filter(F.col("rows") > share).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = own.join(F.broadcast(hot), "fp", "left")
+    cold = marked.filter("hot IS NULL").select(id_col, "fp").join(named.select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    out = marked.filter("hot").select(id_col, "fp", F.col("hot_id").alias("component_id")).unionByName(cold)
+    return out.withColumn("component_id", F.col("component_id").cast(df.schema[id_col].dataType))
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -95,8 +106,11 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_one(df: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose id names their group: one document of each group. Repeated rows of it
-    are one document and stay once; rows with a null id stay."""
+    """The rows, all columns as they are, whose id names their group: one document of each group. Of rows with that id one
+    stays, the least by a hash of its columns; rows with a null id stay."""
     keep = groups(df, max_bits, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = df.filter(F.col(id_col).isNotNull())
-    return named.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    named = df.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(df.columns)
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row = F.struct(*[F.col(c) for c in df.columns])
+    one = named.groupBy(F.col(id_col).alias(OWN_ID)).agg(F.min_by(row, F.xxhash64(*hashed)).alias(OWN_ROW)).select(f"{OWN_ROW}.*")
+    return one.unionByName(df.filter(F.col(id_col).isNull()))
