@@ -180,6 +180,28 @@ def test_passages_of_text_that_repeats_itself(spark):
             assert texts[r.doc_id][r.word_start : r.word_end] == texts[r.first_doc_id][r.first_word_start : r.first_word_end]
 
 
+def test_passages_against_brute_force(spark, docs):
+    """Every document with 50 words of an earlier one has a passage; every passage is as alike as it says, by edit distance."""
+    texts = {i: [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())] for i, t, _ in docs}
+    seen, expected = {}, set()
+    for i in sorted(texts):
+        own = {tuple(texts[i][a : a + 50]) for a in range(len(texts[i]) - 49)}
+        if any(seen.setdefault(w, i) != i for w in own):
+            expected.add(i)
+    out = chain_dedup.passages(frame(spark, docs)).collect()
+    assert expected and expected <= {r.doc_id for r in out}
+    for r in out:
+        a, b = texts[r.doc_id][r.word_start : r.word_end], texts[r.first_doc_id][r.first_word_start : r.first_word_end]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a if a != b else [], 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        wrong = 0 if a == b else row[-1]
+        assert r.first_doc_id < r.doc_id and min(len(a), len(b)) >= 50 and 1 - wrong / max(len(a), len(b)) >= r.identity - 1e-5 and r.identity >= 0.8
+
+
 def test_passages_of_hot_seeds(spark, monkeypatch):
     """Dealing hot seeds over partitions changes no link to the first document, and loses none."""
     rng = random.Random(8)
@@ -207,6 +229,7 @@ def test_passages_do_not_depend_on_the_sample(spark, monkeypatch, parts):
     assert {(r[0], r[1]) for r in plain} >= {(i, j) for i in range(1, 60) for j in (0, i - 1)}
     monkeypatch.setattr(chain_dedup, "HOT_SAMPLE", 1.0)
     monkeypatch.setattr(chain_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(chain_dedup, "HOT_SHARE", 8)
     own = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     usual = {k: spark.conf.get(k) for k in own}
     try:
@@ -247,20 +270,45 @@ def test_passages_whose_parts_stand_singly(spark):
     assert {(r.doc_id, (r.first_doc_id, r.word_start, r.word_end)) for r in out} == set(want.items())
 
 
-def test_chains_are_the_best(spark):
+@pytest.mark.parametrize(("span", "many"), [(40, 12), (300, 25), (300, 120), (2000, 150)])
+def test_chains_are_the_best(span, many):
+    """Against all pairs of matches, gaps over the limit among them."""
     rng = random.Random(2)
-    for _ in range(50):
-        matches = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(12)})
+    for _ in range(40):
+        matches = sorted({(rng.randrange(span), rng.randrange(span)) for _ in range(many)})
+        if many > 100:
+            shift = rng.randrange(span)
+            matches = sorted({*matches, *((p, p + shift) for p in range(0, span, 7))})
         best = [0.0] * len(matches)
+        near = lambda x, y: 0 < x - y <= chain_dedup.MAX_GAP
         for i, (p, q) in enumerate(matches):
-            best[i] = chain_dedup.SEED_WORDS + max([0.0, *(best[j] - chain_dedup.GAP_COST * (p - a + q - b) for j, (a, b) in enumerate(matches) if a < p and b < q)])
+            best[i] = chain_dedup.SEED_WORDS + max([0.0, *(best[j] - chain_dedup.GAP_COST * (p - a + q - b) for j, (a, b) in enumerate(matches[:i]) if near(p, a) and near(q, b))])
         own = chain_dedup.chain(matches)
         assert sorted(m for c in own for m in c) == matches
+        assert all(near(d, b) and near(c, a) for x in own for (a, b), (c, d) in zip(x, x[1:]))
         top = own[0]
         score = chain_dedup.SEED_WORDS * len(top) - chain_dedup.GAP_COST * (top[-1][0] - top[0][0] + top[-1][1] - top[0][1])
         assert score == pytest.approx(max(best))
 
 
+def test_recall_of_changed_passages(spark):
+    """Of passages of 80 words with changed words, all within the bound on identity, nine in ten are found and over."""
+    rng = random.Random(41)
+    words = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    rows, rates = [], (0.03, 0.1, 0.17, 0.2)
+    for rate in rates:
+        for _ in range(60):
+            own = words(80)
+            other = list(own)
+            for i in rng.sample(range(80), int(80 * rate)):
+                other[i] = f"x{rng.randrange(10**6)}"
+            rows += [(len(rows), " ".join(words(60) + own + words(40)), "a"), (len(rows) + 1, " ".join(words(30) + other + words(70)), "a")]
+    found = {r.doc_id for r in chain_dedup.passages(frame(spark, rows)).collect() if r.first_doc_id == r.doc_id - 1 and r.word_start < 110 and r.word_end > 30}
+    recall = [sum(2 * i + 1 in found for i in range(60 * n, 60 * (n + 1))) / 60 for n in range(len(rates))]
+    print(dict(zip(rates, recall)))
+    assert min(recall) >= 0.9
+
+
 def test_token_counts(spark, mixed):
     from tokenizers import Tokenizer
 
