@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line deduplication, near-duplicates, decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir), does its work on all rows of docs and returns a DataFrame; all but the last
-return the columns of docs. run() writes each stage's result as Parquet to the shared folder and reads it again.
+return the columns of docs. run() writes each stage's result as Parquet to the shared folder and reads it again; all but
+the last go when the last is there.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontam, langid, line_dedup, simhash
 from tidemark.llm.common import prepare, table
 from tidemark.llm.queries import LINE_PAGES, LINE_RATIO, byte_bpe
+from tidemark.session import remove
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+    for name, _ in STAGES[:-1]:
+        remove(spark, f"{folder}/{name}")
     return docs
