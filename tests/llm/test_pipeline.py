@@ -59,3 +59,22 @@ def test_stages_keep_columns(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null texts and ids, repeated rows, empty texts and a null site pass all stages; what a stage drops is its own."""
+    text = "These are some plain English words that stand in a sentence of their own, number {}, and go on for a while here.\n"
+    rows = [(None, text.format(1) * 3, "a", "en", 1), (1, None, "a", "en", None), (2, "", None, None, 0), (3, text.format("three") * 2, None, "en", 2), (3, text.format("three") * 2, None, "en", 2), (4, text.format("three") * 2, "b", None, 2), (5, " \n ", "b", "en", 3)]
+    rows += [(10 + i, f"{text.format(i)}Shared line of the site\nown words {i * 7919} follow as {i * 104729}", "c", "en", 9) for i in range(40)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    of = lambda df: Counter(r.doc_id for r in df.collect())
+    everyone = of(docs)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = of(stage(spark, docs, "/root/testdata/sf0.001"))
+    assert not {1, 2, 5} & set(kept["language_id"]) and kept["language_id"][3] == 2 and kept["language_id"][None] == 1
+    assert kept["line_dedup"] == everyone and kept["byte_bpe"] == everyone
+    assert kept["simhash_dedup"][3] == 1 and kept["simhash_dedup"][4] == 0 and kept["simhash_dedup"][None] == 1 and kept["simhash_dedup"][1] == 1
+    assert kept["decontamination"] == everyone
+    cut = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert "Shared line" not in cut[10] and "own words" in cut[10] and cut[1] is None
