@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,16 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sliding(x: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
+    """The best of each width neighbours; element i covers i .. i + width - 1."""
+    out, have = x, 1
+    while 2 * have <= width:
+        out = better(out[: len(out) - have], out[have:])
+        have *= 2
+    rest = width - have
+    return better(out[: len(out) - rest], out[rest:]) if rest else out
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, ddl: str, kernel: Callable[[], Callable[[list], list[list]]], binary: bool = False) -> DataFrame:
     """(id, kernel's columns) per row. kernel() runs once in a task and gives a function from a batch's
     texts (None stays None) to one list for each output column."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, schema_of
+from tidemark.llm.common import as_bytes, schema_of, sliding
 
 WIDTH = 50
 KMER = 20
@@ -118,16 +118,6 @@ def hashes(data: np.ndarray) -> np.ndarray:
     return np.maximum(out, np.uint32(1))
 
 
-def sliding(x: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
-    """The best of each width neighbours; element i covers i .. i + width - 1."""
-    out, have = x, 1
-    while 2 * have <= width:
-        out = better(out[: len(out) - have], out[have:])
-        have *= 2
-    rest = width - have
-    return better(out[: len(out) - rest], out[rest:]) if rest else out
-
-
 def mixed(rows: np.ndarray, width: int) -> np.ndarray:
     h = np.zeros(len(rows), np.uint64)
     for j in range(width):
