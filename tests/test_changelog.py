@@ -19,11 +19,25 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("json", "want"), [("1", "1"), ("1.50", "1.5"), ("2.0", "2"), ("12345678901234567890", "12345678901234567890"), ("1e20", "100000000000000000000"), ("true", "1"), ("false", "0"), ("null", "NULL"), ('"a\'b\\\\c"', "'a\\'b\\\\c'"), ('{"a":1}', "'{\"a\":1}'"), ("[1,2]", "'[1,2]'")])
+@pytest.mark.parametrize(("json", "want"), [("1", "1"), ("1.50", "1.5"), ("2.0", "2"), ("12345678901234567890", "12345678901234567890"), ("1e20", "100000000000000000000"), ("1.5e-12", "0.0000000000015"), ("1e40", "1" + "0" * 40), ("-2.50e1", "-25"), ("-0.0", "0"), ("true", "1"), ("false", "0"), ("null", "NULL"), ('"a\'b\\\\c"', "'a\\'b\\\\c'"), ('{"a":1}', "'{\"a\":1}'"), ("[1,2]", "'[1,2]'")])
 def test_literals(spark, json, want):
     assert one(spark, X.sql_literal(F.parse_json(F.lit(json)))) == want
 
 
+def test_endless_numbers(spark):
+    """A typed column with such a number raises; an event with one has an error and leaves the others alone."""
+    with pytest.raises(Exception, match="not a finite number"):
+        one(spark, X.typed_literal(F.lit(float("inf")), "double"))
+    rows = [(1, 3, '{"id":1,"v":3e400}'), (2, 3, '{"id":2,"v":3e200}')]
+    log = spark.createDataFrame(rows, "event_id long, event_type int, row_before string").selectExpr("*", "CAST(NULL AS STRING) AS row_after", "'s' AS schema_name", "'t' AS table_name", "'1' AS pk_values", "timestamp'2024-01-01' AS event_timestamp", "1 AS schema_version")
+    got = {r.event_id: r for r in undo.statements(log, spark.sql(SNAPSHOTS)).collect()}
+    assert got[1].statement is None and got[1].error == "a number is not finite" and got[2].error is None and got[2].statement.endswith("3" + "0" * 200 + ");")
+
+
+def test_empty_script(spark, sf_dir):
+    assert [r.text for r in undo.script(accounts(spark, sf_dir).filter("false"), spark.sql(SNAPSHOTS)).collect()] == ["-- Nothing to undo."]
+
+
 def test_typed_literals(spark):
     assert one(spark, X.typed_literal(F.lit(b"\x01\xff"), "binary")) == "X'01FF'"
     assert one(spark, X.typed_literal(F.lit("2024-01-02 03:04:05.006").cast("timestamp"), "timestamp")) == "'2024-01-02 03:04:05.006000'"
@@ -49,7 +63,7 @@ def test_names_and_sizes(spark):
     assert one(spark, X.dir_time(F.lit("2026-02-28T00-30-00Z"))) == datetime(2026, 2, 28, 0, 30)
     root, server, hour = X.archive_path(F.lit("/a/b/server_id=s1/event_date=2024-01-02/event_hour=3/x.parquet"))
     assert (one(spark, root), one(spark, server), one(spark, hour)) == ("/a/b", "s1", datetime(2024, 1, 2, 3))
-    assert one(spark, X.row_size(F.lit('{"a":1,"b":2}'), F.lit(None).cast("string"))) == 328
+    assert one(spark, X.row_size(F.lit('{"a":1,"b":2}'), F.lit(None).cast("string"))) == 410
     assert one(spark, F.to_json(X.normal_value(F.lit('{"a":1}')))) == '{"a":1}' and one(spark, F.to_json(X.normal_value(F.lit("{x")))) == '"{x"'
 
 
@@ -192,6 +206,64 @@ def test_dump_reading(spark, tmp_path):
     assert [(r.column_name, r.data_type, r.column_type) for r in dumps.table_columns(spark, str(tmp_path / "app.t-schema.sql")).collect()] == [("id", "int", "int(11) unsigned"), ("v", "varchar", "varchar(9)")]
 
 
+def test_dump_line_ends(spark, tmp_path):
+    """CRLF, comments, and line breaks and semicolons inside quotes lose no statement; an open quote raises."""
+    text = "/*!40101 SET NAMES binary*/;\r\n-- it's; here\r\nINSERT INTO `a;b` VALUES\r\n(1,'x;\ny'),\r\n(2,\"q;\");\r\nINSERT INTO t VALUES (3,'it''s');"
+    (tmp_path / "a.b.00000.sql").write_bytes(text.encode())
+    got = [r["values"] for r in dumps.read_sql_dump(spark, str(tmp_path / "a.b.00000.sql")).collect()]
+    assert got == [["1", "x;\ny"], ["2", "q;"], ["3", "it's"]]
+    (tmp_path / "bad.sql").write_text("INSERT INTO t VALUES (1,'open);\n")
+    with pytest.raises(Exception, match="not closed"):
+        dumps.read_sql_dump(spark, str(tmp_path / "bad.sql")).collect()
+
+
+def test_dump_round_trip(spark, tmp_path):
+    rows = spark.range(25).selectExpr("CAST(id AS INT) AS id", "concat('v;', chr(10), id) AS v", "CASE WHEN id % 2 = 0 THEN 1.5e-9D * id END AS d").repartition(3)
+    for _ in range(2):  # a second dump takes the place of the first
+        names = dumps.write_dump(rows, str(tmp_path), "app", "t", "CREATE TABLE `t` (`id` int)", "2024-01-01 00:00:00", "bin.7", 99, "u:1-5", 4, 8)
+    assert sorted(names) == sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith("."))
+    found = dumps.discover_dump(spark, str(tmp_path)).first()
+    assert (found.schema_name, found.table_name, found.schema_file) == ("app", "t", "app.t-schema.sql") and found.data_files == sorted(n for n in names if n.endswith("0.sql") or "schema" not in n and n != "metadata")
+    got = {tuple(r["values"]) for r in dumps.read_sql_dump(spark, [str(tmp_path / n) for n in found.data_files]).collect()}
+    assert len(got) == 25 and ("2", "v;\n2", "0.000000003") in got and ("3", "v;\n3", None) in got
+    assert tuple(dumps.dump_coordinates(spark, str(tmp_path / "metadata")).first()) == (datetime(2024, 1, 1), "bin.7", 99, "u:1-5")
+
+
+def test_merge_leaves_images_of_other_hours(spark, sf_dir):
+    """Of sources that share no hour, no image is shuffled."""
+    log = accounts(spark, sf_dir)
+    halves = [log.filter("event_timestamp < '2024-01-15'"), log.filter("event_timestamp >= '2024-01-15'")]
+    assert S.merge_sources(halves).count() == log.count()
+    a = spark.createDataFrame([(1, datetime(2024, 1, 1, 5), "a", "{}"), (2, datetime(2024, 1, 1, 6), "a", "{}")], "event_id long, event_timestamp timestamp, origin string, row_after string")
+    b = spark.createDataFrame([(2, datetime(2024, 1, 1, 6), "b"), (3, datetime(2024, 1, 1, 6), "b"), (4, datetime(2024, 1, 1, 9), "b"), (5, None, "b")], "event_id long, event_timestamp timestamp, origin string")
+    assert sorted((r.event_id, r.origin) for r in S.merge_sources([a, b]).collect()) == [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b")]
+    limited = S.merge_and_trim([a, b], limit=3)
+    assert [r.event_id for r in limited.collect()] == [5, 1, 2]
+
+
+def test_state_output(spark):
+    entries = spark.createDataFrame([("1", datetime(2024, 1, 1), 0, "baseline", '{"a":1,"time":"x"}'), ("1", datetime(2024, 1, 2), 7, "log", '{"a":null,"b":"q"}'), ("1", datetime(2024, 1, 3), 8, "log", None)], "pk_values string, event_timestamp timestamp, event_id long, source string, state string")
+    table = timetravel.history_table(entries)
+    assert table.columns == ["pk_values", "time", "source", "event_id", "gtid", "a", "b", "state_time"]
+    assert [tuple(r)[5:] for r in table.orderBy("event_id").collect()] == [("1", "", "x"), ("", "q", ""), ("", "", "")]
+    assert [r.text for r in timetravel.history_json(entries).orderBy("event_id").collect()] == ['{"time":"2024-01-01T00:00:00Z","source":"baseline","state":{"a":1,"time":"x"}}', '{"time":"2024-01-02T00:00:00Z","source":"log","event_id":7,"state":{"a":null,"b":"q"}}', '{"time":"2024-01-03T00:00:00Z","source":"log","event_id":8,"state":null}']
+    state = spark.createDataFrame([("9", "n", "inserted"), ("5", "o", "passthrough"), ("10", "n", "inserted")], "pk_values string, row_image string, action string")
+    assert [r.pk_values for r in timetravel.inserted_last(state).collect()] == ["5", "10", "9"]
+
+
+def test_sources_by_name(spark, tmp_path):
+    ledger = spark.createDataFrame([("s1", None, "b", "x/server_id=s1/event_date=2024-01-01/event_hour=3/p.parquet"), ("s1", "/d/server_id=s1/event_date=2024-01-01/event_hour=3/p.parquet", None, None), ("s2", None, "b", "y/server_id=s2/event_date=2024-01-01/event_hour=3/p.parquet")], "server_id string, local_path string, s3_bucket string, s3_key string")
+    assert {tuple(r) for r in archive.archive_roots(ledger).collect()} == {("s1", "/d"), ("s2", "s3a://b/y")}
+    payload = spark.createDataFrame([(1, "s1", "app.t", "2024-01-01")], "event_id long, server_id string, schema_table string, date string")
+    archive.write_payload(payload, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).filter("schema_table = 'app.t'").count() == 1
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert [r.v for r in baseline.row(rows, {"id": "2"}).collect()] == ["b"]
+    with pytest.raises(ValueError, match="nope"):
+        baseline.row(rows, {"nope": 1})
+    assert one(spark, F.to_json(X.normal_value(F.lit("2024-01-02 03:04:05.678").cast("timestamp"), "timestamp"))) == '"2024-01-02 03:04:05"'
+
+
 def test_retention(spark, sf_dir):
     log = accounts(spark, sf_dir)
     hours = coverage.hour_stats(log).select("hour")
@@ -203,14 +275,16 @@ def test_streaming(spark, sf_dir, tmp_path):
     log = accounts(spark, sf_dir)
     log.repartition(3).write.parquet(str(tmp_path / "in"))
     feed = ingest.start_after(ingest.read_feed(spark, str(tmp_path / "in"), log.schema, 1), "mysql-bin.099999", 0)
-    progress = ingest.Progress()
+    progress = ingest.Progress(spark, str(tmp_path / "progress"))
     spark.streams.addListener(progress)
     write = ingest.split_sinks("s1", str(tmp_path / "m"), str(tmp_path / "p"))
-    feed.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    ingest.observed(feed).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     spark.streams.removeListener(progress)
     meta = spark.read.parquet(str(tmp_path / "m"))
     assert meta.count() == log.count() and not {"pk_values", "row_before", "row_after"} & set(meta.columns)
     assert spark.read.parquet(str(tmp_path / "p")).count() == log.count()
+    table = spark.read.parquet(str(tmp_path / "progress"))
+    assert table.agg(F.sum("received"), F.sum("indexed"), F.max("last_event")).first()[:3] == (log.count(), log.count(), log.agg(F.max("event_timestamp")).first()[0]) and table.filter("lag_seconds <= 0").count() == 0
     sizes = spark.createDataFrame([(1,), (2,), (3,), (0,)], "rows long")
     assert {tuple(r) for r in ingest.batch_sizes(sizes).collect()} == {(0, 1), (1, 2)}
 
@@ -224,7 +298,8 @@ def test_stream_helpers(spark, tmp_path):
     ledger = spark.createDataFrame([("a", "completed"), ("b", "failed")], "binlog_file string, status string")
     assert {r.binlog_file for r in ingest.pending_files(spark.createDataFrame([("a",), ("b",), ("c",)], "binlog_file string"), ledger).collect()} == {"b", "c"}
     mixed = spark.createDataFrame([(1, "", "s"), (4, "DROP TABLE t", "s"), (5, "", "s")], "event_type int, query string, schema_name string")
-    ingest.route(mixed, str(tmp_path / "log"), str(tmp_path / "ddl"))
+    for _ in range(2):
+        ingest.route(str(tmp_path / "log"), str(tmp_path / "ddl"))(mixed, 0)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1 and spark.read.parquet(str(tmp_path / "ddl")).first().ddl_type == "DROP TABLE"
 
 

@@ -40,9 +40,8 @@ def pk_hash(pk) -> Column:
 
 def changed_columns(before, after) -> Column:
     """Sorted keys of the before image whose value differs in the after image; null unless both are there."""
-    b, a = image(before), image(after)
-    differing = F.filter(F.map_keys(b), lambda k: ~F.to_json(F.element_at(b, k)).eqNullSafe(F.to_json(F.element_at(a, k))))
-    return F.when(b.isNotNull() & a.isNotNull(), F.sort_array(differing))
+    differs = lambda _, x, y: x.isNotNull() & ~F.to_json(x).eqNullSafe(F.to_json(y))
+    return F.sort_array(F.map_keys(F.map_filter(F.map_zip_with(image(before), image(after), differs), lambda _, d: d)))
 
 
 def json_value(json, column: str) -> Column:
@@ -72,23 +71,44 @@ def quote_name(s) -> Column:
     return F.concat(F.lit("`"), F.replace(_col(s), F.lit("`"), F.lit("``")), F.lit("`"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def plain_number(text: Column) -> Column:
-    """A number without exponent; a whole number without a fraction."""
-    wide = F.coalesce(text.try_cast("decimal(38,10)").cast("string"), text.try_cast("decimal(38,0)").cast("string"), text)
-    exact = F.when(text.rlike("[eE]"), wide).otherwise(text)
-    return F.when(exact.contains("."), F.regexp_replace(F.regexp_replace(exact, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")).otherwise(exact)
+    """A number's text without exponent, digit for digit: the point is moved. A whole number has no fraction."""
+
+    def moved(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, r"^([-+]?)0*([0-9]*)\.?([0-9]*)(?:[eE]([-+]?[0-9]+))?$", i)
+        parts = F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), (F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))).alias("point"))
+        return let(parts, cut)
+
+    def cut(x: Column) -> Column:
+        digits, point = x["digits"], x["point"]
+        before = F.greatest(point, F.lit(0))
+        whole = F.regexp_replace(F.substring(F.rpad(digits, F.greatest(point, F.length(digits)), F.lit("0")), F.lit(1), before), "^0+", "")
+        rest = F.regexp_replace(F.concat(F.repeat(F.lit("0"), -point), F.substring(digits, before + 1, F.length(digits))), "0+$", "")
+        return let(F.struct(x["sign"].alias("sign"), whole.alias("whole"), rest.alias("rest")), put)
+
+    def put(x: Column) -> Column:
+        sign = F.when((x["sign"] == "-") & (F.concat(x["whole"], x["rest"]) != ""), F.lit("-")).otherwise("")
+        return F.concat(sign, F.when(x["whole"] == "", F.lit("0")).otherwise(x["whole"]), F.when(x["rest"] == "", F.lit("")).otherwise(F.concat(F.lit("."), x["rest"])))
+
+    number = r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+    return let(text, lambda t: F.when(t.isNull() | t.rlike("^-?[1-9][0-9]*$"), t).when(t.rlike(number), moved(t)).otherwise(F.raise_error(F.concat(F.lit("not a finite number: "), t))))
 
 
 def sql_literal(v: Column) -> Column:
-    """A variant as a SQL literal; objects and arrays as quoted JSON."""
-    kind, text = F.schema_of_variant(v), F.variant_get(v, "$", "string")
+    """A variant as a SQL literal; objects and arrays as quoted JSON. A number that isn't finite raises."""
+    kind, own = F.schema_of_variant(v), F.variant_get(v, "$", "string")
     return (
         F.when(v.isNull() | F.is_variant_null(v), F.lit("NULL"))
-        .when(kind == "BOOLEAN", F.when(text == "true", F.lit("1")).otherwise(F.lit("0")))
-        .when(kind == "BIGINT", text)
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), plain_number(text))
+        .when(kind == "BOOLEAN", F.when(own == "true", F.lit("1")).otherwise(F.lit("0")))
+        .when(kind == "BIGINT", own)
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), plain_number(own))
         .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), quote_string(F.to_json(v)))
-        .otherwise(quote_string(text))
+        .otherwise(quote_string(own))
     )
 
 
@@ -148,16 +168,17 @@ def ddl_kind(query) -> Column:
     return out
 
 
-_VERB = r"(?i)(?:ALTER\s+TABLE|CREATE\s+TABLE(?:\s+IF\s+NOT\s+EXISTS)?|DROP\s+TABLE(?:\s+IF\s+EXISTS)?|RENAME\s+TABLE|TRUNCATE(?:\s+TABLE)?)\s+"
-_NAME = r"(?:`([^`]+)`|(\w+))"
-
-
 def ddl_table(query) -> tuple[Column, Column]:
-    """(schema, table) that a DDL statement names; an empty schema if it names none."""
-    q = _col(query)
-    both, one = _VERB + _NAME + r"\." + _NAME, _VERB + _NAME
-    part = lambda pattern, i: F.concat(F.regexp_extract(q, pattern, i), F.regexp_extract(q, pattern, i + 1))
-    return part(both, 1), F.when(part(both, 3) != "", part(both, 3)).otherwise(part(one, 1))
+    """(schema, table) that a DDL statement names; an empty schema if it names none. The words before the name go one by
+    one: the verb, TABLE, IF EXISTS or IF NOT EXISTS."""
+    rest = F.trim(_col(query))
+    for word in (r"\w+", "TABLE", r"IF\s+(?:NOT\s+)?EXISTS"):
+        rest = F.regexp_replace(rest, rf"(?i)^{word}\s+", "")
+    name = r"`[^`]+`|\w+"
+    first = F.regexp_extract(rest, rf"^(?:{name})", 0)
+    second = F.regexp_extract(rest.substr(F.length(first) + 1, F.length(rest)), rf"^\.({name})", 1)
+    plain = lambda c: F.replace(c, F.lit("`"), F.lit(""))
+    return F.when(second == "", F.lit("")).otherwise(plain(first)), plain(F.when(second == "", first).otherwise(second))
 
 
 def dir_time(name) -> Column:
@@ -185,9 +206,19 @@ def truncate_text(s, n: int) -> Column:
 
 
 def row_size(before="row_before", after="row_after", *texts: str) -> Column:
-    """Approximate bytes of an event: 200, its texts, and 64 for each key of its images."""
-    keys = lambda j: F.coalesce(F.size(F.json_object_keys(_col(j))), F.lit(0)) * 64
-    out = F.lit(200) + keys(before) + keys(after)
+    """Approximate bytes of an event: 200, a key hash, its texts, and for each key of its images 64, the key and the value:
+    a string's bytes, 8 for other plain values, nothing for null; an object or array counts by its JSON text."""
+
+    def value(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        return F.when(kind == "VOID", 0).when(nested, F.octet_length(F.to_json(v))).when(kind == "STRING", F.octet_length(F.variant_get(v, "$", "string"))).otherwise(8)
+
+    def size(j) -> Column:
+        entry = F.map_entries(image(j))
+        return F.coalesce(F.aggregate(F.transform(entry, lambda e: 64 + F.octet_length(e["key"]) + F.coalesce(value(e["value"]), F.lit(0))), F.lit(0), lambda a, x: a + x), F.lit(0))
+
+    out = F.lit(264) + size(before) + size(after)
     for t in texts:
         out += F.coalesce(F.octet_length(_col(t)), F.lit(0))
     return out.cast("long")
@@ -218,7 +249,10 @@ def json_string(text: Column) -> Column:
     return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
-def normal_value(c: Column) -> Column:
-    """A snapshot value's text as a variant: JSON objects and arrays as such, other text as a string."""
+def normal_value(c: Column, kind: str = "string") -> Column:
+    """A snapshot value of a Spark type as a variant: JSON objects and arrays as such, other text as a string, times in
+    whole seconds."""
+    if kind.startswith("timestamp"):
+        return F.parse_json(json_string(F.date_format(c, "yyyy-MM-dd HH:mm:ss")))
     text = c.cast("string")
     return F.coalesce(F.when(text.rlike(r"^\s*[\[{]"), F.try_parse_json(text)), F.parse_json(json_string(text)))

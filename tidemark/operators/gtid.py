@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def parse_sets(df: DataFrame, column: str) -> DataFrame:
     """(uuid, lo, hi) of all sets in a text column, uuid:1-5:7,uuid2:3."""
     entry = df.select(F.explode(F.split(F.col(column), ",")).alias("e")).select(F.split(F.trim("e"), ":").alias("p")).filter(F.size("p") > 1)
-    span = entry.select(F.col("p")[0].alias("uuid"), F.explode(F.slice("p", 2, 1 << 20)).alias("s")).select("uuid", F.split("s", "-").alias("b"))
+    span = entry.select(F.col("p")[0].alias("uuid"), F.explode(F.slice("p", F.lit(2), F.size("p"))).alias("s")).select("uuid", F.split("s", "-").alias("b"))
     return span.select("uuid", F.col("b")[0].try_cast("bigint").alias("lo"), F.coalesce(F.get("b", F.lit(1)), F.col("b")[0]).try_cast("bigint").alias("hi"))
 
 
@@ -38,10 +38,17 @@ def set_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("uuid").agg(F.concat_ws(":", "uuid", F.array_join(text, ":")).alias("gtid_set"))
 
 
-def not_contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Intervals of inner that no interval of outer holds; outer is united first."""
-    o = joined(outer).select(F.col("uuid").alias("u"), F.col("lo").alias("l"), F.col("hi").alias("h"))
-    return inner.join(o, (F.col("uuid") == F.col("u")) & (F.col("lo") >= F.col("l")) & (F.col("hi") <= F.col("h")), "left_anti")
+def not_contained(inner: DataFrame, outer: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Intervals of inner that no interval of outer holds; outer is united first, so that its intervals lie apart. An
+    interval of inner can only lie in the last one of outer that begins no later: they are sorted together within blocks of
+    numbers, and a block starts with the last interval of those before it."""
+    o = joined(outer).select("uuid", "lo", "hi", F.lit(0).alias("kind"))
+    both = o.unionByName(inner.select("uuid", "lo", "hi", F.lit(1).alias("kind"))).withColumn("block", F.floor(F.col("lo") / block))
+    ends = both.groupBy("uuid", "block").agg(F.max(F.when(F.col("kind") == 0, F.struct("lo", "hi"))).alias("last"))
+    before = ends.select("uuid", "block", F.last("last", ignorenulls=True).over(W.partitionBy("uuid").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    own = F.last(F.when(F.col("kind") == 0, F.struct("lo", "hi")), ignorenulls=True).over(W.partitionBy("uuid", "block").orderBy("lo", "kind").rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumn("_own", own).join(before, ["uuid", "block"]).withColumn("_holder", F.coalesce("_own", "before"))
+    return found.filter((F.col("kind") == 1) & ~F.coalesce(F.col("_holder.hi") >= F.col("hi"), F.lit(False))).select("uuid", "lo", "hi")
 
 
 def sets_equal(a: DataFrame, b: DataFrame) -> bool:

@@ -33,7 +33,7 @@ def with_columns(feed: DataFrame, snapshots: DataFrame) -> DataFrame:
     """feed (schema_version, schema_name, table_name, rows array<array<string>>) with the table's columns, and `reject`
     where the table is unknown or a row has another number of columns."""
     known = columns_of(snapshots).withColumnRenamed("snapshot_id", "schema_version")
-    out = feed.join(F.broadcast(known), ["schema_version", "schema_name", "table_name"], "left")
+    out = feed.join(known, ["schema_version", "schema_name", "table_name"], "left")
     return out.withColumn("reject", F.when(F.col("names").isNull(), "unknown_table").when(F.exists("rows", lambda r: F.size(r) != F.size("names")), "column_count_mismatch"))
 
 

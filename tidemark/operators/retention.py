@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import partition_time
+from tidemark.functions.expressions import partition_name, partition_time
+from tidemark.sources import archive
 
 
 def expired_hours(hours: DataFrame, now, retain: str) -> DataFrame:
@@ -14,6 +15,26 @@ def expired_hours(hours: DataFrame, now, retain: str) -> DataFrame:
     return hours.filter(F.col("hour") < F.expr(f"timestamp'{now}' - interval {retain}"))
 
 
+def rotate(log: DataFrame, ledger: DataFrame, root: str, server_id: str, now, retain: str) -> tuple[DataFrame, DataFrame]:
+    """(hours that may be dropped, the ledger after it): archives the expired hours of a log that the ledger doesn't list,
+    counts them again in the archive, lists those that are whole, and lets no hour go that waits for an upload. Run again
+    after a failure, it goes on where it stopped: hours are replaced as a whole. ledger: (partition_name, server_id,
+    local_path, row_count, s3_bucket, s3_uploaded_at)."""
+    spark = log.sparkSession
+    hour = F.date_trunc("hour", "event_timestamp")
+    counts = log.groupBy(hour.alias("hour")).agg(F.count("*").alias("row_count"))
+    expired = expired_hours(counts, now, retain)
+    known = ledger.filter(F.col("server_id") == server_id).select(partition_time("partition_name").alias("hour"))
+    missing = expired.join(known, "hour", "left_anti").checkpoint()  # a row for each hour
+    if not missing.isEmpty():
+        archive.write_archive(log.withColumn("hour", hour).join(F.broadcast(missing.select("hour")), "hour", "left_semi").drop("hour"), root, server_id)
+        there = archive.read_archive(spark, root).filter(F.col("server_id") == server_id).groupBy(hour.alias("hour")).agg(F.count("*").alias("archived"))
+        whole = missing.join(there, "hour").filter("archived = row_count")
+        path = F.concat(F.lit(f"{root}/server_id={server_id}/event_date="), F.date_format("hour", "yyyy-MM-dd"), F.lit("/event_hour="), F.hour("hour").cast("string"))
+        ledger = ledger_upsert(ledger, whole.select(partition_name("hour").alias("partition_name"), F.lit(server_id).alias("server_id"), path.alias("local_path"), "row_count"))
+    return droppable(expired.select("hour"), ledger.filter(F.col("server_id") == server_id)), ledger
+
+
 def droppable(expired: DataFrame, ledger: DataFrame) -> DataFrame:
     """Expired hours that are archived and wait for no upload. ledger: (partition_name, s3_bucket, s3_uploaded_at)."""
     own = ledger.withColumn("hour", partition_time("partition_name"))
@@ -62,5 +83,11 @@ def newest(log: DataFrame, max_events: int | None = None, max_bytes: int | None
     return log.filter(F.col("event_timestamp") >= end).unionByName(edge.select(log.columns))
 
 
+def write_recent(log: DataFrame, path: str, now, max_age: str, max_events: int | None = None, max_bytes: int | None = None, size_col: str = "size", codec: str = "zstd") -> None:
+    """The events that a bounded buffer keeps, in the columns of an archive, in place of what was there."""
+    kept = newest(recent(log, now, max_age), max_events, max_bytes, size_col)
+    kept.select(archive.columns(kept)).write.mode("overwrite").option("compression", codec).parquet(path)
+
+
 def recent(log: DataFrame, now, max_age: str) -> DataFrame:
     return log.filter(F.col("event_timestamp") >= F.expr(f"timestamp'{now}' - interval {max_age}"))

@@ -102,34 +102,47 @@ def first_n(log: DataFrame, n: int | None) -> DataFrame:
 
 
 def merge_sources(sources: list[DataFrame], key: list[str] | None = None) -> DataFrame:
-    """One log of several; of events with one key, that of the earlier source stays. Columns are matched by name, and
-    one that a source lacks is null there."""
+    """One log of several; of events with one key, that of the earlier source stays. Keys are unique within a source, and an
+    event has one time in all. Columns are matched by name, and one that a source lacks is null there.
+
+    The first source stays where it is. Of a later one, only rows of hours that earlier sources have too are shuffled, and
+    meet their keys alone."""
     key = key or ["event_id"]
-    out = None
-    for i, source in enumerate(sources):
-        own = source.withColumn("_source", F.lit(i))
-        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    columns = [c for c in out.columns if c not in (*key, "_source")]
-    best = out.groupBy(*key).agg(F.min_by(F.struct(*columns), F.col("_source")).alias("_best"))
-    return best.select(*key, "_best.*").select([c for c in out.columns if c != "_source"])
+    out = sources[0]
+    for source in sources[1:]:
+        apart = None
+        known, own = out.select(*key), source
+        if "event_timestamp" in out.columns and "event_timestamp" in source.columns:
+            hour = F.coalesce(F.floor(F.unix_seconds(F.col("event_timestamp").cast("timestamp")) / 3600), F.lit(-1))
+            hours = out.select(hour.alias("_hour")).distinct().join(source.select(hour.alias("_hour")).distinct(), "_hour", "left_semi")
+            hours = F.broadcast(hours)  # 8 bytes for each hour of the log
+            marked = source.withColumn("_hour", hour)
+            apart, own = marked.join(hours, "_hour", "left_anti").drop("_hour"), marked.join(hours, "_hour", "left_semi").drop("_hour")
+            known = out.withColumn("_hour", hour).join(hours, "_hour", "left_semi").select(*key)
+        own = own.join(known, key, "left_anti")
+        out = out.unionByName(own if apart is None else apart.unionByName(own), allowMissingColumns=True)
+    return out
 
 
 def merge_and_trim(sources: list[DataFrame], limit: int | None = None, limit_per_pk: int | None = None) -> DataFrame:
-    """Merge, then the cap for each key, then the global one."""
+    """Merge, then the cap for each key, then the global one. Each source is cut to what can be left of it beforehand."""
+    if len(sources) > 1 and limit_per_pk is not None:
+        sources = [latest_per_key(x, limit_per_pk) for x in sources]
+    elif len(sources) > 1 and limit is not None:
+        sources = [first_n(x, limit) for x in sources]
     out = merge_sources(sources)
     if limit_per_pk is not None:
         out = latest_per_key(out, limit_per_pk)
     return first_n(out, limit)
 
 
-def search(sources: DataFrame | list[DataFrame], s: Search) -> DataFrame:
-    """Filtered before the sources meet, so that the filters reach each scan."""
+def search(sources: DataFrame | list[DataFrame], s: Search, snapshots: list[DataFrame] | None = None) -> DataFrame:
+    """Filtered and cut before the sources meet, so that the filters reach each scan. snapshots: rows of snapshots as events,
+    the last sources, which have a say only where snapshot_reason() knows nothing against it; bounds of time hold for the
+    time of the snapshot."""
     sources = sources if isinstance(sources, list) else [sources]
-    found = [matching(x, s) for x in sources]
-    out = found[0] if len(found) == 1 else merge_sources(found)
-    if s.limit_per_pk is not None:
-        out = latest_per_key(out, s.limit_per_pk)
-    return first_n(out, s.limit)
+    sources = sources + (snapshots or [] if snapshot_reason(s) is None else [])
+    return merge_and_trim([matching(x, s) for x in sources], s.limit, s.limit_per_pk)
 
 
 def snapshot_reason(s: Search) -> str | None:

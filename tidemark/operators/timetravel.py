@@ -25,8 +25,13 @@ def split_pk_moves(log: DataFrame, new_pk: Column) -> DataFrame:
     return out.withColumns({"event_type": F.when(F.col("_part") == 0, DELETE).when(F.col("_part") == 1, INSERT).otherwise(F.col("event_type")), "pk_values": F.when(F.col("_part") == 1, F.col("_new")).otherwise(F.col("pk_values")), "row_after": F.when(F.col("_part") != 0, F.col("row_after")), "row_before": F.when(F.col("_part") != 1, F.col("row_before"))}).drop("_new", "_part")
 
 
+def of_table(log: DataFrame, schema: str, table: str) -> DataFrame:
+    return log.filter((F.col("schema_name") == schema) & (F.col("table_name") == table))
+
+
 def latest_change(log: DataFrame) -> DataFrame:
-    """(pk_values, event_type, row_after, events) of the last change of each key; partial maxima before the shuffle."""
+    """(pk_values, event_type, row_after, events) of the last change of each key; partial maxima before the shuffle. The log
+    is that of one table; of_table() takes it out of a log of several."""
     last = F.max_by(F.struct("event_type", "row_after"), F.struct("event_timestamp", "event_id")).alias("last")
     return log.groupBy("pk_values").agg(last, F.count("*").alias("events")).select("pk_values", "last.event_type", "last.row_after", "events")
 
@@ -96,6 +101,46 @@ def continuity(log: DataFrame, baseline_file: str, baseline_pos: int) -> DataFra
     return first.select("event_id", "binlog_file", "start_pos", F.coalesce(ok, F.lit(True)).alias("continuous"))
 
 
+def states_of(log: DataFrame, at, since=None) -> DataFrame:
+    """(schema_name, table_name, pk_values, row_image) of all tables of a log at a moment, none with a snapshot."""
+    names = ["schema_name", "table_name", "pk_values"]
+    last = F.max_by(F.struct("event_type", "row_after"), F.struct("event_timestamp", "event_id")).alias("last")
+    out = between(log, since, at).groupBy(*names).agg(last).filter((F.col("last.event_type") != DELETE) & F.col("last.row_after").isNotNull())
+    return out.select(*names, F.col("last.row_after").alias("row_image"))
+
+
+def history_json(entries: DataFrame) -> DataFrame:
+    """(pk_values, event_timestamp, event_id, text): a JSON object for each entry of a history, the state as such or null."""
+    time = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = F.to_json(F.struct(time.alias("time"), "source", F.when(F.col("event_id") != 0, F.col("event_id")).alias("event_id"), F.col("gtid") if "gtid" in entries.columns else F.lit(None).cast("string").alias("gtid")))
+    text = F.concat(own.substr(F.lit(1), F.length(own) - 1), F.lit(',"state":'), F.coalesce("state", F.lit("null")), F.lit("}"))
+    return entries.select("pk_values", "event_timestamp", "event_id", text.alias("text"))
+
+
+def history_table(entries: DataFrame) -> DataFrame:
+    """A history for CSV: pk_values, time, source, event_id, gtid and a column for each key that any state has, in their
+    order; empty where a state lacks it or the row is deleted. The keys are those of a table's columns, few enough to name."""
+    found = entries.select(F.explode(F.json_object_keys("state")).alias("k")).distinct().orderBy("k").collect()
+    values = F.from_json("state", "map<string,string>")
+    own = entries.withColumn("_values", values)
+    gtid = F.coalesce("gtid", F.lit("")) if "gtid" in entries.columns else F.lit("")
+    time = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return own.select("pk_values", time.alias("time"), "source", "event_id", gtid.alias("gtid"), *[F.coalesce(F.try_element_at("_values", F.lit(r.k)), F.lit("")).alias(f"state_{r.k}" if r.k in ("pk_values", "time", "source", "event_id", "gtid") else r.k) for r in found])
+
+
+def state_pairs(state: DataFrame) -> DataFrame:
+    """(pk_values, column_name, value) of row images, one row for each column; a deleted row has one that says so."""
+    pairs = F.map_entries(F.from_json("row_image", "map<string,string>"))
+    gone = F.array(F.struct(F.lit("(deleted)").alias("key"), F.lit(None).cast("string").alias("value")))
+    return state.select("pk_values", F.explode(F.coalesce(pairs, gone)).alias("e")).select("pk_values", F.col("e.key").alias("column_name"), F.col("e.value").alias("value"))
+
+
+def inserted_last(state: DataFrame) -> DataFrame:
+    """A state in the order of a dump: rows of the snapshot first, then new ones by key. Sorted by range, over many tasks."""
+    new = F.col("action") == "inserted"
+    return state.orderBy(new, F.when(new, F.col("pk_values")))
+
+
 def states_at(tables: dict[str, tuple[DataFrame | None, DataFrame]], at) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """state_at of many tables as lazy plans, and what failed by table. A table without snapshot starts empty."""
     done, failed = {}, {}

@@ -52,22 +52,27 @@ def statements(log: DataFrame, snapshots: DataFrame, null_safe: bool = False) ->
     update = F.concat(F.lit("UPDATE "), name, F.lit(" SET "), sets, F.lit(" WHERE "), where, F.lit(";"))
     delete = F.concat(F.lit("DELETE FROM "), name, F.lit(" WHERE "), where, F.lit(";"))
     kind = F.col("event_type")
+    endless = lambda m: F.coalesce(F.exists(F.map_values(m), lambda v: F.coalesce((F.schema_of_variant(v) == "DOUBLE") & F.variant_get(v, "$", "string").isin("Infinity", "-Infinity"), F.lit(False))), F.lit(False))
     error = (
         F.when(kind.isin(UPDATE, DELETE) & b.isNull(), F.lit("row_before is missing"))
         .when(kind.isin(INSERT, UPDATE) & a.isNull(), F.lit("row_after is missing"))
+        .when(endless(b) | endless(a), F.lit("a number is not finite"))
         .when(~kind.isin(INSERT, UPDATE, DELETE), F.concat(event_type_name(kind), F.lit(" can't be reversed")))
     )
     statement = F.when(error.isNull(), F.when(kind == DELETE, insert).when(kind == UPDATE, update).when(kind == INSERT, delete))
-    gtid = F.coalesce(F.concat(F.lit(" gtid="), F.col("gtid")), F.lit("")) if "gtid" in log.columns else F.lit("")
-    comment = F.concat(F.lit("-- ["), F.col("event_id").cast("string"), F.lit("] reverse "), event_type_name(kind), F.lit(" on "), "schema_name", F.lit("."), "table_name", F.lit(" pk="), "pk_values", F.lit(" at "), F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss"), gtid)
+    gtid = F.coalesce(F.concat(F.lit(", transaction "), F.col("gtid")), F.lit("")) if "gtid" in log.columns else F.lit("")
+    comment = F.concat(F.lit("-- event "), F.col("event_id").cast("string"), F.lit(", "), event_type_name(kind), F.lit(" of "), "schema_name", F.lit("."), "table_name", F.lit(" key "), "pk_values", F.lit(" at "), F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss"), gtid)
     return out.select("event_id", "event_timestamp", comment.alias("comment"), statement.alias("statement"), error.alias("error"))
 
 
 def script(log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(event_timestamp, event_id, text): a transaction around the statements in the order to run them. Header and end
-    stand first and last by their times; the sort is by range, so that the text can be written in order by many tasks."""
+    """(event_timestamp, event_id, text): a transaction around the statements in the order to run them, under a header with
+    the number of events; one line if there are none. What can't be reversed is a comment. Header and end stand first and
+    last by their times; the sort is by range, so that the text can be written in order by many tasks."""
     body = statements(log, snapshots)
     text = F.concat_ws("\n", "comment", F.coalesce("statement", F.concat(F.lit("-- ERROR: "), "error")))
-    far = "timestamp'{}-01-01 00:00:00'"
-    edges = log.sparkSession.sql(f"SELECT {far.format(2999)} AS event_timestamp, 0L AS event_id, '-- Review before use.\nBEGIN;' AS text UNION ALL SELECT {far.format(1900)}, 0L, 'COMMIT;'")
+    n = log.agg(F.count("*").alias("n"))
+    at = lambda year, line: F.struct(F.lit(f"{year}-01-01 00:00:00").cast("timestamp").alias("event_timestamp"), F.lit(0).cast("long").alias("event_id"), line.alias("text"))
+    head = F.concat(F.lit("-- Undo of "), F.col("n").cast("string"), F.lit(" events. Read it before it runs.\nBEGIN;"))
+    edges = n.select(F.explode(F.when(F.col("n") == 0, F.array(at(2999, F.lit("-- Nothing to undo.")))).otherwise(F.array(at(2999, head), at(1900, F.lit("COMMIT;"))))).alias("e")).select("e.*")
     return body.select("event_timestamp", "event_id", text.alias("text")).unionByName(edges).orderBy(F.desc("event_timestamp"), F.desc("event_id"))

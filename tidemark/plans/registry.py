@@ -157,11 +157,11 @@ def gtid_repair(spark, sf_dir):
     return run(spark, sf_dir, "SELECT * FROM events").select("event_id", X.gtid_repair(raw).alias("gtid"))
 
 
-@query("""WITH n AS (SELECT DISTINCT split_part(gtid, ':', 1) AS uuid, CAST(split_part(gtid, ':', 2) AS BIGINT) AS n FROM cl WHERE gtid IS NOT NULL AND event_id % 10 < 8),
+@query("""WITH n AS (SELECT DISTINCT split_part(gtid, ':', 1) AS uuid, CAST(split_part(gtid, ':', 2) AS BIGINT) AS n FROM cl WHERE gtid IS NOT NULL),
 r AS (SELECT uuid, min(n) AS lo, max(n) AS hi FROM (SELECT *, n - row_number() OVER (PARTITION BY uuid ORDER BY n) AS g FROM n) GROUP BY uuid, g)
 SELECT uuid, uuid || ':' || string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR) END, ':' ORDER BY lo) AS gtid_set FROM r GROUP BY uuid""")
 def gtid_set(spark, sf_dir):
-    return gtid.set_text(gtid.intervals(accounts(spark, sf_dir).filter("event_id % 10 < 8"), buckets=256))
+    return gtid.set_text(gtid.intervals(accounts(spark, sf_dir), buckets=256))
 
 
 GTID_SPANS = "WITH n AS (SELECT DISTINCT split_part(gtid, ':', 1) AS uuid, CAST(split_part(gtid, ':', 2) AS BIGINT) AS n FROM cl WHERE gtid IS NOT NULL AND {where}), {name} AS (SELECT uuid, min(n) AS lo, max(n) AS hi FROM (SELECT *, n - row_number() OVER (PARTITION BY uuid ORDER BY n) AS g FROM n) GROUP BY uuid, g)"
@@ -275,20 +275,24 @@ UNDO = {
 }
 
 
-def undo_query(name: str, kind: int, version: int | None) -> None:
-    where = f"event_type = {kind}" + ("" if version is None else f" AND schema_version = {version}")
+ANY_UNDO = "CASE event_type " + " ".join(f"WHEN {kind} THEN {text}" for kind, text in UNDO.items()) + " END"
+
+
+def undo_query(name: str, kind: int | None) -> None:
+    """Of events of a kind, or of all; both schema versions."""
+    where = "true" if kind is None else f"event_type = {kind}"
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         return undo.statements(accounts(spark, sf_dir).filter(where), small(spark, SNAPSHOTS)).select("event_id", "statement")
 
     f.__name__ = name
-    query(f"SELECT event_id, {UNDO[kind]} AS statement FROM cl WHERE {where}")(f)
+    query(f"SELECT event_id, {ANY_UNDO} AS statement FROM cl WHERE {where}")(f)
 
 
-undo_query("undo_delete", 3, 1)
-undo_query("undo_update", 2, 1)
-undo_query("undo_insert", 1, 1)
-undo_query("undo_by_schema_version", 2, None)
+undo_query("undo_delete", 3)
+undo_query("undo_update", 2)
+undo_query("undo_insert", 1)
+undo_query("undo_by_schema_version", None)
 
 
 @query("SELECT event_id, 'DELETE FROM `shop`.`orders` WHERE `o_orderkey` = ' || json_extract_string(row_after, '$.o_orderkey') || ' AND `price_cents` = ' || json_extract_string(row_after, '$.price_cents') || ' AND `status` = ''' || json_extract_string(row_after, '$.status') || ''';' AS statement FROM co WHERE event_type = 1")
@@ -297,9 +301,6 @@ def undo_no_pk(spark, sf_dir):
     return undo.statements(orders_log(spark, sf_dir).filter("event_type = 1").withColumn("schema_version", F.lit(0)), nothing).select("event_id", "statement")
 
 
-ANY_UNDO = "CASE event_type " + " ".join(f"WHEN {kind} THEN {text}" for kind, text in UNDO.items()) + " END"
-
-
 @query(f"SELECT event_id, {ANY_UNDO} AS statement FROM cl WHERE gtid = '3e11fa47-71ca-11e1-9e33-c80aa9429562:100'")
 def undo_transaction(spark, sf_dir):
     found = S.matching(accounts(spark, sf_dir), S.Search(gtid="3e11fa47-71ca-11e1-9e33-c80aa9429562:100"))
@@ -318,7 +319,10 @@ def undo_keys_in_time(spark, sf_dir):
     return undo.statements(found, small(spark, SNAPSHOTS)).select("event_id", "statement")
 
 
-@query()
+UNDO_COMMENT = "'-- event ' || CAST(event_id AS VARCHAR) || ', ' || CASE event_type WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || ' of app.wallets key ' || pk_values || ' at ' || strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') || COALESCE(', transaction ' || gtid, '')"
+
+
+@query(f"SELECT event_timestamp, event_id, {UNDO_COMMENT} || chr(10) || {ANY_UNDO} AS text FROM cl WHERE table_name = 'wallets' UNION ALL SELECT TIMESTAMP '2999-01-01 00:00:00', 0, '-- Undo of ' || CAST(count(*) AS VARCHAR) || ' events. Read it before it runs.' || chr(10) || 'BEGIN;' FROM cl WHERE table_name = 'wallets' UNION ALL SELECT TIMESTAMP '1900-01-01 00:00:00', 0, 'COMMIT;'")
 def undo_script(spark, sf_dir):
     return undo.script(S.matching(accounts(spark, sf_dir), S.Search(table="wallets")), small(spark, SNAPSHOTS))
 
@@ -489,8 +493,9 @@ def stream_ingest(spark, sf_dir):
 def dump_sql_read(spark, sf_dir):
     root = shared_folder(spark)
     rows = run(spark, sf_dir, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders").select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.lit("'\\")).alias("status"), F.lit(None).cast("string").alias("nothing"))
-    dumps.write_dump(rows, root, "shop", "orders", "CREATE TABLE `orders` (`o_orderkey` int)", "2024-01-01 00:00:00")
-    return dumps.read_sql_dump(spark, f"{root}/shop.orders").select(*[F.col("values")[i].alias(c) for i, c in enumerate(rows.columns)])
+    dumps.write_dump(rows, root, "shop", "orders", "CREATE TABLE `orders` (`o_orderkey` int)", "2024-01-01 00:00:00", rows_per_file=2000)
+    files = dumps.discover_dump(spark, root).filter("schema_name = 'shop' AND table_name = 'orders'").first().data_files
+    return dumps.read_sql_dump(spark, [f"{root}/{f}" for f in files]).select(*[F.col("values")[i].alias(c) for i, c in enumerate(rows.columns)])
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority || chr(9) || '\\' AS priority, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status FROM orders")
@@ -531,9 +536,12 @@ def display_names(spark, sf_dir):
     return run(spark, sf_dir, "SELECT event_id FROM events").select("event_id", X.event_type_name(code).alias("name"), X.human_bytes(F.col("event_id") * 300).alias("size"))
 
 
-@query("SELECT event_id, CAST(200 + octet_length(encode(pk_values)) + 192 * ((row_before IS NOT NULL)::INT + (row_after IS NOT NULL)::INT) AS BIGINT) AS size FROM cl")
+#: Three keys of 6, 4 and 7 letters, a number or null, a text and a number.
+IMAGE_SIZE = "COALESCE(3 * 64 + 17 + CASE WHEN json_type(json_extract({0}, '$.amount')) = 'NULL' THEN 0 ELSE 8 END + strlen(json_extract_string({0}, '$.kind')) + 8, 0)"
+
+
+@query(f"SELECT event_id, CAST(264 + strlen(pk_values) + {IMAGE_SIZE.format('row_before')} + {IMAGE_SIZE.format('row_after')} AS BIGINT) AS size FROM cl")
 def row_sizes(spark, sf_dir):
-    """Every image of the view has three keys."""
     return accounts(spark, sf_dir).select("event_id", X.row_size("row_before", "row_after", "pk_values").alias("size"))
 
 
@@ -669,10 +677,13 @@ def states_at(spark, sf_dir):
     return own[0].unionByName(own[1])
 
 
-@query(MERGED + ", r AS (SELECT count(*) FILTER (action = 'passthrough') AS passthrough, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'deleted') AS deleted, 0 AS invalid, sum(n) AS events FROM m) SELECT CAST(2 AS BIGINT) AS tables, 2 * passthrough AS passthrough, 2 * updated AS updated, 2 * inserted AS inserted, 2 * deleted AS deleted, CAST(0 AS BIGINT) AS invalid, CAST(2 * events AS BIGINT) AS events FROM r")
+@query(MERGED + f", r AS (SELECT count(*) FILTER (action = 'passthrough') AS passthrough, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'deleted') AS deleted, sum(n) AS events FROM m UNION ALL SELECT 0, 0, count(*) FILTER (event_type <> 3), 0, sum(n) FROM (SELECT event_type, table_name, count(*) OVER (PARTITION BY table_name, pk_values) AS n, row_number() OVER (PARTITION BY table_name, pk_values ORDER BY event_timestamp DESC, event_id DESC) AS r FROM cl WHERE event_timestamp <= TIMESTAMP '{STATES_AT}') WHERE r = 1 GROUP BY table_name) SELECT count(*) AS tables, CAST(sum(passthrough) AS BIGINT) AS passthrough, CAST(sum(updated) AS BIGINT) AS updated, CAST(sum(inserted) AS BIGINT) AS inserted, CAST(sum(deleted) AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS invalid, CAST(sum(events) AS BIGINT) AS events FROM r")
 def run_totals(spark, sf_dir):
-    """The totals of a run over two tables; here both are orders."""
-    return coverage.run_totals([reconstruct_report(spark, sf_dir)] * 2)
+    """The totals of a run over three tables, two of them without a snapshot."""
+    log = accounts(spark, sf_dir)
+    nothing = log.select("pk_values", F.lit("").alias("row_image")).limit(0)
+    own = [timetravel.report(nothing, timetravel.of_table(log, "app", t), STATES_AT) for t in ("accounts", "wallets")]
+    return coverage.run_totals([reconstruct_report(spark, sf_dir), *own])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -705,11 +716,139 @@ def stream_split_sinks(spark, sf_dir):
     return spark.read.parquet(f"{root}/metadata").select("event_id", "pk_hash").join(full, "event_id")
 
 
-@query("SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS table_name, TIMESTAMP '2024-01-05 06:00:00' AS snapshot_time FROM nation WHERE n_nationkey < 3")
+@query("SELECT DISTINCT 'orders' AS table_name, make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0) AS snapshot_time FROM orders")
 def baseline_discovery(spark, sf_dir):
-    """Snapshots found by their folders."""
+    """Snapshots found by their folders, one for each year of orders."""
     root = shared_folder(spark)
-    orders = run(spark, sf_dir, "SELECT o_orderkey, o_custkey FROM orders")
-    for i in range(3):
-        orders.filter(F.col("o_custkey") % 3 == i).write.parquet(f"{root}/2024-01-05T06-00-00Z/shop/n{i}")
+    orders = run(spark, sf_dir, "SELECT o_orderkey, o_custkey, year(o_orderdate) AS year FROM orders")
+    for r in orders.select("year").distinct().collect():
+        orders.filter(F.col("year") == r.year).write.parquet(f"{root}/{r.year}-01-01T00-00-00Z/shop/orders")
     return baseline.discover(spark, root).select("table_name", "snapshot_time")
+
+
+@query(f"SELECT {LISTED} FROM cl WHERE schema_name = 'app' AND table_name = 'wallets'")
+def included_tables(spark, sf_dir):
+    return normalise.included(accounts(spark, sf_dir), ["app"], ["app.wallets", "shop.orders"]).select(COLS)
+
+
+@query("SELECT event_id, event_id * 100 AS start_pos, date_trunc('second', ts) AS event_timestamp, gtid IS NULL AS no_gtid, connection_id IS NULL AS no_connection FROM (SELECT event_id, ts, CAST(NULL AS VARCHAR) AS gtid, CAST(NULL AS BIGINT) AS connection_id FROM events)")
+def stamped_feed(spark, sf_dir):
+    out = normalise.stamped(run(spark, sf_dir, FEED))
+    return out.select("event_id", "start_pos", "event_timestamp", F.col("gtid").isNull().alias("no_gtid"), F.col("connection_id").isNull().alias("no_connection"))
+
+
+TEXTS = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR(20)) END AS n, CASE WHEN event_id % 4 = 0 THEN '2024-13-01' ELSE '2024-02-' || lpad(CAST(event_id % 29 + 1 AS VARCHAR(9)), 2, '0') END AS d, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(event_id AS VARCHAR(20)) || '.25' END AS f FROM events"
+
+
+@query(f"SELECT event_id, TRY_CAST(n AS INT) AS n, TRY_CAST(d AS DATE) AS d, TRY_CAST(f AS DOUBLE) AS f FROM ({TEXTS})")
+def typed_values(spark, sf_dir):
+    """Text as typed values; what can't be read is null."""
+    return run(spark, sf_dir, TEXTS).select("event_id", baseline.typed("n", "int", "int"), baseline.typed("d", "date"), baseline.typed("f", "double"))
+
+
+NUMBERS = "SELECT event_id, CAST(event_id % 25 AS INT) - 12 AS k FROM events"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id = 0 THEN '0' WHEN k >= 0 THEN CAST(event_id AS VARCHAR) || repeat('0', k) ELSE rtrim(rtrim(CAST(event_id // CAST(power(10, -k) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(event_id % CAST(power(10, -k) AS BIGINT) AS VARCHAR), -k, '0'), '0'), '.') END AS literal FROM ({NUMBERS})")
+def number_literals(spark, sf_dir):
+    """Numbers written with exponents, as literals without."""
+    text = F.concat(F.col("event_id").cast("string"), F.lit("e"), F.col("k").cast("string"))
+    return run(spark, sf_dir, NUMBERS).select("event_id", X.sql_literal(F.parse_json(text)).alias("literal"))
+
+
+@query(f"WITH h AS (SELECT pk_values, TIMESTAMP '{SNAPSHOT_TIME}' AS t, CAST(0 AS BIGINT) AS event_id, 'baseline' AS source, row_image AS state FROM bl UNION ALL SELECT pk_values, event_timestamp, event_id, 'log', CASE WHEN event_type <> 3 THEN row_after END FROM co WHERE event_timestamp <= TIMESTAMP '{AT}') SELECT pk_values, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS time, source, event_id, '' AS gtid, COALESCE(json_extract_string(state, '$.o_orderkey'), '') AS o_orderkey, COALESCE(json_extract_string(state, '$.price_cents'), '') AS price_cents, COALESCE(json_extract_string(state, '$.status'), '') AS status FROM h")
+def history_csv(spark, sf_dir):
+    return timetravel.history_table(row_history(spark, sf_dir))
+
+
+@query(f"SELECT event_id, '{{\"time\":\"' || strftime(event_timestamp, '%Y-%m-%dT%H:%M:%SZ') || '\",\"source\":\"log\",\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"state\":' || CASE WHEN event_type <> 3 THEN row_after ELSE 'null' END || '}}' AS text FROM co WHERE event_timestamp <= TIMESTAMP '{AT}'")
+def history_json(spark, sf_dir):
+    return timetravel.history_json(row_history(spark, sf_dir).filter("source = 'log'")).select("event_id", "text")
+
+
+@query(MERGED + " SELECT pk_values, k AS column_name, json_extract_string(row_image, '$.' || k) AS value FROM m, (VALUES ('o_orderkey'), ('price_cents'), ('status')) AS c(k) WHERE action NOT IN ('none', 'deleted')")
+def state_listing(spark, sf_dir):
+    return timetravel.state_pairs(state_at(spark, sf_dir))
+
+
+@query(f"SELECT schema_name, table_name, pk_values, row_after AS row_image FROM (SELECT *, row_number() OVER (PARTITION BY schema_name, table_name, pk_values ORDER BY event_timestamp DESC, event_id DESC) AS r FROM cl WHERE event_timestamp <= TIMESTAMP '{STATES_AT}') WHERE r = 1 AND event_type <> 3")
+def states_of_log(spark, sf_dir):
+    return timetravel.states_of(accounts(spark, sf_dir), STATES_AT)
+
+
+@query(f"SELECT event_timestamp, event_type, pk_values, row_after FROM co WHERE event_timestamp BETWEEN TIMESTAMP '{SNAPSHOT_TIME}' AND TIMESTAMP '{AT}' UNION ALL SELECT TIMESTAMP '{SNAPSHOT_TIME}', 6, pk_values, row_image FROM bl")
+def search_with_snapshot(spark, sf_dir):
+    """A log and a snapshot as one source; the snapshot's own time counts."""
+    rows = timetravel.snapshot_events(orders_baseline(spark, sf_dir), "shop", "orders", SNAPSHOT_TIME)
+    return S.search(orders_log(spark, sf_dir), S.Search(table="orders", since=SNAPSHOT_TIME, until=AT), [rows]).select("event_timestamp", "event_type", "pk_values", "row_after")
+
+
+@query(f"SELECT event_type, count(*) AS events FROM co WHERE event_type = 2 AND event_timestamp <= TIMESTAMP '{AT}' GROUP BY 1")
+def search_without_snapshot(spark, sf_dir):
+    """A search for a kind of change leaves the snapshot out."""
+    rows = timetravel.snapshot_events(orders_baseline(spark, sf_dir), "shop", "orders", SNAPSHOT_TIME)
+    return S.search(orders_log(spark, sf_dir), S.Search(event_type=2, until=AT), [rows]).groupBy("event_type").agg(F.count("*").alias("events"))
+
+
+@query(f"SELECT {LISTED} FROM cl")
+def archive_sources(spark, sf_dir):
+    """Two archives, one of which lacks a column; a third that can't be read is passed over."""
+    root = shared_folder(spark)
+    log = accounts(spark, sf_dir)
+    archive.write_archive(log.filter("table_name = 'wallets'"), f"{root}/a", "s1")
+    archive.write_archive(log.filter("table_name = 'accounts'").drop("connection_id"), f"{root}/b", "s2")
+    good, bad = archive.usable(spark, [f"{root}/a", f"{root}/none", f"{root}/b"])
+    assert list(bad) == [f"{root}/none"]
+    return S.merge_sources([archive.read_archive(spark, r) for r in good]).select(COLS)
+
+
+@query(f"SELECT hour FROM ({EXPIRED}) WHERE hour NOT IN (SELECT hour FROM ({LEDGER}) WHERE s3_bucket IS NOT NULL AND s3_uploaded_at IS NULL)")
+def rotation(spark, sf_dir):
+    """Expired hours that are archived, counted and let go; those that wait for an upload stay."""
+    return retention.rotate(accounts(spark, sf_dir), ledger(spark, sf_dir), shared_folder(spark), "s1", NOW, "7 days")[0]
+
+
+@query(f"SELECT strftime(hour, 'p_%Y%m%d%H') AS partition_name, CAST(row_count AS BIGINT) AS row_count FROM ({LEDGER}) UNION SELECT strftime(hour, 'p_%Y%m%d%H'), n FROM (SELECT date_trunc('hour', event_timestamp) AS hour, count(*) AS n FROM cl GROUP BY 1) WHERE hour < TIMESTAMP '2024-01-24 00:30:00' AND hour NOT IN (SELECT hour FROM ({LEDGER}))")
+def rotation_ledger(spark, sf_dir):
+    """The ledger after a run."""
+    return retention.rotate(accounts(spark, sf_dir), ledger(spark, sf_dir), shared_folder(spark), "s1", NOW, "7 days")[1].select("partition_name", "row_count")
+
+
+@query(f"SELECT {LISTED} FROM cl WHERE event_timestamp >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+def recent_sink(spark, sf_dir):
+    """The recent events, written as a buffer's file and read again."""
+    root = shared_folder(spark)
+    retention.write_recent(accounts(spark, sf_dir).withColumn("size", X.row_size("row_before", "row_after", "pk_values")), root, NOW, "10 days")
+    return spark.read.parquet(root).select(COLS)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def baseline_row(spark, sf_dir):
+    """A snapshot's row by its key; here the last one."""
+    orders = run(spark, sf_dir, "SELECT * FROM orders")
+    return baseline.row(orders, {"o_orderkey": orders.agg(F.max("o_orderkey")).first()[0]}).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'ddl' ELSE 'log' END AS sink FROM cl WHERE event_id % 10 <> 1")
+def stream_route(spark, sf_dir):
+    """A stream with DDL and transaction records among the changes; each batch is written twice, as after a failure."""
+    from tidemark.streaming import ingest
+
+    root = shared_folder(spark)
+    kind = F.when(F.col("event_id") % 10 == 0, 4).when(F.col("event_id") % 10 == 1, 5).otherwise(F.col("event_type"))
+    log = accounts(spark, sf_dir).withColumn("event_type", kind)
+    log.repartition(4, "event_id").write.parquet(f"{root}/in")
+    write = ingest.route(f"{root}/log", f"{root}/ddl")
+
+    def twice(batch, number):
+        write(batch, number)
+        write(batch, number)
+
+    ingest.read_feed(spark, f"{root}/in", log.schema, 2).writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    own = [spark.read.parquet(f"{root}/{sink}").select("event_id", F.lit(sink).alias("sink")) for sink in ("log", "ddl")]
+    return own[0].unionByName(own[1])
+
+
+@query("SELECT date_trunc('hour', event_timestamp) AS hour, count(*) AS events FROM cl GROUP BY 1")
+def status_listing(spark, sf_dir):
+    return coverage.listing(hour_stats(spark, sf_dir), "-events", "hour")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +26,17 @@ def read_archive(spark: SparkSession, root: str, s: Search | None = None, loose:
     return out
 
 
+def columns(log: DataFrame) -> list[Column]:
+    """The columns of an archive; what a log lacks is null."""
+    return [F.col(f.name).cast(f.dataType) if f.name in log.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGELOG.fields]
+
+
 def write_archive(log: DataFrame, root: str, server_id: str | None = None, codec: str = "zstd", rows_per_file: int = 0) -> None:
     """Hours of a log as partitions, each file in order of event_id; hours that are there already are replaced. An hour
     is spread over tasks by its rows, so a hot hour is many files."""
     own = log if server_id is None else log.withColumn("server_id", F.lit(server_id))
     own = own.withColumns({"event_date": F.to_date("event_timestamp"), "event_hour": F.hour("event_timestamp")})
-    columns = [F.col(f.name).cast(f.dataType) if f.name in own.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGELOG.fields]
-    spread = own.select(*columns, *PARTITIONS).repartitionByRange(*PARTITIONS, "event_id").sortWithinPartitions(*PARTITIONS, "event_id")
+    spread = own.select(*columns(own), *PARTITIONS).repartitionByRange(*PARTITIONS, "event_id").sortWithinPartitions(*PARTITIONS, "event_id")
     writer = spread.write.partitionBy(*PARTITIONS).option("compression", codec).option("partitionOverwriteMode", "dynamic").mode("overwrite")
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(root)
 

@@ -68,6 +68,17 @@ def keyed(rows: DataFrame, key: list[tuple[str, str, str]]) -> DataFrame:
     return rows.select(pk_encode(parts).alias("pk_values"), F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("row_image"))
 
 
+def row(rows: DataFrame, key: dict[str, object]) -> DataFrame:
+    """The rows of a snapshot with these key values, by its typed columns, so that the filter reaches the files. A column
+    that isn't there raises."""
+    if missing := [c for c in key if c not in rows.columns]:
+        raise ValueError(f"key columns not in the snapshot: {missing}")
+    out = rows
+    for c, value in key.items():
+        out = out.filter(F.col(c).eqNullSafe(F.lit(value).cast(rows.schema[c].dataType)))
+    return out
+
+
 def sql_over(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     """A query over snapshots and archives under names of the caller's choice."""
     return spark.sql(query, **tables)

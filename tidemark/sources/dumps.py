@@ -3,19 +3,40 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import quote_name, typed_literal
+from tidemark.functions.expressions import typed_literal
 from tidemark.session import share_package
 
+#: A file up to this size is read whole; statements of larger ones must each end with ";" and a line feed.
+WHOLE_BYTES = 256 << 20
 _TOKEN = re.compile(r"'((?:[^'\\]|\\.|'')*)'|\"((?:[^\"\\]|\\.|\"\")*)\"|([(),;])|([^\s(),;'\"]+)", re.S)
 # Escapes inside quotes.
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a"}
 
 
+# What runs to the end of a statement: quoted text, comments, other text.
+_STATEMENT = re.compile(r"(?:'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.|\"\")*+\"|`[^`]*+`|/\*.*?\*/|(?:--[ \t]|#)[^\n]*+|[^;'\"`/#-]++|[/#-])++", re.S)
+
+
+def statements(text: str) -> Iterator[str]:
+    """The statements of a file, whatever ends their lines; semicolons in quotes and comments end none. A quote that is never
+    closed raises."""
+    at = 0
+    while at < len(text):
+        m = _STATEMENT.match(text, at)
+        end = m.end() if m else at
+        if end < len(text) and text[end] != ";":
+            raise ValueError(f"a quote is not closed after character {end}: {text[end : end + 40]!r}")
+        if m:
+            yield re.sub(r"^(?:\s+|/\*.*?\*/|(?:--[ \t]|#)[^\n]*(?:\n|$))+", "", m[0], flags=re.S)
+        at = end + 1
+
+
 def tuples(statement: str) -> Iterator[list[str | None]]:
     """Rows of INSERT ... VALUES (...), (...): text of each value; NULL is None, hex and nested calls stay text."""
     start = re.search(r"\bVALUES\b", statement, re.I)
@@ -42,20 +63,30 @@ def tuples(statement: str) -> Iterator[list[str | None]]:
             quoted = True
 
 
-def read_sql_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, values array<string>) of INSERT statements, which end with a semicolon at the end of a line. The files are
-    read in parallel as statements; this is the one source that parses text in Python."""
+def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, values array<string>) of INSERT statements. Files are read in parallel, whole up to WHOLE_BYTES, as dumps are
+    written in files of bounded size; larger ones by statements at the ends of lines, and one that can't be read so raises.
+    This is the one source that parses text in Python."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [(f, v) for f, s in zip(pdf["file"], pdf["value"], strict=True) for v in tuples(s)]
-            yield pd.DataFrame(rows, columns=["file", "values"])
+            for f, text in zip(pdf["file"], pdf["value"], strict=True):
+                rows = []
+                for statement in statements(text):
+                    if re.match(r"INSERT\s", statement, re.I):
+                        rows += [(f, v) for v in tuples(statement)]
+                    if len(rows) > 10_000:
+                        yield pd.DataFrame(rows, columns=["file", "values"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["file", "values"])
 
     share_package(spark)
-    lines = spark.read.option("lineSep", ";\n").text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter(F.col("value").rlike(r"(?i)^\s*INSERT\s"))
-    return lines.mapInPandas(run, "file string, values array<string>")
+    size = F.col("_metadata.file_size")
+    own = lambda df, holds: df.filter(holds).select(F.col("_metadata.file_name").alias("file"), "value")
+    parts = own(spark.read.text(path, wholetext=True), size <= WHOLE_BYTES).unionByName(own(spark.read.text(path, lineSep=";\n"), size > WHOLE_BYTES))
+    return parts.mapInPandas(run, "file string, values array<string>")
 
 
 def read_tab_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -94,21 +125,56 @@ def dump_coordinates(spark: SparkSession, path: str) -> DataFrame:
 
 def table_columns(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, column_name, data_type, column_type) from CREATE TABLE text, one column a line."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     column = r"^\s*`([^`]+)`\s+(([A-Za-z]+)(?:\([^)]*\))?(?:\s+unsigned)?)"
     found = lines.select("file", "n", F.regexp_extract("line", column, 1).alias("column_name"), F.lower(F.regexp_extract("line", column, 3)).alias("data_type"), F.lower(F.regexp_extract("line", column, 2)).alias("column_type"))
     return found.filter("column_name <> ''").withColumnRenamed("n", "position")
 
 
-def write_dump(rows: DataFrame, path: str, schema: str, table: str, create: str, started: str, binlog_file: str = "", binlog_pos: int = 0, rows_per_statement: int = 1000, rows_per_file: int = 100_000) -> None:
-    """A state as a dump: the schema, INSERT statements of several rows over many files, and the coordinates."""
+def write_dump(rows: DataFrame, path: str, schema: str, table: str, create: str, started: str, binlog_file: str = "", binlog_pos: int = 0, gtid_set: str = "", rows_per_statement: int = 1000, rows_per_file: int = 100_000) -> list[str]:
+    """A state as a dump that loaders and discover_dump() read: schema.table-schema.sql, schema.table.00000.sql and on with
+    INSERT statements of several rows, and metadata with the coordinates. Statements are put together within the partitions
+    of rows, without a shuffle; the driver only names the files, which it returns."""
     spark = rows.sparkSession
+    share_package(spark)
     kinds = dict(rows.dtypes)
     row = F.concat(F.lit("("), F.concat_ws(",", *[typed_literal(F.col(c), kinds[c]) for c in rows.columns]), F.lit(")"))
-    head = F.concat(F.lit("INSERT INTO "), quote_name(F.lit(table)), F.lit(" VALUES\n"))
-    number = F.monotonically_increasing_id()
-    many = rows.select(row.alias("row"), F.floor(number / rows_per_statement).alias("g")).groupBy("g").agg(F.concat(head, F.array_join(F.collect_list("row"), ",\n"), F.lit(";")).alias("value"))
-    many.select("value").write.mode("overwrite").option("maxRecordsPerFile", max(1, rows_per_file // rows_per_statement)).text(f"{path}/{schema}.{table}")
-    about = [(f"# Started dump at: {started}",), (f"File: {binlog_file}",), (f"Pos: {binlog_pos}",)]
-    for name, lines in ((f"{schema}.{table}-schema", [(create.rstrip(";") + ";",)]), ("metadata", about)):
-        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    quote = lambda name: "`" + name.replace("`", "``") + "`"
+    head = f"INSERT INTO {quote(table)} ({', '.join(map(quote, rows.columns))}) VALUES\n"
+
+    def join(batches):
+        import pandas as pd
+
+        held: list[str] = []
+        for pdf in batches:
+            held += pdf["row"].tolist()
+            full = len(held) // rows_per_statement * rows_per_statement
+            yield pd.DataFrame({"value": [head + ",\n".join(held[i : i + rows_per_statement]) + ";" for i in range(0, full, rows_per_statement)]})
+            held = held[full:]
+        if held:
+            yield pd.DataFrame({"value": [head + ",\n".join(held) + ";"]})
+
+    about = [f"# Started dump at: {started}", f"File: {binlog_file}", f"Pos: {binlog_pos}", *([f"GTID: {gtid_set}"] if gtid_set else [])]
+    single = lambda lines: spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1)
+    statements_of = rows.select(row.alias("row")).mapInPandas(join, "value string")
+    parts = {f"{schema}.{table}.{{:05d}}.sql": statements_of, f"{schema}.{table}-schema.sql": single([create.rstrip(";") + ";"]), "metadata": single(about)}
+    return [name for form, df in parts.items() for name in _named(df, path, form, max(1, rows_per_file // rows_per_statement))]
+
+
+def _named(df: DataFrame, path: str, form: str, rows_per_file: int) -> list[str]:
+    """Writes text and gives its files names of this form, in place of any of before."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(path))
+    work = f"{path}/_{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", rows_per_file).text(work)
+    for old in fs.globStatus(hadoop.Path(f"{path}/{form.replace('{:05d}', '[0-9]*')}")) or []:
+        fs.delete(old.getPath(), False)
+    files = sorted(f.getPath().getName() for f in fs.listStatus(hadoop.Path(work)) if f.getPath().getName().startswith("part-") and f.getLen())
+    names = [form.format(i) for i in range(len(files))]
+    for file, name in zip(files, names, strict=True):
+        if not fs.rename(hadoop.Path(f"{work}/{file}"), hadoop.Path(f"{path}/{name}")):
+            raise OSError(f"can't rename {file} to {name} in {path}")
+    fs.delete(hadoop.Path(work), True)
+    return names

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tidemark.operators.normalise import ddl_rows, split_metadata, split_payload
-from tidemark.schema import CHANGELOG, DDL, DELETE, GTID, INSERT, UPDATE
+from tidemark.schema import CHANGELOG, DDL, DELETE, INSERT, UPDATE
 
 
 def read_feed(spark: SparkSession, path: str, schema=CHANGELOG, files_per_batch: int = 100) -> DataFrame:
@@ -34,14 +36,18 @@ def ingest(feed: DataFrame, sink: str, checkpoint: str, trigger: dict | None = N
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def route(batch: DataFrame, log_sink: str, ddl_sink: str) -> None:
-    """Control records apart: transaction records only move the position, DDL goes to its own table."""
-    batch.filter(F.col("event_type").isin(INSERT, UPDATE, DELETE)).write.mode("append").parquet(log_sink)
-    ddl = batch.filter(F.col("event_type") == DDL)
-    if "query" in batch.columns:
-        ddl = ddl_rows(ddl)
-    ddl.write.mode("append").parquet(ddl_sink)
-    assert GTID not in (INSERT, UPDATE, DELETE, DDL)
+def route(log_sink: str, ddl_sink: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: control records apart. Transaction records only move the position, DDL goes to its own table. A
+    batch that is run again replaces its own folder, so nothing doubles."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.filter(F.col("event_type").isin(INSERT, UPDATE, DELETE)).write.mode("overwrite").parquet(f"{log_sink}/batch={number}")
+        ddl = batch.filter(F.col("event_type") == DDL)
+        (ddl_rows(ddl) if "query" in batch.columns else ddl).write.mode("overwrite").parquet(f"{ddl_sink}/batch={number}")
+        batch.unpersist()
+
+    return write
 
 
 def split_sinks(server_id: str, metadata_sink: str, payload_sink: str) -> Callable[[DataFrame, int], None]:
@@ -49,9 +55,10 @@ def split_sinks(server_id: str, metadata_sink: str, payload_sink: str) -> Callab
     own folder, so nothing doubles."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.filter(F.col("event_type").isin(INSERT, UPDATE, DELETE))
+        rows = batch.filter(F.col("event_type").isin(INSERT, UPDATE, DELETE)).persist()
         split_metadata(rows, server_id).write.mode("overwrite").parquet(f"{metadata_sink}/batch={number}")
         split_payload(rows, server_id).write.mode("overwrite").partitionBy("server_id", "schema_table", "date").parquet(f"{payload_sink}/batch={number}")
+        rows.unpersist()
 
     return write
 
@@ -82,19 +89,37 @@ def batch_sizes(progress: DataFrame) -> DataFrame:
     return progress.filter("rows > 0").groupBy(F.floor(F.log2("rows")).cast("int").alias("size_class")).agg(F.count("*").alias("batches"))
 
 
+def observed(feed: DataFrame) -> DataFrame:
+    """The feed with what Progress reports of each batch."""
+    return feed.observe("ingest", F.count("*").alias("received"), F.count_if(F.col("event_type").isin(INSERT, UPDATE, DELETE)).alias("indexed"), F.max("event_timestamp").alias("last_event"))
+
+
+PROGRESS = "query string, batch long, rows long, rows_a_second double, state_rows long, received long, indexed long, last_event timestamp, lag_seconds double, error string"
+
+
 class Progress(StreamingQueryListener):
-    """Keeps the figures of each batch: (batch, rows, rows a second, state rows)."""
+    """Writes a row for each batch to a table, PROGRESS: rows, speed, state, what observed() counts, the time of the last
+    event and how far it lies behind. Errors have a row too. Only the last of them are kept here."""
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None, kept: int = 1000):
+        self.spark, self.path = spark, path
+        self.rows: deque[tuple] = deque(maxlen=kept)
+        self.errors: deque[str] = deque(maxlen=kept)
 
-    def __init__(self):
-        self.rows: list[tuple[int, int, float, int]] = []
-        self.errors: list[str] = []
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if self.path is not None:
+            self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.rows.append((p.batchId, p.numInputRows, p.processedRowsPerSecond, sum(s.numRowsTotal for s in p.stateOperators)))
+        seen = p.observedMetrics.get("ingest")
+        received, indexed, last = (seen["received"], seen["indexed"], seen["last_event"]) if seen is not None else (None, None, None)
+        lag = (datetime.now() - last).total_seconds() if last is not None else None
+        self.add((str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, sum(s.numRowsTotal for s in p.stateOperators), received, indexed, last, lag, None))
 
     def onQueryIdle(self, event):
         pass
@@ -102,3 +127,4 @@ class Progress(StreamingQueryListener):
     def onQueryTerminated(self, event):
         if event.exception:
             self.errors.append(event.exception)
+            self.add((str(event.id), None, None, None, None, None, None, None, None, event.exception.split("\n")[0]))
