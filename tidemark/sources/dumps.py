@@ -69,24 +69,26 @@ def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     This is the one source that parses text in Python."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for f, text in zip(pdf["file"], pdf["value"], strict=True):
+        kinds = (pa.string(), pa.list_(pa.string()))
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in (0, 1)], names=["file", "values"])
+        for batch in batches:
+            for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
                 for statement in statements(text):
                     if re.match(r"INSERT\s", statement, re.I):
                         rows += [(f, v) for v in tuples(statement)]
                     if len(rows) > 10_000:
-                        yield pd.DataFrame(rows, columns=["file", "values"])
+                        yield table(rows)
                         rows = []
-                yield pd.DataFrame(rows, columns=["file", "values"])
+                yield table(rows)
 
     share_package(spark)
     size = F.col("_metadata.file_size")
     own = lambda df, holds: df.filter(holds).select(F.col("_metadata.file_name").alias("file"), "value")
     parts = own(spark.read.text(path, wholetext=True), size <= WHOLE_BYTES).unionByName(own(spark.read.text(path, lineSep=";\n"), size > WHOLE_BYTES))
-    return parts.mapInPandas(run, "file string, values array<string>")
+    return parts.mapInArrow(run, "file string, values array<string>")
 
 
 def read_tab_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -143,20 +145,23 @@ def write_dump(rows: DataFrame, path: str, schema: str, table: str, create: str,
     head = f"INSERT INTO {quote(table)} ({', '.join(map(quote, rows.columns))}) VALUES\n"
 
     def join(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        def table(rows):
+            texts = [head + ",\n".join(rows[i : i + rows_per_statement]) + ";" for i in range(0, len(rows), rows_per_statement)]
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
 
         held: list[str] = []
-        for pdf in batches:
-            held += pdf["row"].tolist()
+        for batch in batches:
+            held += batch.column(0).to_pylist()
             full = len(held) // rows_per_statement * rows_per_statement
-            yield pd.DataFrame({"value": [head + ",\n".join(held[i : i + rows_per_statement]) + ";" for i in range(0, full, rows_per_statement)]})
+            yield table(held[:full])
             held = held[full:]
-        if held:
-            yield pd.DataFrame({"value": [head + ",\n".join(held) + ";"]})
+        yield table(held)
 
     about = [f"# Started dump at: {started}", f"File: {binlog_file}", f"Pos: {binlog_pos}", *([f"GTID: {gtid_set}"] if gtid_set else [])]
     single = lambda lines: spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1)
-    statements_of = rows.select(row.alias("row")).mapInPandas(join, "value string")
+    statements_of = rows.select(row.alias("row")).mapInArrow(join, "value string")
     parts = {f"{schema}.{table}.{{:05d}}.sql": statements_of, f"{schema}.{table}-schema.sql": single([create.rstrip(";") + ";"]), "metadata": single(about)}
     return [name for form, df in parts.items() for name in _named(df, path, form, max(1, rows_per_file // rows_per_statement))]
 
