@@ -144,6 +144,30 @@ def test_gtid_sets(spark):
     assert gtid.sets_equal(spans, other) and not gtid.sets_equal(spans, other.limit(1))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_unite_across_blocks(spark, seed):
+    import random
+
+    chance = random.Random(seed)
+    spans = [(u, lo, lo + chance.choice((0, 1, 3, 40))) for u in "uv" for lo in chance.sample(range(300), 40)]
+    want = set()
+    for u in "uv":
+        held = sorted({n for v, lo, hi in spans if v == u for n in range(lo, hi + 1)})
+        starts = [n for n in held if n - 1 not in set(held)]
+        want |= {(u, a, next(n for n in range(a, 10_000) if n + 1 not in set(held))) for a in starts}
+    out = gtid.joined(spark.createDataFrame(spans, "uuid string, lo long, hi long"), block=16)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_keys_of_several_tables_raise(spark):
+    rows = [(1, datetime(2024, 1, 1), "a", t, 2, "k", "{}") for t in ("t", "u")]
+    log = spark.createDataFrame(rows, "event_id long, event_timestamp timestamp, schema_name string, table_name string, event_type int, pk_values string, row_after string")
+    start = spark.createDataFrame([], "pk_values string, row_image string")
+    with pytest.raises(Exception, match="several tables have the key k"):
+        timetravel.state_at(start, log, "2024-01-02").collect()
+    assert timetravel.state_at(start, timetravel.of_table(log, "a", "t"), "2024-01-02").count() == 1
+
+
 def test_foreign_keys_and_totals(spark):
     snaps = spark.sql(SNAPSHOTS)
     keys = spark.createDataFrame([(1, "fk")], "snapshot_id int, constraint_name string")

@@ -24,12 +24,21 @@ def intervals(log: DataFrame, column: str = "gtid", buckets: int = 1 << 20) -> D
     return joined(runs.select("uuid", "lo", "hi"))
 
 
-def joined(spans: DataFrame) -> DataFrame:
-    """Overlapping and adjacent intervals united."""
-    w = W.partitionBy("uuid").orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach + 1), 1).otherwise(0))
-    return marked.withColumn("g", F.sum("new").over(w)).groupBy("uuid", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("uuid", "lo", "hi")
+def joined(spans: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Overlapping and adjacent intervals united. Intervals are sorted within blocks of numbers, so that a server's history
+    is not one window; what passes from block to block is one row for each: how far those before it reach, and where the
+    next united interval begins. A united interval ends where all before the next one's begin reach to."""
+    own, across = ["uuid", "block"], W.partitionBy("uuid").orderBy("block")
+    rows = spans.select("uuid", "lo", "hi", F.floor(F.col("lo") / block).alias("block"))
+    ends = rows.groupBy(*own).agg(F.max("hi").alias("most"))
+    carried = ends.select(*own, F.max("most").over(across.rowsBetween(W.unboundedPreceding, -1)).alias("carried"), F.max("most").over(W.partitionBy("uuid")).alias("most"))
+    w = W.partitionBy(*own).orderBy("lo", "hi")
+    reach = F.greatest(F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("carried"))
+    starts = rows.join(carried, own).withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("lo") > F.col("reach") + 1))
+    firsts = starts.groupBy(*own).agg(F.min(F.struct("lo", "reach")).alias("first"))
+    following = firsts.select(*own, F.lead("first.reach").over(across).alias("following"))
+    hi = F.coalesce(F.lead("reach").over(W.partitionBy(*own).orderBy("lo")), "following", "most")
+    return starts.join(following, own).select("uuid", "lo", hi.alias("hi"))
 
 
 def set_text(spans: DataFrame) -> DataFrame:

@@ -31,9 +31,12 @@ def of_table(log: DataFrame, schema: str, table: str) -> DataFrame:
 
 def latest_change(log: DataFrame) -> DataFrame:
     """(pk_values, event_type, row_after, events) of the last change of each key; partial maxima before the shuffle. The log
-    is that of one table; of_table() takes it out of a log of several."""
+    is that of one table; of_table() takes it out of a log of several. A key that several tables have raises."""
     last = F.max_by(F.struct("event_type", "row_after"), F.struct("event_timestamp", "event_id")).alias("last")
-    return log.groupBy("pk_values").agg(last, F.count("*").alias("events")).select("pk_values", "last.event_type", "last.row_after", "events")
+    table = F.xxhash64(*[c for c in ("schema_name", "table_name") if c in log.columns] or [F.lit(0)])
+    own = log.groupBy("pk_values").agg(last, F.count("*").alias("events"), F.min(table).alias("_least"), F.max(table).alias("_most"))
+    kind = F.when(F.col("_least") == F.col("_most"), F.col("last.event_type")).otherwise(F.raise_error(F.concat(F.lit("several tables have the key "), "pk_values")).cast("int"))
+    return own.select("pk_values", kind.alias("event_type"), "last.row_after", "events")
 
 
 def merged(baseline: DataFrame, log: DataFrame, at, since=None) -> DataFrame:

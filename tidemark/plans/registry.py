@@ -852,3 +852,121 @@ def stream_route(spark, sf_dir):
 @query("SELECT date_trunc('hour', event_timestamp) AS hour, count(*) AS events FROM cl GROUP BY 1")
 def status_listing(spark, sf_dir):
     return coverage.listing(hour_stats(spark, sf_dir), "-events", "hour")
+
+
+ROOTS = "SELECT partition_name, 's' || CAST(row_count % 4 AS VARCHAR(9)) AS server_id, row_count % 3 AS place FROM ({LEDGER})"
+
+
+@query(f"SELECT server_id, CASE WHEN count(*) FILTER (place > 0) > 0 THEN '/a' ELSE 's3a://b/a' END AS root FROM ({ROOTS.format(LEDGER=LEDGER)}) GROUP BY 1")
+def archive_roots(spark, sf_dir):
+    """One root for each server of a ledger, the local one if any file has one."""
+    server = F.concat(F.lit("s"), (F.col("row_count") % 4).cast("string"))
+    path = F.concat(F.lit("a/server_id="), server, F.date_format(X.partition_time("partition_name"), "'/event_date='yyyy-MM-dd'/event_hour='HH'/part-0.parquet'"))
+    own = ledger(spark, sf_dir).select(server.alias("server_id"), F.when(F.col("row_count") % 3 > 0, F.concat(F.lit("/"), path)).alias("local_path"), F.lit("b").alias("s3_bucket"), path.alias("s3_key"))
+    return archive.archive_roots(own)
+
+
+def dumped(spark, sf_dir) -> str:
+    """A dump of three tables, the orders of each status."""
+    root = shared_folder(spark)
+    orders = run(spark, sf_dir, "SELECT * FROM orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    for status in "FOP":
+        create = "CREATE TABLE `orders` (\n  `o_orderkey` bigint unsigned NOT NULL,\n  `o_totalprice` decimal(12,2),\n  PRIMARY KEY (`o_orderkey`)\n)"
+        dumps.write_dump(orders.filter(F.col("o_orderstatus") == status).select("o_orderkey", "o_totalprice"), root, "shop", f"orders_{status.lower()}", create, "2024-01-01 06:30:00", "mysql-bin.000007", last, f"u:1-{last}", rows_per_file=5000)
+    return root
+
+
+@query("SELECT DISTINCT 'shop' AS schema_name, 'orders_' || lower(o_orderstatus) AS table_name, 'shop.orders_' || lower(o_orderstatus) || '-schema.sql' AS schema_file, 'shop.orders_' || lower(o_orderstatus) || '.00000.sql' AS first_file FROM orders")
+def dump_discovery(spark, sf_dir):
+    out = dumps.discover_dump(spark, dumped(spark, sf_dir))
+    return out.select("schema_name", "table_name", "schema_file", F.get("data_files", F.lit(0)).alias("first_file"))
+
+
+@query("SELECT TIMESTAMP '2024-01-01 06:30:00' AS started, 'mysql-bin.000007' AS binlog_file, max(o_orderkey) AS binlog_pos, 'u:1-' || CAST(max(o_orderkey) AS VARCHAR) AS gtid_set FROM orders")
+def dump_coordinates(spark, sf_dir):
+    return dumps.dump_coordinates(spark, f"{dumped(spark, sf_dir)}/metadata")
+
+
+@query("SELECT file, position, column_name, data_type, column_type FROM (SELECT DISTINCT 'shop.orders_' || lower(o_orderstatus) || '-schema.sql' AS file FROM orders), (VALUES (CAST(1 AS INT), 'o_orderkey', 'bigint', 'bigint unsigned'), (2, 'o_totalprice', 'decimal', 'decimal(12,2)')) AS c(position, column_name, data_type, column_type)")
+def dump_columns(spark, sf_dir):
+    return dumps.table_columns(spark, f"{dumped(spark, sf_dir)}/*-schema.sql")
+
+
+@query("SELECT table_name, TIMESTAMP '2024-01-01 00:00:00' AS snapshot_time, 'mysql-bin.000007' AS binlog_file, pos AS binlog_pos, rows FROM (SELECT 'orders_' || lower(o_orderstatus) AS table_name, max(o_orderkey) AS pos, count(*) AS rows FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'orders_none', 0, 0)")
+def baseline_inventory(spark, sf_dir):
+    """Snapshots of the orders of each status and of an empty table, with their places in the log; a second writing of one
+    changes nothing."""
+    root = shared_folder(spark)
+    orders = run(spark, sf_dir, "SELECT * FROM orders")
+    columns = [("o_orderkey", "bigint", "bigint"), ("o_totalprice", "double", "double")]
+    paths = {}
+    for status in "FOPF":
+        own = orders.filter(F.col("o_orderstatus") == status)
+        paths[status] = baseline.write_baseline(own, columns, root, "2024-01-01T00-00-00Z", "shop", f"orders_{status.lower()}", "mysql-bin.000007", own.agg(F.max("o_orderkey")).first()[0])
+    paths["none"] = baseline.write_baseline(orders.limit(0), columns, root, "2024-01-01T00-00-00Z", "shop", "orders_none", "mysql-bin.000007")
+    held = None
+    for path in paths.values():
+        one = spark.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(path).alias("path"), "rows")
+        held = one if held is None else held.unionByName(one)
+    return baseline.inventory(spark, root).join(held, "path").select("table_name", "snapshot_time", "binlog_file", "binlog_pos", "rows")
+
+
+@query(HOURS + " SELECT CAST(count(*) AS VARCHAR) || ' hours are missing between ' || strftime(min(hour), '%Y-%m-%d %H:%M') || ' and ' || strftime(max(hour), '%Y-%m-%d %H:%M') AS message FROM c WHERE status = 'gap'")
+def gap_policy(spark, sf_dir):
+    """What a strict check of the hours says."""
+    try:
+        coverage.check_gaps(hour_coverage(spark, sf_dir), strict=True)
+        said = None
+    except coverage.GapError as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "message string")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"a\":' || CAST(event_id AS VARCHAR) || '}' WHEN 1 THEN '[' || CAST(event_id AS VARCHAR) || ',\"' || event_type || '\"]' WHEN 2 THEN '\"{' || event_type || '\"' ELSE '\"' || CAST(event_id AS VARCHAR) || '\"' END AS value, '\"' || strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') || '\"' AS moment FROM events")
+def snapshot_values(spark, sf_dir):
+    """Values of a snapshot as variants: objects and arrays as such, what only begins like one as text, times in seconds."""
+    text = F.expr("CASE event_id % 4 WHEN 0 THEN '{\"a\":' || event_id || '}' WHEN 1 THEN '[' || event_id || ',\"' || event_type || '\"]' WHEN 2 THEN '{' || event_type ELSE CAST(event_id AS STRING) END")
+    events = run(spark, sf_dir, "SELECT * FROM events")
+    return events.select("event_id", F.to_json(X.normal_value(text)).alias("value"), F.to_json(X.normal_value(F.col("ts").cast("timestamp"), "timestamp")).alias("moment"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN (2, 3) AND event_id % 3 = 0 THEN 'row_before is missing' WHEN event_type IN (1, 2) AND event_id % 5 = 0 THEN 'row_after is missing' WHEN event_id % 7 = 0 THEN 'SNAPSHOT can''t be reversed' END AS error FROM cl")
+def undo_errors(spark, sf_dir):
+    """Events that lack an image, or are of a kind that can't be undone, have an error and no statement."""
+    i = F.col("event_id")
+    kept = ~((i % 3 == 0) & F.col("event_type").isin(2, 3)) & ~((i % 5 == 0) & F.col("event_type").isin(1, 2))
+    log = accounts(spark, sf_dir).withColumns({"row_before": F.when(i % 3 != 0, F.col("row_before")), "row_after": F.when(i % 5 != 0, F.col("row_after")), "event_type": F.when((i % 7 == 0) & kept, 6).otherwise(F.col("event_type"))})
+    out = undo.statements(log, small(spark, SNAPSHOTS))
+    return out.select("event_id", F.when(F.col("error").isNull() == F.col("statement").isNotNull(), F.col("error")).otherwise("both or none").alias("error"))
+
+
+@query(f"SELECT {LISTED} FROM cl WHERE binlog_file > 'mysql-bin.100000' OR binlog_file = 'mysql-bin.100000' AND end_pos > 30000")
+def stream_resume(spark, sf_dir):
+    """A stream that begins behind a position, stops, and goes on with what has come since."""
+    from tidemark.streaming import ingest
+
+    root = shared_folder(spark)
+    log = accounts(spark, sf_dir).select(*COLS, "binlog_file", "end_pos")
+    for part, own in (("a", "event_id % 2 = 0"), ("b", "event_id % 2 = 1")):
+        log.filter(own).repartition(2, "event_id").write.parquet(f"{root}/in/{part}")
+        feed = ingest.start_after(ingest.read_feed(spark, f"{root}/in/*", log.schema), "mysql-bin.100000", 30000)
+        ingest.ingest(feed, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(COLS)
+
+
+SINCE = "1998-09-01 00:00:00"
+
+
+@query(MERGED.replace("WHERE event_timestamp <=", f"WHERE event_timestamp >= TIMESTAMP '{SINCE}' AND event_timestamp <=") + " SELECT pk_values, row_image, action FROM m WHERE action NOT IN ('none', 'deleted')")
+def state_since(spark, sf_dir):
+    """A state from a snapshot's moment on; changes of before are in the snapshot. New rows come last, by key."""
+    return timetravel.inserted_last(timetravel.state_at(orders_baseline(spark, sf_dir), orders_log(spark, sf_dir), AT, SINCE))
+
+
+@query("SELECT event_id, pk_values, row_before, row_after, schema_name || '.' || table_name AS schema_table, CAST(event_timestamp AS DATE) AS date FROM cl")
+def payload_sink(spark, sf_dir):
+    """Full rows by server, table and day, read again."""
+    root = shared_folder(spark)
+    archive.write_payload(normalise.split_payload(accounts(spark, sf_dir), "s1"), root)
+    return spark.read.parquet(root).select("event_id", "pk_values", "row_before", "row_after", "schema_table", "date")
