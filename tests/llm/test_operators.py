@@ -450,6 +450,22 @@ HTML_PROBES = [
 ]
 
 
+@pytest.mark.parametrize("name", ["reader-comments", "user_comments", "comment-thread", "disqus_thread", "comment-content", "related-articles", "shop-main-nav", "gdpr-cookie-bar", "story-sidebar", "weekly-newsletter", "ad-slot", "site-footer"])
+@pytest.mark.parametrize("attribute", ["class", "id"])
+@pytest.mark.parametrize("at", ["inside", "beside"])
+def test_html_names_out(name, attribute, at):
+    extra = f"<section {attribute}='{name}'><p>Said, and done, by others, at some length.</p></section>"
+    body = "<h1>A title</h1><p>One, two, three.</p>" + "<p>A paragraph, with words.</p>" * 4
+    page = f"<body><article>{body}{extra}</article></body>" if at == "inside" else f"<body><div><div>{body}</div>{extra}</div></body>"
+    assert html_text.main_text(page) == "\n".join(["A title", "One, two, three."] + ["A paragraph, with words."] * 4)
+
+
+@pytest.mark.parametrize("name", ["entry-header", "article-header", "post_header", "how-to-hide-comments", "no-sidebar", "page-with-sidebar", "commentary", "header-hidden-gems", "footnotes", "navy"])
+def test_html_names_in(name):
+    page = f"<body><article><div class='{name}'><h1>A title</h1></div><p>One, two, three.</p></article></body>"
+    assert html_text.main_text(page) == "A title\nOne, two, three."
+
+
 @pytest.mark.parametrize(("page", "want"), HTML_PROBES)
 def test_html_probes(page, want):
     assert html_text.main_text(page) == want

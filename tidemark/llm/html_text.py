@@ -36,7 +36,13 @@ NAMES_OUT = frozenset("ad ads advert adverts advertisement advertising advertori
 #: Of these, what is out however much of the page it holds.
 ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored".split())
 #: Other words in names such as cookie-bar or site-header; a name with any further word, such as has-sidebar, tells nothing.
-NAMES_BESIDE = frozenset("area article bar block blog bottom box button buttons container entry fixed form global icon icons inner item items left link links list main media mobile outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
+NAMES_BESIDE = frozenset("area article articles author bar block blog body bottom box button buttons container content count entry fixed form global icon icons inner item items left link links list main media meta mobile outer page panel post posts primary right secondary section site slot text thread top unit wrap wrapper".split())
+#: Of a name's words the last one tells if it is one of these, whatever it is of, as in reader-comments ...
+NAMES_LAST = frozenset("ads advert adverts breadcrumbs comment comments footer nav navbar navigation newsletter pagination sidebar".split())
+#: ... unless one of these goes before, as in has-sidebar.
+NAMES_ABOUT = frozenset("above after before below but has hide hides in is no not of off on over show shows than the to toggle under with without".split())
+#: The header of these holds an article's title.
+NAMES_TITLED = frozenset("article entry post".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -89,9 +95,14 @@ def is_named_out(tag: str, own: list[tuple[str, str]]) -> bool:
     for name, value in own:
         if name in ("class", "id"):
             for token in value.split():
-                parts = set(NAME.findall(token))
+                words = NAME.findall(token)
+                parts = set(words)
+                if "header" in parts and not NAMES_TITLED.isdisjoint(parts):
+                    continue
                 if not NAMES_OUT.isdisjoint(parts) and (parts - NAMES_OUT) <= NAMES_BESIDE and ("hidden" not in parts or token == "hidden"):
                     return True
+                if words and words[-1] in NAMES_LAST and NAMES_ABOUT.isdisjoint(parts):
+                    return True
     return False
 
 
