@@ -1,20 +1,24 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a light tree. Elements that never hold an article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are left out. One that only its class or id tells, adverts excepted, stays if it
-holds most of the page's text and no article or main has text outside it. Every block with text of its own passes points for its length and
+scripts, styles, reader comments) are left out. A form, a dialog or one that only its class or id tells, adverts excepted, stays
+if it holds most of the page's text and no article or main has text outside it. Comments without such a name are known by
+their structure: three or more siblings of one tag and class, each a short text that begins with a short line and a date,
+which together hold less than half of the text. Every block with text of its own passes points for its length and
 commas to its ancestors, less with distance; an ancestor's points are discounted by the share of its text inside links, and
 count more for article and main. The best container is kept with those siblings that score well too or hold plain text
 blocks, and its blocks are joined in page order.
 
 Null or empty html gives an empty text. Broken markup is read as far as it goes: unclosed elements end with their parent.
-Repeated rows get a result each; extra columns are not returned.
+Time grows with a page's length, however deep its elements are. Repeated rows get a result each; extra columns are not
+returned.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,7 +34,9 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 SCOPES = frozenset("ul ol dl table select article section div main aside nav body html td th".split())
 
 # What holds no article text.
-LEFT_OUT = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video map menu dialog noembed noframes".split())
+LEFT_OUT = frozenset("script style template head title nav footer aside button select option textarea input iframe object embed svg canvas audio video map menu noembed noframes".split())
+#: These as well, unless they hold most of the page's text.
+LEFT_OUT_SMALL = frozenset("form dialog noscript".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES_OUT = frozenset("ad ads advert adverts advertisement advertising advertorial adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split())
 #: Of these, what is out however much of the page it holds.
@@ -58,11 +64,17 @@ SIBLING_SHARE = 0.2
 TEXT_BLOCKS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 dd li td figcaption".split())
 
 
+#: Comments as a list: its least entries, the most characters of one and of its first line, and how dates look.
+ENTRIES, ENTRY_CHARS, ENTRY_HEAD = 3, 1500, 80
+_MONTH = r"(?:jan|feb|fév|mar|mär|apr|avr|abr|may|mai|jun|juin|jul|juil|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene)[a-zûé]*"
+DATE = re.compile(rf"\b(?:\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}|\d{{4}}-\d\d-\d\d|{_MONTH}\.? \d{{1,2}}\b|\d{{1,2}}\.? (?:de )?{_MONTH}\b|\d+ (?:sec|second|min|minute|hour|day|week|month|year)s? ago|vor \d+ \w+|il y a \d+ \w+|hace \d+ \w+|\d{{1,2}}:\d\d)", re.I)
+
+
 class Node:
-    __slots__ = ("children", "name", "named", "out", "parent", "points")
+    __slots__ = ("children", "name", "named", "out", "parent", "points", "shape")
 
-    def __init__(self, name: str, parent: Node | None, out: bool = False, named: bool = False):
-        self.name, self.parent, self.out, self.named = name, parent, out, named
+    def __init__(self, name: str, parent: Node | None, out: bool = False, named: bool = False, shape: str = ""):
+        self.name, self.parent, self.out, self.named, self.shape = name, parent, out, named, shape
         self.children: list = []
         self.points = 0.0
 
@@ -72,14 +84,11 @@ def attributes(text: str) -> list[tuple[str, str]]:
     return [(name.lower(), value.strip("\"'").lower()) for name, value in ATTRIBUTE.findall(text)] if text else []
 
 
-def is_out(tag: str, own: list[tuple[str, str]], parent: Node) -> bool:
+def is_out(tag: str, own: list[tuple[str, str]], open_tags: Counter) -> bool:
     if tag in LEFT_OUT:
         return True
     if tag == "header":
-        at = parent
-        while at is not None and at.name not in ("article", "main"):
-            at = at.parent
-        return at is None
+        return not open_tags["article"] and not open_tags["main"]
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in own:
@@ -90,6 +99,8 @@ def is_out(tag: str, own: list[tuple[str, str]], parent: Node) -> bool:
 
 def is_named_out(tag: str, own: list[tuple[str, str]]) -> bool:
     """Whether a class or an id, as a whole, names what holds no article text."""
+    if tag in LEFT_OUT_SMALL:
+        return True
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in own:
@@ -108,11 +119,7 @@ def is_named_out(tag: str, own: list[tuple[str, str]]) -> bool:
 
 def leave_out_named(root: Node) -> None:
     """Leaves out the elements with such names, but those that hold most of the page's text."""
-    order, stack = [], [root]
-    while stack:
-        at = stack.pop()
-        order.append(at)
-        stack += [c for c in at.children if isinstance(c, Node) and not c.out]
+    order = kept_nodes(root)
     if not any(node.named for node in order):
         return
     size = dict.fromkeys(order, 0)
@@ -129,9 +136,58 @@ def leave_out_named(root: Node) -> None:
         at.out = at.out or at.named and (apart or 2 * size[at] <= size[root])
 
 
+def kept_nodes(root: Node) -> list[Node]:
+    """The nodes that aren't left out, each after its parent."""
+    order, stack = [], [root]
+    while stack:
+        at = stack.pop()
+        order.append(at)
+        stack += [c for c in at.children if isinstance(c, Node) and not c.out]
+    return order
+
+
+def leave_out_comments(root: Node) -> bool:
+    """Leaves out lists that look like comments; whether there was one."""
+    order = kept_nodes(root)
+    lists: dict[tuple[Node, str], list[Node]] = {}
+    for at in order:
+        if at.shape and at.parent is not None:
+            lists.setdefault((at.parent, at.shape), []).append(at)
+    lists = {k: v for k, v in lists.items() if len(v) >= ENTRIES}
+    if not lists:
+        return False
+    # Of each entry its characters and its first two lines; blocks come in page order and are summed upwards once.
+    size = dict.fromkeys(order, 0)
+    first: dict[Node, list[tuple[int, str]]] = {node: [] for node in order}
+    for i, (owner, text, _) in enumerate(blocks(root)):
+        size[owner] += len(text)
+        if len(first[owner]) < 2:
+            first[owner].append((i, text))
+    for at in reversed(order):
+        if at.parent is not None:
+            size[at.parent] += size[at]
+            first[at.parent] = sorted(first[at.parent] + first[at])[:2]
+    found = False
+    for entries in lists.values():
+        like = [x for x in entries if 0 < size[x] <= ENTRY_CHARS and (lines := [t for _, t in first[x]]) and len(lines[0]) <= ENTRY_HEAD and any(DATE.search(t[: 2 * ENTRY_HEAD]) for t in lines)]
+        if len(like) >= ENTRIES and 10 * len(like) >= 9 * len(entries) and 2 * sum(size[x] for x in entries) < size[root]:
+            for x in entries:
+                x.out = found = True
+    return found
+
+
 def tree(page: str) -> Node:
     root = at = Node("#root", None)
     last, n = 0, len(page)
+    open_tags: Counter = Counter()
+
+    def close_to(at: Node, up: Node) -> Node:
+        """Closes the elements from at up to, but not, `up`."""
+        while at is not up:
+            open_tags[at.name] -= 1
+            at = at.parent
+        return up
+
     while last < n:
         m = TOKEN.search(page, last)
         if m is None:
@@ -146,30 +202,31 @@ def tree(page: str) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if tag in VOID:
+            if tag in VOID or not open_tags[tag]:
                 continue
             up = at
             while up is not None and up.name != tag:
                 up = None if tag in INLINE and up.name in SCOPES else up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = close_to(at, up.parent)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             up = at
             while up is not None and up.name != "p" and up.name not in SCOPES:
                 up = up.parent
             if up is not None and up.name == "p":
-                at = up.parent
-        if tag in SAME_CLOSES:
+                at = close_to(at, up.parent)
+        if tag in SAME_CLOSES and any(open_tags[x] for x in SAME_CLOSES[tag]):
             scope = SCOPES - {"td", "th"}
             up, found = at, None
             while up is not None and up.name not in scope:
                 if up.name in SAME_CLOSES[tag]:
                     found = up
                 up = up.parent
-            at = found.parent if found is not None else at
+            at = close_to(at, found.parent) if found is not None else at
         own = attributes(m["attrs"])
-        node = Node(tag, at, is_out(tag, own, at), is_named_out(tag, own))
+        shape = next((f"{tag} {re.sub('[0-9]+', '', value)}" for name, value in own if name == "class" and value), "li" if tag == "li" else "")
+        node = Node(tag, at, is_out(tag, own, open_tags), is_named_out(tag, own), shape)
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, last)
@@ -177,6 +234,7 @@ def tree(page: str) -> Node:
             last = close.end() if close else n
         elif tag not in VOID and not m["attrs"].endswith("/"):
             at = node
+            open_tags[tag] += 1
     return root
 
 
@@ -230,20 +288,20 @@ def main_text(page: str | None) -> str:
         return ""
     root = tree(page)
     leave_out_named(root)
+    leave_out_comments(root)
     found = blocks(root)
     if not found:
         return ""
+    order = kept_nodes(root)
     chars: dict[Node, list[int]] = {}
     scored: list[Node] = []
     for owner, text, links in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        up, level = owner, 0
+        n = chars.setdefault(owner, [0, 0])
+        n[0] += len(text)
+        n[1] += links
+        level = 0
         holder = owner if owner.name not in ("p", "pre", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt", "figcaption") else owner.parent
-        while up is not None:
-            n = chars.setdefault(up, [0, 0])
-            n[0] += len(text)
-            n[1] += links
-            up = up.parent
         up = holder
         while up is not None and level < len(SHARES):
             if not up.points:
@@ -251,6 +309,12 @@ def main_text(page: str | None) -> str:
             up.points += points * SHARES[level]
             up, level = up.parent, level + 1
 
+    for at in reversed(order):  # sums go up once
+        if at in chars and at.parent is not None:
+            n = chars.setdefault(at.parent, [0, 0])
+            n[0] += chars[at][0]
+            n[1] += chars[at][1]
+
     def value(node: Node) -> float:
         return WEIGHTS.get(node.name, 1.0) * node.points * (1 - chars[node][1] / max(1, chars[node][0]))
 
@@ -271,14 +335,11 @@ def main_text(page: str | None) -> str:
                 n, links = chars[sibling]
                 if value(sibling) >= least or top.name not in WEIGHTS and sibling in told and links < 0.25 * n:
                     keep.add(sibling)
-    out = []
-    for owner, text, _ in found:
-        up = owner
-        while up is not None and up not in keep:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+    kept: set[Node] = set()
+    for at in order:  # and what is kept goes down once
+        if at in keep or at.parent in kept:
+            kept.add(at)
+    return "\n".join(text for owner, text, _ in found if owner in kept)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -77,9 +77,9 @@ def pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
-def narrow(values: list[int]) -> bytes:
+def narrow(values: list[int] | np.ndarray) -> bytes:
     """Non-negative integers in the least width that holds them; the reader knows how many there are."""
-    top = max(values, default=0)
+    top = int(max(values, default=0))
     return np.array(values, dtype="<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
 
 
@@ -136,13 +136,13 @@ def summed(path: str):
 
         def flush() -> Iterator[pa.RecordBatch]:
             own, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate(sums)).astype("<u4")
+            total = np.bincount(at, weights=np.concatenate(sums)).astype("<u8")
             block = own // BLOCK_IDS
             edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
             ends = [*edges[1:].tolist(), len(own)]
             parts = list(zip(edges.tolist(), ends, strict=True))
             inside = (own - block * BLOCK_IDS).astype("<u2")
-            yield pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array([inside[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([total[a:b].tobytes() for a, b in parts], pa.binary())], names=["block", "inside", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[edges]), pa.array([inside[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([narrow(total[a:b]) for a, b in parts], pa.binary())], names=["block", "inside", "sums"])
             keys.clear()
             sums.clear()
 
@@ -173,8 +173,9 @@ def summed(path: str):
 
 def added(table: pa.Table) -> pa.Table:
     """The sums of a block of ids."""
-    inside = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("inside").to_pylist()])
-    sums = np.bincount(inside, weights=np.concatenate([np.frombuffer(x, "<u4") for x in table.column("sums").to_pylist()]), minlength=BLOCK_IDS)
+    places = [np.frombuffer(x, "<u2") for x in table.column("inside").to_pylist()]
+    inside = np.concatenate(places)
+    sums = np.bincount(inside, weights=np.concatenate([wide(x, len(p)) for x, p in zip(table.column("sums").to_pylist(), places, strict=True)]), minlength=BLOCK_IDS)
     there = np.flatnonzero(np.bincount(inside, minlength=BLOCK_IDS))
     return pa.table({"key": pa.array(there + table.column("block")[0].as_py() * BLOCK_IDS), "tokens": pa.array(sums[there].astype(np.int64))})
 
