@@ -224,7 +224,7 @@ def test_dump_reading(spark, tmp_path):
     (tmp_path / "app.v-schema-view.sql").write_text("x")
     (tmp_path / "metadata").write_text("Started dump at: 2024-01-01 00:00:00\nSHOW MASTER STATUS:\n\tLog: bin.1\n\tPos: 42\n\tGTID: u:1-5\n")
     got = [r["values"] for r in dumps.read_sql_dump(spark, str(tmp_path / "app.t.00000.sql")).collect()]
-    assert got == [["1", "a'b'c\n(;)", None, "X0aff"], ["-2.5", "NULL", "now(3)", "q"]]
+    assert got == [["1", "a'b'c\n(;)", None, "X'0aff'"], ["-2.5", "NULL", "now(3)", "q"]]
     assert [tuple(r) for r in dumps.discover_dump(spark, str(tmp_path)).collect()] == [("app", "t", "app.t-schema.sql", ["app.t.00000.sql"])]
     assert tuple(dumps.dump_coordinates(spark, str(tmp_path / "metadata")).first()) == (datetime(2024, 1, 1), "bin.1", 42, "u:1-5")
     assert [(r.column_name, r.data_type, r.column_type) for r in dumps.table_columns(spark, str(tmp_path / "app.t-schema.sql")).collect()] == [("id", "int", "int(11) unsigned"), ("v", "varchar", "varchar(9)")]
@@ -265,6 +265,63 @@ def test_merge_leaves_images_of_other_hours(spark, sf_dir):
     assert [r.event_id for r in limited.collect()] == [5, 1, 2]
 
 
+def scans(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_merge_of_six_sources(spark, tmp_path):
+    """At most three scans a source, lone hours outside any exchange, and the first source wins, whatever hours are shared."""
+    rng = random.Random(4)
+    events = {i: datetime(2024, 1, 1, rng.randrange(12)) for i in range(300)}
+    held = []
+    for n in range(6):
+        own = [(i, t, f"s{n}", "x" * 10) for i, t in events.items() if t.hour % 6 == n or t.hour < 8 and rng.random() < 0.4] + [(None, None, f"s{n}", "y")]
+        held.append(own)
+        spark.createDataFrame(own, "event_id long, event_timestamp timestamp, origin string, row_after string").write.parquet(str(tmp_path / str(n)))
+    sources = [spark.read.parquet(str(tmp_path / str(n))) for n in range(6)]
+    merged = S.merge_sources(sources)
+    assert scans(merged) <= 3 * 6
+    first = {}
+    for own in held:
+        for i, _, origin, _ in own:
+            if i is not None:
+                first.setdefault(i, origin)
+    got = sorted((r.event_id, r.origin) for r in merged.collect() if r.event_id is not None)
+    assert got == sorted(first.items()) and merged.filter("event_id IS NULL").count() == 6
+    assert sorted((r.event_id, r.origin) for r in S.merge_sources(sources, by_hour=False).filter("event_id IS NOT NULL").collect()) == got
+    alone = [s.filter(f"hour(event_timestamp) = {8 + n}") for n, s in enumerate(sources[:4])]
+    assert "Exchange hashpartitioning" not in S.merge_sources(alone)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_sends_no_image_of_lone_hours(spark, tmp_path):
+    """Of rows whose hour no other source has, none goes through the exchange."""
+    for n, hours in enumerate((range(10), range(9, 20))):
+        spark.range(2000).selectExpr(f"id * 2 + {n} AS event_id", f"timestamp_seconds(1704067200 + 3600 * ({hours.start} + id % {len(hours)})) AS event_timestamp", "repeat('x', 50) AS row_after").write.parquet(str(tmp_path / str(n)))
+    merged = S.merge_sources([spark.read.parquet(str(tmp_path / str(n))) for n in range(2)])
+    assert merged.count() == 4000
+    merged.write.format("noop").mode("overwrite").save()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan or "SortAggregate" in plan
+    shared = merged.filter("hour(event_timestamp) = 9").count()
+    assert 0 < shared < 500 and S.source_presence([spark.read.parquet(str(tmp_path / str(n))) for n in range(2)]).filter("sources = 3").count() == 1
+
+
+def test_baseline_pick_meets_few_rows(spark):
+    """A table of many snapshots and requests over years: as a plain search has it, and without a row more than went in."""
+    rng = random.Random(9)
+    moments = [datetime(2020 + rng.randrange(4), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24)) for _ in range(300)]
+    have = [("s", rng.choice("tuv"), t, f"p{i}") for i, t in enumerate(moments[:200])]
+    asked = [("s", rng.choice("tuvw"), t) for t in [*moments[100:], datetime(2019, 1, 1), datetime(2030, 1, 1), moments[0]]]
+    picked = timetravel.pick_baseline(spark.createDataFrame(have, "schema_name string, table_name string, snapshot_time timestamp, path string"), spark.createDataFrame(asked, "schema_name string, table_name string, at timestamp"))
+    want = []
+    for s, t, at in asked:
+        best = max(((x[2], x[3]) for x in have if x[1] == t and x[2] <= at), default=(None, None))
+        want.append((s, t, at, *best))
+    assert sorted(map(tuple, picked.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in str(picked._jdf.queryExecution().optimizedPlan().toString()).split("Join LeftOuter", 1)[0]
+
+
+
 def test_state_output(spark):
     entries = spark.createDataFrame([("1", datetime(2024, 1, 1), 0, "baseline", '{"a":1,"time":"x"}'), ("1", datetime(2024, 1, 2), 7, "log", '{"a":null,"b":"q"}'), ("1", datetime(2024, 1, 3), 8, "log", None)], "pk_values string, event_timestamp timestamp, event_id long, source string, state string")
     table = timetravel.history_table(entries)
@@ -304,6 +361,7 @@ def test_streaming(spark, sf_dir, tmp_path):
     write = ingest.split_sinks("s1", str(tmp_path / "m"), str(tmp_path / "p"))
     ingest.observed(feed).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     spark.streams.removeListener(progress)
+    progress.flush()
     meta = spark.read.parquet(str(tmp_path / "m"))
     assert meta.count() == log.count() and not {"pk_values", "row_before", "row_after"} & set(meta.columns)
     assert spark.read.parquet(str(tmp_path / "p")).count() == log.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,10 +23,21 @@ def included(feed: DataFrame, schemas: list[str] | None = None, tables: list[str
     return feed.filter(F.concat_ws(".", "schema_name", "table_name").isin(tables)) if tables else feed
 
 
+# Source types whose values are numbers in an image; decimals are strings there, as the log has them.
+NUMBERS = ("tinyint", "smallint", "mediumint", "int", "integer", "bigint", "float", "double", "real", "year")
+
+
+def encoder(data_type: Column) -> Column:
+    """How values of a source type go into an image: `number`, `json` or `text`. Without a type they are text."""
+    kind = F.lower(data_type)
+    return F.when(kind.isin(*NUMBERS), "number").when(kind == "json", "json").otherwise("text")
+
+
 def columns_of(snapshots: DataFrame) -> DataFrame:
-    """(snapshot_id, schema_name, table_name, names, pk) in ordinal order."""
-    own = F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name", "column_key")))
-    return snapshots.groupBy("snapshot_id", "schema_name", "table_name").agg(own.alias("c")).select("snapshot_id", "schema_name", "table_name", F.transform("c", lambda x: x["column_name"]).alias("names"), F.transform(F.filter("c", lambda x: x["column_key"] == "PRI"), lambda x: x["column_name"]).alias("pk"))
+    """(snapshot_id, schema_name, table_name, names, encoders, pk) in ordinal order. The encoder follows data_type."""
+    kind = encoder(F.col("data_type")) if "data_type" in snapshots.columns else F.lit("text")
+    own = F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name", "column_key", kind.alias("encoder"))))
+    return snapshots.groupBy("snapshot_id", "schema_name", "table_name").agg(own.alias("c")).select("snapshot_id", "schema_name", "table_name", F.transform("c", lambda x: x["column_name"]).alias("names"), F.transform("c", lambda x: x["encoder"]).alias("encoders"), F.transform(F.filter("c", lambda x: x["column_key"] == "PRI"), lambda x: x["column_name"]).alias("pk"))
 
 
 def with_columns(feed: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -47,19 +58,25 @@ def exploded(feed: DataFrame) -> DataFrame:
 
 
 def named(df: DataFrame) -> DataFrame:
-    """Values by column name as JSON images; the key comes from the before image if there is one. A value that is JSON
-    (a number, an object ...) goes in as such, other text as a string."""
-    value = lambda v: F.when(v.isNull(), "null").when(F.try_parse_json(v).isNotNull() & v.rlike(r'^\s*[-\[{0-9]'), v).otherwise(json_string(v))
-    member = lambda c: F.concat(json_string(c["names"]), F.lit(":"), value(c["v"]))
+    """Values by column name as JSON images; the key comes from the before image if there is one. The column's encoder
+    decides how a value goes in: numbers with all their digits, documents as they are, all else as a string, however much it
+    looks like a number. A value that its encoder can't take, such as NaN, is a string too."""
+    number = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+    def value(v: Column, kind: Column) -> Column:
+        plain = (kind == "number") & v.rlike(number) | (kind == "json") & F.try_parse_json(F.when(kind == "json", v)).isNotNull()
+        return F.when(v.isNull(), "null").when(plain, v).otherwise(json_string(v))
+
+    member = lambda c: F.concat(json_string(c["names"]), F.lit(":"), value(c["v"], c["encoders"]))
 
     def json(c: str):
-        pairs = F.sort_array(F.arrays_zip("names", F.col(c).alias("v")))
+        pairs = F.sort_array(F.arrays_zip("names", F.col(c).alias("v"), "encoders"))
         return F.when(F.col(c).isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, member), ","), F.lit("}")))
 
     source = F.coalesce("before", "after")
     keys = F.transform("pk", lambda c: F.get(source, (F.array_position("names", c) - 1).cast("int")))
     out = df.withColumns({"row_before": json("before"), "row_after": json("after"), "pk_values": pk_encode(keys)})
-    return out.withColumn("changed_columns", F.when(F.col("event_type") == UPDATE, changed_columns("row_before", "row_after"))).drop("before", "after", "names", "pk")
+    return out.withColumn("changed_columns", F.when(F.col("event_type") == UPDATE, changed_columns("row_before", "row_after"))).drop("before", "after", "names", "encoders", "pk")
 
 
 def stamped(feed: DataFrame) -> DataFrame:
@@ -70,7 +87,7 @@ def stamped(feed: DataFrame) -> DataFrame:
 def normalise(feed: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(change log rows, rejected feed rows)."""
     marked = with_columns(stamped(feed), snapshots)
-    return named(exploded(marked.filter("reject IS NULL").drop("reject"))), marked.filter("reject IS NOT NULL").drop("names", "pk")
+    return named(exploded(marked.filter("reject IS NULL").drop("reject"))), marked.filter("reject IS NOT NULL").drop("names", "encoders", "pk")
 
 
 def ddl_rows(feed: DataFrame, query_col: str = "query") -> DataFrame:

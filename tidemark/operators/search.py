@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from datetime import datetime
+from dataclasses import dataclass, field, replace
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import changed_columns, event_type_name, json_is_null, json_value, pk_hash, safe_name
 from tidemark.schema import CHANGELOG, ORDER, SNAPSHOT
+from tidemark.session import checkpointed
 
 
 @dataclass
@@ -101,36 +103,79 @@ def first_n(log: DataFrame, n: int | None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def merge_sources(sources: list[DataFrame], key: list[str] | None = None) -> DataFrame:
+def first_n_of_hours(log: DataFrame, n: int, hours: DataFrame, s: Search | None = None) -> DataFrame:
+    """The oldest n that match, read from as few hours as can hold them. hours: (hour timestamp, events), as a ledger or the
+    coverage has them, every hour of the log among them. The shortest stretch of hours with n events is tried first; if the
+    search leaves fewer of them, it grows by what it takes at the rate seen, at least fourfold. The stretch bounds times, so
+that partitions beyond it aren't read. Rows without a time are in no hour and left out."""
+    s = s or Search()
+    so_far = W.orderBy("hour").rowsBetween(W.unboundedPreceding, 0)  # a row for each hour
+    totals = checkpointed(hours.groupBy("hour").agg(F.sum("events").alias("events")).withColumn("total", F.sum("events").over(so_far)))
+    bound = parse_time(s.until) if isinstance(s.until, str) else s.until
+    need = n
+    while True:
+        end = totals.filter(F.col("total") >= need).agg(F.min("hour")).first()[0]
+        if end is not None:
+            until = end + timedelta(hours=1) - timedelta(microseconds=1)
+            until = until if bound is None else min(until, bound.replace(tzinfo=None))
+        found = matching(log, s if end is None else replace(s, until=until))
+        found = found.filter("event_timestamp IS NOT NULL")
+        if end is None or (bound is not None and until >= bound.replace(tzinfo=None)):
+            return first_n(found, n)
+        have = found.limit(n).count()
+        if have >= n:
+            return first_n(found, n)
+        need *= max(4, 2 * n // max(1, have))
+
+
+def source_presence(sources: list[DataFrame]) -> DataFrame:
+    """(hour, sources): for each hour of any source a bitmap of the sources that have it; hours count from 1970, and -1 has
+    the rows without a time. Reads one column of each source."""
+    if len(sources) > 63:
+        raise ValueError("a bitmap holds 63 sources")
+    marks = [s.select(hour_number().alias("hour"), F.lit(1 << i).cast("long").alias("bit")) for i, s in enumerate(sources)]
+    return reduce(DataFrame.unionByName, marks).groupBy("hour").agg(F.bit_or("bit").alias("sources"))
+
+
+def hour_number() -> Column:
+    return F.coalesce(F.expr("unix_seconds(cast(event_timestamp as timestamp)) div 3600"), F.lit(-1))
+
+
+def merge_sources(sources: list[DataFrame], key: list[str] | None = None, by_hour: bool = True) -> DataFrame:
     """One log of several; of events with one key, that of the earlier source stays. Keys are unique within a source, and an
-    event has one time in all. Columns are matched by name, and one that a source lacks is null there.
+    event has one time in all. Columns are matched by name, and one that a source lacks is null there. Rows without a key
+    all stay.
 
-    The first source stays where it is. Of a later one, only rows of hours that earlier sources have too are shuffled, and
-    meet their keys alone."""
+    All sources are tagged and meet in one exchange. With by_hour the presence of each source by hour is found first, in a
+    job of its own over the times alone, and rows of hours that one source has to itself stay where they are; without it, as
+    for sources that are cut to a few rows, all rows are exchanged."""
     key = key or ["event_id"]
-    out = sources[0]
-    for source in sources[1:]:
-        apart = None
-        known, own = out.select(*key), source
-        if "event_timestamp" in out.columns and "event_timestamp" in source.columns:
-            hour = F.coalesce(F.floor(F.unix_seconds(F.col("event_timestamp").cast("timestamp")) / 3600), F.lit(-1))
-            hours = out.select(hour.alias("_hour")).distinct().join(source.select(hour.alias("_hour")).distinct(), "_hour", "left_semi")
-            hours = F.broadcast(hours)  # 8 bytes for each hour of the log
-            marked = source.withColumn("_hour", hour)
-            apart, own = marked.join(hours, "_hour", "left_anti").drop("_hour"), marked.join(hours, "_hour", "left_semi").drop("_hour")
-            known = out.withColumn("_hour", hour).join(hours, "_hour", "left_semi").select(*key)
-        own = own.join(known, key, "left_anti")
-        out = out.unionByName(own if apart is None else apart.unionByName(own), allowMissingColumns=True)
-    return out
+    if len(sources) == 1:
+        return sources[0]
+    tagged = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)])
+    columns = [c for c in tagged.columns if c != "_source"]
+    meets = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in key])
+    if by_hour and all("event_timestamp" in s.columns for s in sources):
+        hours = checkpointed(source_presence(sources).filter(F.bit_count("sources") > 1).select(F.col("hour").alias("_hour"), F.lit(True).alias("_shared")))
+        if hours.isEmpty():
+            return tagged.select(columns)
+        # 9 bytes for each hour of the log
+        tagged = tagged.withColumn("_hour", hour_number()).join(F.broadcast(hours), "_hour", "left")
+        meets &= F.col("_shared").isNotNull()
+    others = [c for c in columns if c not in key]
+    first = tagged.filter(meets).groupBy(*key).agg(F.min_by(F.struct(*others), F.col("_source")).alias("_row"))
+    first = first.select([F.col(c) if c in key else F.col("_row")[c].alias(c) for c in columns])
+    return tagged.filter(~meets).select(columns).unionByName(first)
 
 
 def merge_and_trim(sources: list[DataFrame], limit: int | None = None, limit_per_pk: int | None = None) -> DataFrame:
     """Merge, then the cap for each key, then the global one. Each source is cut to what can be left of it beforehand."""
+    cut = limit is not None or limit_per_pk is not None
     if len(sources) > 1 and limit_per_pk is not None:
         sources = [latest_per_key(x, limit_per_pk) for x in sources]
     elif len(sources) > 1 and limit is not None:
         sources = [first_n(x, limit) for x in sources]
-    out = merge_sources(sources)
+    out = merge_sources(sources, by_hour=not cut)
     if limit_per_pk is not None:
         out = latest_per_key(out, limit_per_pk)
     return first_n(out, limit)

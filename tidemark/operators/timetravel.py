@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.schema import DELETE, INSERT, SNAPSHOT, UPDATE
@@ -90,11 +91,26 @@ def snapshot_events(baseline: DataFrame, schema: str, table: str, snapshot_time)
 
 
 def pick_baseline(inventory: DataFrame, requests: DataFrame) -> DataFrame:
-    """The newest snapshot at or before each request's moment: (schema_name, table_name, at, snapshot_time, path)."""
+    """The newest snapshot at or before each request's moment: (schema_name, table_name, at, snapshot_time, path); of two of
+    one moment that with the greatest path.
+
+    Snapshots and requests stand in one order of time by table and month, where the last snapshot so far holds; what a month
+    takes over from those before comes from the last snapshots of months. So no request meets more than one row, and a table
+    with many of either is spread over its months."""
     keys = ["schema_name", "table_name"]
-    joined = requests.join(inventory, keys, "left").filter(F.col("snapshot_time").isNull() | (F.col("snapshot_time") <= F.col("at")))
-    best = joined.groupBy(*keys, "at").agg(F.max_by(F.struct("snapshot_time", "path"), F.col("snapshot_time")).alias("best"))
-    return requests.join(best, [*keys, "at"], "left").select(*keys, "at", "best.snapshot_time", "best.path")
+    snapshot = F.struct(F.col("snapshot_time").cast("timestamp").alias("snapshot_time"), "path")
+    month = lambda c: F.date_trunc("month", c)
+    have = inventory.filter("snapshot_time IS NOT NULL").select(*keys, snapshot.alias("best")).withColumn("time", F.col("best.snapshot_time"))
+    asked = requests.select(*keys, F.col("at").cast("timestamp").alias("time"), "at")
+    months = have.groupBy(*keys, month("time").alias("month")).agg(F.max("best").alias("last"))
+    months = months.unionByName(asked.select(*keys, month("time").alias("month")).distinct(), allowMissingColumns=True).groupBy(*keys, "month").agg(F.max("last").alias("last"))
+    before = W.partitionBy(*keys).orderBy("month").rowsBetween(W.unboundedPreceding, -1)
+    months = months.withColumn("carried", F.last("last", ignorenulls=True).over(before)).select(*keys, "month", "carried")
+    both = have.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True).withColumn("month", month("time"))
+    order = W.partitionBy(*keys, "month").orderBy("time", F.col("asked").isNotNull(), "best").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("own", F.last("best", ignorenulls=True).over(order)).filter("asked").join(months, [*keys, "month"], "left")
+    best = F.coalesce("own", "carried")
+    return found.select(*keys, "at", best["snapshot_time"].alias("snapshot_time"), best["path"].alias("path"))
 
 
 def continuity(log: DataFrame, baseline_file: str, baseline_pos: int) -> DataFrame:
@@ -120,15 +136,20 @@ def history_json(entries: DataFrame) -> DataFrame:
     return entries.select("pk_values", "event_timestamp", "event_id", text.alias("text"))
 
 
-def history_table(entries: DataFrame) -> DataFrame:
-    """A history for CSV: pk_values, time, source, event_id, gtid and a column for each key that any state has, in their
-    order; empty where a state lacks it or the row is deleted. The keys are those of a table's columns, few enough to name."""
-    found = entries.select(F.explode(F.json_object_keys("state")).alias("k")).distinct().orderBy("k").collect()
+def history_table(entries: DataFrame, columns: list[str] | None = None, most: int = 4096) -> DataFrame:
+    """A history for CSV: pk_values, time, source, event_id, gtid and a column for each of a table's columns, in their order;
+    empty where a state lacks it or the row is deleted. Without columns they are the keys that any state has; more of them
+    than a table can have columns (`most`) raise, as such states aren't those of a table."""
+    if columns is None:
+        found = entries.select(F.explode(F.json_object_keys("state")).alias("k")).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"states have more than {most} keys")
+        columns = sorted(r.k for r in found)
     values = F.from_json("state", "map<string,string>")
     own = entries.withColumn("_values", values)
     gtid = F.coalesce("gtid", F.lit("")) if "gtid" in entries.columns else F.lit("")
     time = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return own.select("pk_values", time.alias("time"), "source", "event_id", gtid.alias("gtid"), *[F.coalesce(F.try_element_at("_values", F.lit(r.k)), F.lit("")).alias(f"state_{r.k}" if r.k in ("pk_values", "time", "source", "event_id", "gtid") else r.k) for r in found])
+    return own.select("pk_values", time.alias("time"), "source", "event_id", gtid.alias("gtid"), *[F.coalesce(F.try_element_at("_values", F.lit(k)), F.lit("")).alias(f"state_{k}" if k in ("pk_values", "time", "source", "event_id", "gtid") else k) for k in columns])
 
 
 def state_pairs(state: DataFrame) -> DataFrame:

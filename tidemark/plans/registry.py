@@ -513,14 +513,6 @@ array(array(CAST(event_id AS STRING), event_type, CAST(user_id AS STRING)), arra
 IMAGE = "concat('{\"amount\":', CAST(event_id + i AS VARCHAR), ',\"kind\":\"', event_type, '\",\"user_id\":', CAST(user_id + CASE WHEN event_id % 3 = 1 THEN 0 ELSE i END AS VARCHAR), '}')"
 
 
-@query(f"""WITH e AS (SELECT *, event_id % 3 AS k FROM events WHERE event_id % 10 <> 0), r AS (SELECT *, unnest([0, 1]) AS i FROM e), j AS (SELECT *, {IMAGE} AS img FROM r)
-SELECT event_id, i AS ordinal, CASE WHEN k = 2 THEN img END AS row_before, CASE WHEN k = 0 THEN img END AS row_after, CAST(user_id + i AS VARCHAR) AS pk_values, CAST(NULL AS VARCHAR) AS changed FROM j WHERE k <> 1
-UNION ALL SELECT a.event_id, 0, a.img, b.img, CAST(a.user_id AS VARCHAR), 'amount' FROM j a JOIN j b ON a.event_id = b.event_id AND a.i = 0 AND b.i = 1 WHERE a.k = 1""")
-def normalise_feed(spark, sf_dir):
-    good, _ = normalise.normalise(run(spark, sf_dir, FEED), small(spark, SNAPSHOTS))
-    return good.select("event_id", "ordinal", "row_before", "row_after", "pk_values", F.array_join("changed_columns", ",").alias("changed"))
-
-
 @query("SELECT event_id, 'unknown_table' AS reject FROM events WHERE event_id % 10 = 0")
 def rejected_feed(spark, sf_dir):
     return normalise.normalise(run(spark, sf_dir, FEED), small(spark, SNAPSHOTS))[1].select("event_id", "reject")
@@ -970,3 +962,6 @@ def payload_sink(spark, sf_dir):
     root = shared_folder(spark)
     archive.write_payload(normalise.split_payload(accounts(spark, sf_dir), "s1"), root)
     return spark.read.parquet(root).select("event_id", "pk_values", "row_before", "row_after", "schema_table", "date")
+
+
+from tidemark.plans import sources_and_streams  # noqa: E402, F401  the rest of the queries

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def share_package(spark: SparkSession) -> None:
@@ -28,6 +28,14 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed now and kept in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate data, where it lies."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -37,7 +37,8 @@ def write_baseline(rows: DataFrame, columns: list[tuple[str, str, str]], root: s
         return path
     rows.select([typed(*c) for c in columns]).write.mode("overwrite").option("compression", codec).parquet(path)
     about = spark.createDataFrame([(schema, table, moment, path, binlog_file, binlog_pos, gtid_set)], "schema_name string, table_name string, moment string, path string, binlog_file string, binlog_pos long, gtid_set string")
-    about.withColumn("snapshot_time", dir_time("moment")).coalesce(1).write.mode("append").parquet(f"{root}/_about")
+    # A folder for each snapshot, so that one that is written again replaces its row.
+    about.withColumn("snapshot_time", dir_time("moment")).coalesce(1).write.mode("overwrite").parquet(f"{root}/_about/of={moment}.{schema}.{table}")
     return path
 
 
@@ -48,7 +49,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(schema_name, table_name, snapshot_time, path, binlog_file, binlog_pos, gtid_set) of all snapshots."""
-    return spark.read.parquet(f"{root}/_about").drop("moment")
+    return spark.read.parquet(f"{root}/_about").drop("moment", "of")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:

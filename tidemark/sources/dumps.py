@@ -12,96 +12,311 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import typed_literal
 from tidemark.session import share_package
 
-#: A file up to this size is read whole; statements of larger ones must each end with ";" and a line feed.
-WHOLE_BYTES = 256 << 20
-_TOKEN = re.compile(r"'((?:[^'\\]|\\.|'')*)'|\"((?:[^\"\\]|\\.|\"\")*)\"|([(),;])|([^\s(),;'\"]+)", re.S)
 # Escapes inside quotes.
-_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a"}
-
-
-# What runs to the end of a statement: quoted text, comments, other text.
-_STATEMENT = re.compile(r"(?:'(?:[^'\\]++|\\.|'')*+'|\"(?:[^\"\\]++|\\.|\"\")*+\"|`[^`]*+`|/\*.*?\*/|(?:--[ \t]|#)[^\n]*+|[^;'\"`/#-]++|[/#-])++", re.S)
-
-
-def statements(text: str) -> Iterator[str]:
-    """The statements of a file, whatever ends their lines; semicolons in quotes and comments end none. A quote that is never
-    closed raises."""
-    at = 0
-    while at < len(text):
-        m = _STATEMENT.match(text, at)
-        end = m.end() if m else at
-        if end < len(text) and text[end] != ";":
-            raise ValueError(f"a quote is not closed after character {end}: {text[end : end + 40]!r}")
-        if m:
-            yield re.sub(r"^(?:\s+|/\*.*?\*/|(?:--[ \t]|#)[^\n]*(?:\n|$))+", "", m[0], flags=re.S)
-        at = end + 1
-
-
-def tuples(statement: str) -> Iterator[list[str | None]]:
-    """Rows of INSERT ... VALUES (...), (...): text of each value; NULL is None, hex and nested calls stay text."""
-    start = re.search(r"\bVALUES\b", statement, re.I)
-    depth, row, cell, quoted = 0, [], [], False
-    for m in _TOKEN.finditer(statement, start.end() if start else len(statement)):
-        one, two, mark, word = m.groups()
-        if mark == "(" and depth == 0:
-            depth, row, cell, quoted = 1, [], [], False
-        elif depth and (mark == "," and depth == 1 or mark == ")" and depth == 1):
-            text = "".join(cell)
-            row.append(None if not quoted and text.upper() == "NULL" else text)
-            cell, quoted = [], False
-            if mark == ")":
-                depth = 0
-                yield row
-        elif depth and mark:
-            depth += (mark == "(") - (mark == ")")
-            cell.append(mark)
-        elif depth and word is not None:
-            cell.append(word)
-        elif depth:
-            text = one if one is not None else two
-            cell.append(re.sub(r"\\(.)|''|\"\"", lambda e: _ESCAPES.get(e[1], e[1]) if e[1] is not None else e[0][0], text, flags=re.S))
-            quoted = True
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"0": b"\0", b"b": b"\b", b"Z": b"\x1a"}
+
+#: What a line can begin in: nothing special, a quoted text, a quoted name, a comment over several lines.
+PLAIN, SINGLE, DOUBLE, NAME, COMMENT = QUOTES = range(5)
+#: Where in a statement: before it, in one that holds no rows, in an INSERT before its VALUES, among its rows.
+BEFORE, OTHER, HEAD, ROWS = MODES = range(4)
+_CLOSING = {SINGLE: re.compile(rb"(?:[^'\\]++|\\.|'')*+'", re.S), DOUBLE: re.compile(rb"(?:[^\"\\]++|\\.|\"\")*+\"", re.S), NAME: re.compile(rb"(?:[^`]++|``)*+`"), COMMENT: re.compile(rb".*?\*/", re.S)}
+_OPENING = {b"'": SINGLE, b'"': DOUBLE, b"`": NAME, b"/*": COMMENT}
+_MARK = rb"'|\"|`|/\*|(?:--[ \t\r]|--(?=\n)|#)[^\n]*|[();]"
+_MARKS = re.compile(_MARK)
+_WORDS = re.compile(_MARK + rb"|[A-Za-z_][A-Za-z_0-9]*|[^\s]")
+
+
+class Place:
+    """Where a reader is in a statement. depth counts parentheses; moved says that a statement began or the rows of one, so
+    that the depth no longer depends on where the reader started."""
+
+    __slots__ = ("depth", "mode", "moved")
+
+    def __init__(self, mode: int = BEFORE, depth: int = 0, moved: bool = False):
+        self.mode, self.depth, self.moved = mode, depth, moved
+
+
+def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int, int]] | None = None, start: int = 0) -> tuple[int, int]:
+    """Reads whole lines from a quote state on; moves each place and gives (quote state, where an open row starts or -1).
+    With one place, spans gets the rows of INSERT statements; a row that was open before starts at `start`."""
+    at, row = 0, start if spans is not None and places[0].mode == ROWS and places[0].depth > 0 else -1
+    while True:
+        if quote != PLAIN:
+            m = _CLOSING[quote].match(text, at)
+            if m is None:
+                return quote, row
+            at, quote = m.end(), PLAIN
+        m = (_MARKS if all(p.mode in (OTHER, ROWS) for p in places) else _WORDS).search(text, at)
+        if m is None:
+            return quote, row
+        mark, at = m[0], m.end()
+        if mark in _OPENING:
+            quote = _OPENING[mark]
+            if quote != COMMENT:
+                for p in places:
+                    p.mode = OTHER if p.mode == BEFORE else p.mode
+        elif mark.startswith((b"--", b"#")):
+            continue
+        elif mark == b";":
+            for p in places:
+                p.mode, p.depth, p.moved = BEFORE, 0, True
+            row = -1
+        elif mark == b"(":
+            for p in places:
+                p.mode = OTHER if p.mode == BEFORE else p.mode
+                p.depth += 1
+            if spans is not None and places[0].mode == ROWS and places[0].depth == 1:
+                row = m.start()
+        elif mark == b")":
+            for p in places:
+                p.depth -= 1
+            if spans is not None and places[0].mode == ROWS and places[0].depth == 0 and row >= 0:
+                spans.append((row, at))
+                row = -1
+        else:
+            word = mark.upper()
+            for p in places:
+                if p.mode == BEFORE:
+                    p.mode = HEAD if word == b"INSERT" else OTHER
+                elif p.mode == HEAD and word == b"VALUES":
+                    p.mode, p.depth, p.moved = ROWS, 0, True
+
+
+def unquoted(text: bytes, mark: bytes) -> bytes:
+    """What stands between two marks; of a mark only its own kind is doubled."""
+    return re.sub(rb"\\(.)|" + mark * 2, lambda e: _ESCAPES.get(e[1], e[1]) if e[1] is not None else mark, text, flags=re.S)
+
+
+_CELL = re.compile(rb"'((?:[^'\\]++|\\.|'')*+)'|\"((?:[^\"\\]++|\\.|\"\")*+)\"|`(?:[^`]++|``)*+`|(?:/\*.*?\*/|(?:--(?=[ \t\r\n])|#)[^\n]*)|[(),]|[^'\"`/(),#-]++|[/-]", re.S)
+_INTRODUCED = re.compile(rb"_[A-Za-z0-9]+\s*'(.*)'", re.S)
+
+
+def cells(row: bytes) -> list[str | None]:
+    """The values of (a, b, ...): a quoted text without its quotes, NULL as None, and any other expression as it is written,
+    such as 0x4142, X'4142', _binary 'ab' or a call; binary_value() reads those. A text that isn't UTF-8 becomes 0x...."""
+    out: list[str | None] = []
+    depth, parts, written = 0, [], []
+
+    def end() -> None:
+        raw = b"".join(written).strip()
+        if parts and all(p is not None or not w.strip() for p, w in zip(parts, written, strict=True)):
+            value = b"".join(p for p in parts if p is not None)
+        else:
+            value = raw
+            if raw.upper() == b"NULL":
+                out.append(None)
+                return
+        try:
+            out.append(value.decode())
+        except UnicodeDecodeError:
+            inner = _INTRODUCED.fullmatch(value)
+            out.append("0x" + (unquoted(inner[1], b"'") if inner else value).hex().upper())
+
+    for m in _CELL.finditer(row):
+        mark = m[0]
+        if mark == b"(" and not depth:
+            depth = 1
+        elif depth == 1 and mark in (b",", b")"):
+            end()
+            parts, written = [], []
+            if mark == b")":
+                break
+        elif not mark.startswith((b"/*", b"--", b"#")):
+            depth += (mark == b"(") - (mark == b")")
+            parts.append(unquoted(m[1], b"'") if m[1] is not None else unquoted(m[2], b'"') if m[2] is not None else None)
+            written.append(mark)
+    return out
+
+
+def binary_value(value: Column | str) -> Column:
+    """The bytes of a binary column's value as a dump writes it: 0x4142, X'4142', x'4142', _binary 'ab' (an introducer of
+    any name), or the text itself."""
+    value = F.col(value) if isinstance(value, str) else value
+    hexed = F.coalesce(F.nullif(F.regexp_extract(value, r"^0[xX]([0-9A-Fa-f]*)$", 1), F.lit("")), F.nullif(F.regexp_extract(value, r"^[xX]'([0-9A-Fa-f]*)'$", 1), F.lit("")))
+    none = value.rlike(r"^(0[xX]|[xX]'')$")
+    quoted = r"(?s)^_[A-Za-z0-9]+\s*'(.*)'$"
+    inner = F.regexp_extract(value, quoted, 1)
+    escapes = (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\0", "\0"), ("\\b", "\b"), ("\\Z", "\x1a"), ("\\'", "'"), ('\\"', '"'), ("''", "'"))
+
+    def plain(c: Column) -> Column:
+        for written, meant in escapes:
+            c = F.replace(c, F.lit(written), F.lit(meant))
+        return c
+
+    text = F.array_join(F.transform(F.split(inner, r"\\\\"), plain), "\\")
+    return F.when(none, F.lit(b"")).when(hexed.isNotNull(), F.unhex(hexed)).when(value.rlike(quoted), text.cast("binary")).otherwise(value.cast("binary"))
+
+
+def _effects(batches) -> Iterator:
+    """What each range does to a reader, whatever it starts in: (file, start, effects), where effects has for each quote and
+    mode (quote, mode, depth, moved)."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("quote", pa.int32()), ("mode", pa.int32()), ("depth", pa.int64()), ("moved", pa.bool_())]))
+    held, states = None, {}
+
+    def finish():
+        rows = [{"quote": states[q][0], "mode": p.mode, "depth": p.depth, "moved": p.moved} for q in QUOTES for p in states[q][1]]
+        return pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]], pa.int64()), pa.array([rows], kind)], names=["file", "start", "effects"])
+
+    for key, text in _texts(batches):
+        if key != held:
+            if held is not None:
+                yield finish()
+            held, states = key, {q: (q, [Place(m) for m in MODES]) for q in QUOTES}
+        states = {q: (advance(text, now, places)[0], places) for q, (now, places) in states.items()}
+    if held is not None:
+        yield finish()
+
+
+def _texts(batches) -> Iterator[tuple[tuple[str, int], bytes]]:
+    """((file, start), lines) of batches (file, start, value, ...), a part of a batch for each range."""
+    for batch in batches:
+        files, starts, lines = (batch.column(i).to_pylist() for i in range(3))
+        first = 0
+        for i in range(1, len(files) + 1):
+            if i == len(files) or (files[i], starts[i]) != (files[first], starts[first]):
+                yield (files[first], starts[first]), b"".join(x + b"\n" for x in lines[first:i])
+                first = i
+
+
+def _composed(ranges):
+    """(file, start, quote, mode, depth, open) of one file's ranges: what a range starts in, from the effects of
+    all before it, and whether it ends within a row."""
+    import pandas as pd
+
+    quote, mode, depth, out = PLAIN, BEFORE, 0, []
+    for r in ranges.sort_values("start").itertuples():
+        e = r.effects[quote * len(MODES) + mode]
+        before = (quote, mode, depth)
+        quote, mode, depth = int(e["quote"]), int(e["mode"]), int(e["depth"]) + (0 if e["moved"] else depth)
+        out.append((r.file, int(r.start), *before, mode == ROWS and depth > 0))
+    return pd.DataFrame(out, columns=["file", "start", "quote", "mode", "depth", "open"])
+
+
+def _parsed(batches) -> Iterator:
+    """(file, start, part, text, values) of (file, start, value, length, size, quote, mode, depth, open, cut): rows, or with
+    `cut` instead the parts of rows that the range's ends cut, 0 the first of a row, 1 a middle one, 2 the last."""
+    import pyarrow as pa
+
+    names = ["file", "start", "part", "text", "values"]
+    rows: list[tuple] = []
+
+    def full():
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()))
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=names)
+        rows.clear()
+        return out
+
+    state: dict = {}
+
+    def begin(key, info):
+        length, size, quote, mode, depth, cut = info
+        if quote is None and (key[1] > 0 or length < size):
+            raise ValueError(f"the ranges of {key[0]} changed between two readings of it")
+        state.update(key=key, last=key[1] + length >= size, quote=quote or PLAIN, place=Place(mode or BEFORE, depth or 0), held=b"", outside=bool(depth and mode == ROWS), cut=cut)
+
+    def finish():
+        """A row that is still open when its range ends."""
+        if not state:
+            return
+        if state["last"] and state["quote"] != PLAIN:
+            raise ValueError(f"a quote is not closed in {state['key'][0]}")
+        if state["place"].mode == ROWS and state["place"].depth > 0:
+            if state["last"]:
+                raise ValueError(f"{state['key'][0]} ends within a row: {state['held'][-80:]!r}")
+            if state["cut"]:
+                rows.append((*state["key"], 1 if state["outside"] else 0, state["held"], None))
+
+    for batch in batches:
+        info = list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7, 8)), strict=True))
+        at = 0
+        for key, text in _texts([batch]):
+            if state.get("key") != key:
+                finish()
+                begin(key, info[at])
+            at += text.count(b"\n")
+            spans: list[tuple[int, int]] = []
+            before = len(state["held"])
+            quote, row = advance(text, state["quote"], [state["place"]], spans, -before)
+            state["quote"] = quote
+            joined = state["held"] + text
+            for a, b in spans:
+                own = joined[a + before : b + before]
+                if state["outside"]:
+                    if state["cut"]:
+                        rows.append((*key, 2, own, None))
+                    state["outside"] = False
+                elif not state["cut"]:
+                    rows.append((*key, None, None, cells(own)))
+            open_row = state["place"].mode == ROWS and state["place"].depth > 0
+            state["held"] = joined[row + before :] if open_row else b""
+            if len(rows) > 10_000:
+                yield full()
+    finish()
+    yield full()
+
+
+def _stitched(parts):
+    """Rows of one file that ends of ranges have cut."""
+    import pandas as pd
+
+    out, held = [], b""
+    for r in parts.sort_values(["start", "part"], key=lambda c: c.map({2: 0, 1: 1, 0: 2}) if c.name == "part" else c).itertuples():
+        held = r.text if r.part == 0 else held + r.text
+        if r.part == 2:
+            out.append((r.file, cells(held)))
+            held = b""
+    if held:
+        raise ValueError(f"{parts.file.iloc[0]} ends within a row: {held[-80:]!r}")
+    return pd.DataFrame(out, columns=["file", "values"])
 
 
 def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, values array<string>) of INSERT statements. Files are read in parallel, whole up to WHOLE_BYTES, as dumps are
-    written in files of bounded size; larger ones by statements at the ends of lines, and one that can't be read so raises.
-    This is the one source that parses text in Python."""
+    """(file, values array<string>) of INSERT statements, whatever their lines, comments and quotes look like; the values are
+    those of cells(). A quote or row that a file doesn't close raises.
 
-    def run(batches):
-        import pyarrow as pa
+    Files of any size are read in the byte ranges that Spark deals to tasks, each of whole lines. For a file of several
+    ranges, a first job finds what each range does to a reader that starts in any quote, comment or statement; put together
+    in the order of the ranges, these effects tell what each range really starts in, a row of 50 bytes for each of them. With that
+    a range reads its rows by itself, and only rows over the end of a range are joined apart."""
+    share_package(spark)
+    meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_block_length", "length"), ("file_size", "size"))]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), *meta)
+
+    def several(batches):
+        import pyarrow.compute as pc
 
-        kinds = (pa.string(), pa.list_(pa.string()))
-        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in (0, 1)], names=["file", "values"])
         for batch in batches:
-            for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for statement in statements(text):
-                    if re.match(r"INSERT\s", statement, re.I):
-                        rows += [(f, v) for v in tuples(statement)]
-                    if len(rows) > 10_000:
-                        yield table(rows)
-                        rows = []
-                yield table(rows)
+            yield batch.filter(pc.or_(pc.greater(batch.column(1), 0), pc.less(batch.column(3), batch.column(4))))
 
-    share_package(spark)
-    size = F.col("_metadata.file_size")
-    own = lambda df, holds: df.filter(holds).select(F.col("_metadata.file_name").alias("file"), "value")
-    parts = own(spark.read.text(path, wholetext=True), size <= WHOLE_BYTES).unionByName(own(spark.read.text(path, lineSep=";\n"), size > WHOLE_BYTES))
-    return parts.mapInArrow(run, "file string, values array<string>")
+    effects = "file string, start long, effects array<struct<quote:int,mode:int,depth:long,moved:boolean>>"
+    cut_up = lambda batches: _effects(several(batches))
+    ranges = lines.select("file", "start", "value", "length", "size").mapInArrow(cut_up, effects).groupBy("file").applyInPandas(_composed, "file string, start long, quote int, mode int, depth long, open boolean")
+
+    def read(cut: bool) -> DataFrame:
+        known = F.broadcast(ranges.filter(F.col("open") | ((F.col("mode") == ROWS) & (F.col("depth") > 0))) if cut else ranges)
+        own = lines.join(known, ["file", "start"], "inner" if cut else "left")
+        own = own.select("file", "start", "value", "length", "size", "quote", "mode", "depth", F.lit(cut).alias("cut"))
+        return own.mapInArrow(_parsed, "file string, start long, part int, text binary, values array<string>")
+
+    over_ends = read(True).groupBy("file").applyInPandas(_stitched, "file string, values array<string>")
+    return read(False).select("file", "values").unionByName(over_ends).select(F.element_at(F.split("file", "/"), -1).alias("file"), "values")
 
 
 def read_tab_dump(spark: SparkSession, path: str) -> DataFrame:
-    r"""(file, values array<string>) of tab-separated rows: \N is null; \t, \n, \r and \\ are escapes."""
-    mark = "\x01"
+    r"""(file, values array<string>) of tab-separated rows: \N is null; \t, \n, \r and \\ are escapes. A line may end in CR LF."""
+
+    def plain(c: Column) -> Column:
+        for escaped, meant in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+            c = F.replace(c, F.lit(escaped), F.lit(meant))
+        return c
 
-    def cell(c: Column) -> Column:
-        text = F.replace(c, F.lit("\\\\"), F.lit(mark))
-        for escaped, plain in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), (mark, "\\")):
-            text = F.replace(text, F.lit(escaped), F.lit(plain))
-        return F.when(c != "\\N", text)
+    def cell(c: Column) -> Column:  # between escaped backslashes, no backslash begins in one piece and ends in the next
+        return F.when(c != "\\N", F.array_join(F.transform(F.split(c, r"\\\\"), plain), "\\"))
 
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.transform(F.split("value", "\t"), cell).alias("values"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_name").alias("file"), F.transform(F.split(F.regexp_replace("value", "\r$", ""), "\t"), cell).alias("values"))
 
 
 def discover_dump(spark: SparkSession, path: str) -> DataFrame:

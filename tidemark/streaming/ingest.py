@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from datetime import datetime
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -98,18 +99,30 @@ PROGRESS = "query string, batch long, rows long, rows_a_second double, state_row
 
 
 class Progress(StreamingQueryListener):
-    """Writes a row for each batch to a table, PROGRESS: rows, speed, state, what observed() counts, the time of the last
-    event and how far it lies behind. Errors have a row too. Only the last of them are kept here."""
-
-    def __init__(self, spark: SparkSession | None = None, path: str | None = None, kept: int = 1000):
-        self.spark, self.path = spark, path
+    """Keeps a row for each batch, PROGRESS: rows, speed, state, what observed() counts, the time of the last event and how far
+    it lies behind. Errors have a row too. Only the last of them are kept here; with a path they go to a table, many batches
+    at a time, the rest when a query ends or at flush()."""
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None, kept: int = 1000, at_once: int = 50):
+        self.spark, self.path, self.at_once = spark, path, at_once
+        self.waiting: list[tuple] = []
+        self.lock = RLock()  # listeners run on a thread of their own
         self.rows: deque[tuple] = deque(maxlen=kept)
         self.errors: deque[str] = deque(maxlen=kept)
 
     def add(self, row: tuple) -> None:
-        self.rows.append(row)
-        if self.path is not None:
-            self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+        with self.lock:
+            self.rows.append(row)
+            if self.path is not None:
+                self.waiting.append(row)
+                if len(self.waiting) >= self.at_once:
+                    self.flush()
+
+    def flush(self) -> None:
+        with self.lock:
+            if self.waiting:
+                self.spark.createDataFrame(self.waiting, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+                self.waiting = []
 
     def onQueryStarted(self, event):
         pass
@@ -128,3 +141,4 @@ class Progress(StreamingQueryListener):
         if event.exception:
             self.errors.append(event.exception)
             self.add((str(event.id), None, None, None, None, None, None, None, None, event.exception.split("\n")[0]))
+        self.flush()
