@@ -4,9 +4,11 @@ Two sets link if 100 |A & B| >= percent |A | B|. Documents with equal sets are o
 never meet. Spark brings sets together that can link, and a search in each such group finds the links:
 
 1. Sets that can link have sizes in the same or neighbouring size classes and differ in at most k shingles, where k follows
-   from the class's largest size. Shingles are dealt by hash into more than k cells; a linked pair agrees in the content of one
-   cell at least, so sets that agree in a cell of their class are joined into groups (connected components of stars, one
-   exchange of two longs a cell). A task meets equal cells of its own rows first and sends one row for them.
+   from the class's largest size. Shingles are dealt by hash into more than k cells (in small sets each shingle is a cell), so
+   a linked pair has some number of cells in common, and a set with fewer cells that another one has goes. Of the others
+   each keeps its rarest cells, so many that a linked pair can't miss to have one of them in common; sets that do are joined
+   into groups (connected components of stars). Cells cross the network once, as two longs. Cells of very many sets, known
+   from a sample, are dealt over SALTS tasks and count as the most frequent ones, which changes no result.
 2. A group of more than BLOCK sets is first refined: shingles are counted within it, each set keeps the rarest of its
    shingles that a link can't all avoid, and only sets that share one of those stay together. What is still larger is cut
    into blocks, and each pair of blocks is a task, so that memory is bounded.
@@ -40,13 +42,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, connected_components, schema_of
-from tidemark.session import share_package, shared_root
+from tidemark.session import checkpointed, share_package, shared_root
 
 SHINGLE_WORDS, PERCENT = 4, 85
-#: Cells beyond those that a linked pair can differ in, so that a pair can do without cells that are empty.
-SPARE = 2
+#: Up to this size each shingle of a set is a cell.
+SMALL = 32
+#: Cells beyond those that a linked pair can differ in: some, of which a few may be empty, and one for each SPARE_EACH.
+SPARE, SPARE_EACH = 2, 8
+#: Bits of a node that name the set; the others hold how many cells a link takes.
+NAMED = 52
+#: Share of the carriers that are looked at for hot cells; those with more of them than HOT_SAMPLED, HOT_CELLS at most, are
+#: dealt over SALTS tasks each.
+SAMPLE, HOT_SAMPLED, HOT_CELLS, SALTS = 0.01, 1000, 4096, 64
 #: Most sets, and most shingles of sets, of a group that is one task.
-BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: Most sets of groups that are broadcast to the texts, 50 bytes each; more of them meet the texts in a shuffle.
+BROADCAST_SETS = 250_000
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
 #: Members of the largest connected group that a set is held against first.
@@ -111,23 +122,34 @@ def size_classes(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def cells(own: np.ndarray, firsts: list[int], percent: int) -> list[tuple[int, np.ndarray]]:
-    """For the set's size class and the next one: (class, hashes of the cells)."""
+def least_overlap(n: int, percent: int) -> int:
+    """Shingles that a set of n has in common with any that it links to, at least."""
+    m = -(-n * percent // 100)
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def cells(own: np.ndarray, firsts: list[int], percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """For the set's size class and the next one: (class, cells that a linked set has too at least, hashes of the cells)."""
     at = bisect_left(firsts, len(own) + 1)
     out = []
     for k in (at, at + 1):
-        differing = 2 * (firsts[k] - 1) * (100 - percent) // (100 + percent)
-        spare = min(SPARE, differing // 4)
-        number = differing + 1 + spare
+        most = firsts[k] - 1
+        if most <= SMALL:
+            out.append((k, least_overlap(len(own), percent), scattered(own + np.uint64(k << 40))))
+            continue
+        differing = 2 * most * (100 - percent) // (100 + percent)
+        number = differing + 1 + SPARE + differing // SPARE_EACH
         cell = (own >> np.uint64(33)) % np.uint64(number)
         order = np.argsort(cell, kind="stable")
         held, first = np.unique(cell[order], return_index=True)
         sums = np.add.reduceat(scattered(own[order] + np.uint64(k)), first)
-        if number - len(held) > spare:  # too many empty cells to do without them
+        # A pair has number - differing cells in common, of which no more are empty than this set's.
+        need = len(held) - differing
+        if need < 1:  # it can't do without the empty ones
             full = np.zeros(number, np.uint64)
             full[held.astype(np.int64)] = sums
-            held, sums = np.arange(number, dtype=np.uint64), full
-        out.append((k, scattered(sums + scattered(held + np.uint64(k << 40)))))
+            need, held, sums = 1, np.arange(number, dtype=np.uint64), full
+        out.append((k, need, scattered(sums + scattered(held + np.uint64(k << 40)))))
     return out
 
 
@@ -155,12 +177,11 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def node_of(name: bytes, size_class: int) -> int:
-    return xxhash.xxh64_intdigest(name, seed=size_class)
+    return xxhash.xxh64_intdigest(name, seed=size_class) >> (64 - NAMED)
 
 
 def send_cells(carriers: DataFrame, width: int, percent: int) -> DataFrame:
-    """(cell, node) longs. A node is a set within a size class. Nodes of a batch that agree in a cell are tied to one of
-    them by a cell of their own, and that one alone stands for them beyond the batch."""
+    """(cell, node) longs. A node is a set within a size class; its upper bits say how many of its cells a link takes."""
     firsts = size_classes(percent)
 
     def run(batches):
@@ -170,26 +191,32 @@ def send_cells(carriers: DataFrame, width: int, percent: int) -> DataFrame:
                 continue
             found, nodes = [], []
             for own, name in zip(shingler.sets(as_bytes(batch.column(1))), batch.column(0).to_pylist(), strict=True):
-                for k, hashes in cells(own, firsts, percent):
+                for k, need, hashes in cells(own, firsts, percent):
                     found.append(hashes)
-                    nodes.append(np.full(len(hashes), node_of(name, k), np.uint64))
-            cell, node = np.concatenate(found), np.concatenate(nodes)
-            order = np.lexsort((node, cell))
-            cell, node = cell[order], node[order]
-            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            head = node[np.repeat(first, np.diff([*first, len(cell)]))]
-            tied = np.flatnonzero(head != node)
-            pairs = np.unique(np.stack([head[tied], node[tied]]), axis=1) if len(tied) else np.zeros((2, 0), np.uint64)
-            own = scattered(pairs[0] * MULTIPLIER + pairs[1])
-            out = np.concatenate([cell[first], own, own]), np.concatenate([node[first], pairs[0], pairs[1]])
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], names=["cell", "node"])
+                    nodes.append(np.full(len(hashes), min(need, (1 << (63 - NAMED)) - 1) << NAMED | node_of(name, k), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], names=["cell", "node"])
 
     return carriers.select("name", "text").mapInArrow(run, "cell long, node long")
 
 
+def candidate_edges(carriers: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes, without the upper bits, such that two sets that link are connected."""
+    rows = send_cells(carriers, width, percent)
+    hot = send_cells(carriers.sample(SAMPLE, seed=1), width, percent).groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SAMPLED).orderBy(F.desc("n"), "cell").limit(HOT_CELLS).select("cell", F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("node"), F.lit(SALTS))).otherwise(0))
+    df = F.when(F.col("hot"), F.lit(1 << 62)).otherwise(F.count("*").over(W.partitionBy("cell", "salt")))
+    shared = dealt.withColumn("df", df).filter("df > 1")
+    own = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("own"))
+    kept = F.size("own") - F.shiftrightunsigned("node", NAMED).cast("int") + 1
+    # A set that several tasks have met is there as often, which only makes more of its cells stay.
+    rare = own.filter(kept > 0).select(F.col("node").bitwiseAND(F.lit((1 << NAMED) - 1)).alias("node"), F.explode(F.slice("own", F.lit(1), kept)).alias("x")).select("node", F.col("x.cell").alias("cell"))
+    return tied(checkpointed(rare), ["cell"], "node").distinct()
+
+
 def tied(rows: DataFrame, key: list[str], node: str) -> DataFrame:
-    """Edges (a, b) of nodes that have a key in common: each to the least."""
-    return rows.withColumn("least", F.min(node).over(W.partitionBy(*key))).filter(F.col(node) != F.col("least")).select(F.col("least").alias("a"), F.col(node).alias("b"))
+    """Edges (a, b) of nodes that have a key in common: each to the least, which is found before any row moves."""
+    least = rows.groupBy(*key).agg(F.min(node).alias("a"), F.max(node).alias("most")).filter("a <> most").drop("most")
+    return rows.join(least, key).filter(F.col(node) != F.col("a")).select("a", F.col(node).alias("b"))
 
 
 def whole_components(edges: DataFrame) -> DataFrame:
@@ -233,7 +260,7 @@ class Lists:
 
     def search(self, lists: list[list[int]], size: int, passed: Callable[[int], bool]) -> Iterator[int]:
         """Sets that link to one of this size, by the lists of its shingles; passed(i) says that i need not be found."""
-        least = self.needed(size, -(-size * self.percent // 100))
+        least = least_overlap(size, self.percent)
         if len(lists) < least:
             return
         low, high = bisect_left(self.sizes, -(-size * self.percent // 100)), bisect_right(self.sizes, size * 100 // self.percent)
@@ -379,7 +406,8 @@ def refined(big: DataFrame, carriers: DataFrame, width: int, percent: int) -> Da
     counts = shingles.groupBy("group", "shingle").agg(F.count("*").alias("df"))
     ranked = shingles.join(counts, ["group", "shingle"]).groupBy("group", "name", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
     prefix = F.slice("own", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    kept = ranked.select("group", "name", "n", F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).select("group", "name", "n", F.col("x.shingle").alias("shingle"), F.xxhash64("name", "group").alias("node")).checkpoint()
+    kept = ranked.select("group", "name", "n", F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).select("group", "name", "n", F.col("x.shingle").alias("shingle"), F.xxhash64("name", "group").alias("node"))
+    kept = checkpointed(kept)
     nodes = kept.select("node", "name", "n").distinct()
     return named_groups(nodes, tied(kept, ["group", "shingle"], "node")).select("name", "n", "group")
 
@@ -393,22 +421,25 @@ def components(df: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS
     own = spark.read.parquet(f"{root}/described")
     carriers = own.filter("text IS NOT NULL AND name IS NOT NULL").select("name", F.col("n_shingles").alias("n"), "text")
     firsts = size_classes(percent)
+    edges = checkpointed(candidate_edges(carriers, width, percent))
     # The same nodes as send_cells has: a set in its size class and in the next one.
-    edges = tied(send_cells(carriers, width, percent), ["cell"], "node").distinct().checkpoint()
     nodes = carriers.select("name", "n").distinct().mapInArrow(nodes_of(firsts), "name binary, n long, node long")
-    members = named_groups(nodes, edges).select("name", "n", "group").checkpoint()
+    members = named_groups(nodes, edges).select("name", "n", "group").distinct()
+    members = checkpointed(members)
     sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     large = (F.col("sets") > block) | (F.col("shingles") > block_shingles)
     if sizes.filter(large).limit(1).count():
         big = members.join(sizes.filter(large).select("group"), "group")
         small = members.join(sizes.filter(large).select("group"), "group", "left_anti")
-        members = small.unionByName(refined(big, carriers, width, percent)).checkpoint()
+        members = checkpointed(small.unionByName(refined(big, carriers, width, percent)))
         sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("sets") / block, F.col("shingles") / block_shingles)).cast("int")
     dealt = members.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("at", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(y, "at").alias("i"), F.greatest(y, "at").alias("j"))))
     tasks = dealt.select("name", "group", "at", pair.alias("p")).select("name", F.xxhash64("group", "p.i", "p.j").alias("task"), (F.col("at") != F.col("p.i")).alias("probing"))
-    found = search_groups(tasks.join(carriers.select("name", "text"), "name").select("task", "probing", "name", "text"), width, percent).distinct()
+    tasks = checkpointed(tasks)
+    tasks = F.broadcast(tasks) if tasks.count() <= BROADCAST_SETS else tasks
+    found = search_groups(carriers.select("name", "text").join(tasks, "name").select("task", "probing", "name", "text"), width, percent).distinct()
     # Sets are numbered for the components, so that no two ever share a number.
     named = own.filter("name IS NOT NULL").groupBy("name").agg(F.min(id_col).alias("least"), F.count("*").alias("rows"))
     named.withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{root}/named")
@@ -427,7 +458,7 @@ def nodes_of(firsts: list[int]):
     def run(batches):
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(x, n, np.uint64(node_of(x, k)).astype(np.int64)) for x, n in zip(names, sizes, strict=True) for at in (bisect_left(firsts, n + 1),) for k in (at, at + 1)]
+            rows = [(x, n, node_of(x, k)) for x, n in zip(names, sizes, strict=True) for at in (bisect_left(firsts, n + 1),) for k in (at, at + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["name", "n", "node"])
 
     return run
