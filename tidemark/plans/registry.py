@@ -319,12 +319,12 @@ def undo_keys_in_time(spark, sf_dir):
     return undo.statements(found, small(spark, SNAPSHOTS)).select("event_id", "statement")
 
 
-UNDO_COMMENT = "'-- event ' || CAST(event_id AS VARCHAR) || ', ' || CASE event_type WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || ' of app.wallets key ' || pk_values || ' at ' || strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') || COALESCE(', transaction ' || gtid, '')"
+UNDO_COMMENT = "'-- event ' || CAST(event_id AS VARCHAR) || ', ' || CASE event_type WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || ' of app.' || table_name || ' key ' || pk_values || ' at ' || strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') || COALESCE(', transaction ' || gtid, '')"
 
 
-@query(f"SELECT event_timestamp, event_id, {UNDO_COMMENT} || chr(10) || {ANY_UNDO} AS text FROM cl WHERE table_name = 'wallets' UNION ALL SELECT TIMESTAMP '2999-01-01 00:00:00', 0, '-- Undo of ' || CAST(count(*) AS VARCHAR) || ' events. Read it before it runs.' || chr(10) || 'BEGIN;' FROM cl WHERE table_name = 'wallets' UNION ALL SELECT TIMESTAMP '1900-01-01 00:00:00', 0, 'COMMIT;'")
+@query(f"SELECT event_timestamp, event_id, {UNDO_COMMENT} || chr(10) || {ANY_UNDO} AS text FROM cl UNION ALL SELECT TIMESTAMP '2999-01-01 00:00:00', 0, '-- Undo of ' || CAST(count(*) AS VARCHAR) || ' events. Read it before it runs.' || chr(10) || 'BEGIN;' FROM cl UNION ALL SELECT TIMESTAMP '1900-01-01 00:00:00', 0, 'COMMIT;'")
 def undo_script(spark, sf_dir):
-    return undo.script(S.matching(accounts(spark, sf_dir), S.Search(table="wallets")), small(spark, SNAPSHOTS))
+    return undo.script(accounts(spark, sf_dir), small(spark, SNAPSHOTS))
 
 
 @query(f"SELECT event_id, {UNDO[2]} AS statement FROM cl WHERE event_type = 2 AND table_name = 'accounts' AND pk_values = '8'")
@@ -753,9 +753,9 @@ def history_csv(spark, sf_dir):
     return timetravel.history_table(row_history(spark, sf_dir))
 
 
-@query(f"SELECT event_id, '{{\"time\":\"' || strftime(event_timestamp, '%Y-%m-%dT%H:%M:%SZ') || '\",\"source\":\"log\",\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"state\":' || CASE WHEN event_type <> 3 THEN row_after ELSE 'null' END || '}}' AS text FROM co WHERE event_timestamp <= TIMESTAMP '{AT}'")
+@query(f"SELECT event_id, '{{\"time\":\"' || strftime(event_timestamp, '%Y-%m-%dT%H:%M:%SZ') || '\",\"source\":\"log\",\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"state\":' || CASE WHEN event_type <> 3 THEN row_after ELSE 'null' END || '}}' AS text FROM co WHERE event_timestamp <= TIMESTAMP '{AT}' UNION ALL SELECT 0, '{{\"time\":\"' || strftime(TIMESTAMP '{SNAPSHOT_TIME}', '%Y-%m-%dT%H:%M:%SZ') || '\",\"source\":\"baseline\",\"state\":' || row_image || '}}' FROM bl")
 def history_json(spark, sf_dir):
-    return timetravel.history_json(row_history(spark, sf_dir).filter("source = 'log'")).select("event_id", "text")
+    return timetravel.history_json(row_history(spark, sf_dir)).select("event_id", "text")
 
 
 @query(MERGED + " SELECT pk_values, k AS column_name, json_extract_string(row_image, '$.' || k) AS value FROM m, (VALUES ('o_orderkey'), ('price_cents'), ('status')) AS c(k) WHERE action NOT IN ('none', 'deleted')")
