@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import as_bytes
 from tidemark.session import remove, share_package, shared_root
 
-SHARDS = 4
+SHARDS = 3
 #: Words that a task counts at once, which bounds its memory.
-COUNTED_WORDS = 1 << 21
+COUNTED_WORDS = 1 << 20
 #: Places of the table of steps, a byte each; a larger table only saves counting.
 PLACES = 1 << 24
 NEVER = 255
