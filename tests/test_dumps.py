@@ -116,7 +116,7 @@ def test_binary_values(spark, tmp_path):
     data = [b"AB", b"", b"\x00\xff'\\\n", "é".encode(), None]
     rows = spark.createDataFrame(list(enumerate(data)), "id int, b binary")
     names = dumps.write_dump(rows, str(tmp_path / "w"), "app", "t", "CREATE TABLE `t` (`id` int, `b` blob)", "2024-01-01 00:00:00")
-    back = dumps.read_sql_dump(spark, [str(tmp_path / "w" / n) for n in names if n.endswith("0.sql")])
+    back = dumps.read_sql_dump(spark, [str(tmp_path / "w" / n) for n in names if n.endswith(".sql") and "schema" not in n])
     got = {int(r.id): r.b if r.b is None else bytes(r.b) for r in back.select(F.col("values")[0].alias("id"), dumps.binary_value(F.col("values")[1]).alias("b")).collect()}
     assert got == dict(enumerate(data))
     raw = b"INSERT INTO t VALUES (0,0x4142),(1,X'4142'),(2,_binary 'A\\'\\\\n\\0'),(3,_binary '\xff\\'\xfe'),(4,'\xff\xfe'),(5,'plain'),(6,x''),(7,NULL);\n"
