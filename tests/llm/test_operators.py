@@ -498,6 +498,27 @@ def test_html_rows(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 10])
+def test_windows_by_their_rarest_words(size):
+    """Anchors and comparing find the words and items that trying each window at each place finds."""
+    rng = random.Random(size)
+    for _ in range(300):
+        letters = [b"a", b"b", b"c", b"d", b"e", b"f"][: rng.choice([2, 3, 6])]
+        items = [(rng.choice([None, f"x{i}"]), rng.choice([None, b"", b" ".join(rng.choice(letters) for _ in range(rng.randrange(15)))])) for i in range(rng.randrange(5))]
+        doc = [rng.choice([*letters, b"zz"]) for _ in range(rng.randrange(40))]
+        marks, ids, want, found = bytearray(len(doc)), set(), bytearray(len(doc)), set()
+        decontam.Windows(items, size).hits(doc, marks, ids)
+        for item, text in items:
+            own = (text or b"").split()
+            for a in range(max(1, len(own) - size + 1)) if own else []:
+                window = own[a : a + size]
+                for p in range(len(doc) - len(window) + 1):
+                    if doc[p : p + len(window)] == window:
+                        want[p : p + len(window)] = b"\1" * len(window)
+                        found.add(item)
+        assert (marks, ids) == (want, found)
+
+
 def test_decontamination(spark, docs, sf_dir):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()] + [(900, "short Item here"), (901, None), (902, " ,. "), (None, "an item without id but with words"), (900, "short Item here")]
     rows = [(1, "This is a SHORT, item HERE and an item without id but with words.", "a"), (2, None, "a"), (3, "...", "a"), *((i + 100, t, s) for i, t, s in docs)]

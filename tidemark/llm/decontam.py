@@ -1,8 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
 Items are cut into words; each run of 10 words of an item (or the whole of a shorter item) is a window. Words become
-one character each, so that the automaton reads a document word by word, once, and finds every window. Hit words are
-mapped to character offsets of the original text.
+one character each, so that the automaton reads a document word by word, once. It holds shorter items whole, and of each
+window the ANCHOR_WORDS words in a row that are rarest among the items, with all places where these stand; where a document
+has them, the words around are compared with those of the item as far as they are equal, so that every window of a run of 10
+or more is found, and nothing else. That takes a tenth of the nodes that whole windows need. Hit words are mapped to
+character offsets of the original text.
 
 The items travel in one broadcast up to AUTOMATON_BYTES. A larger benchmark is dealt by item into parts of that size, one
 broadcast and one pass over the documents after the other: a pass writes what it finds to the shared folder and its
@@ -20,15 +23,21 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_type, as_bytes, filter_texts, id_field, map_texts, schema_of
+from tidemark.llm.common import arrow_type, as_bytes, filter_texts, id_field, map_texts, schema_of, sliding
 
 WINDOW_WORDS = 10
-#: Bytes of item text in one automaton; a window needs some 100 bytes a word in a Python worker.
-AUTOMATON_BYTES = 4 << 20
+#: Words of a window that the automaton holds.
+ANCHOR_WORDS = 3
+#: Bytes of item text in one automaton, for each of which a Python worker needs some 20 bytes.
+AUTOMATON_BYTES = 64 << 20
+#: Stands between items, beyond all characters of words.
+END = "\U0010ffff"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and turns every byte that is not part of a word into a space; bytes from 0x80 on are part of words.
 TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -45,21 +54,66 @@ class Windows:
         import ahocorasick
 
         self.character: dict[bytes, str] = {}
-        found: dict[str, set[str | None]] = {}
+        self.size = size
+        self.short: dict[str, set[str | None]] = {}
+        self.ids: list[str | None] = []
+        parts, starts, at = [], [], 0
         for item, text in items:
-            own = [self.character.setdefault(w, self.code(len(self.character))) for w in words(text)]
-            for at in range(max(1, len(own) - size + 1)) if own else []:
-                found.setdefault("".join(own[at : at + size]), set()).add(item)
-        self.automaton = ahocorasick.Automaton()
-        for window, ids in found.items():
-            self.automaton.add_word(window, (len(window), ids))
-        self.empty = not found
-        if found:
+            own = "".join([self.character.setdefault(w, self.code(len(self.character))) for w in words(text)])
+            if len(own) >= size:
+                self.ids.append(item)
+                parts.append(own)
+                starts.append(at)
+                at += len(own) + 1
+            elif own:
+                self.short.setdefault(own, set()).add(item)
+        self.text = "".join([part + END for part in parts])
+        self.starts = np.array(starts, np.int64)
+        where, self.bounds = self.anchors(min(size, ANCHOR_WORDS))
+        self.places = where
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        # A key's value is the number of its anchor, beyond them that of a short item; an anchor that is one too, its anchor's.
+        self.keys = list(self.short)
+        numbers = {key: len(self.bounds) - 1 + i for i, key in enumerate(self.keys)}
+        self.also: dict[int, str] = {}
+        width = min(size, ANCHOR_WORDS)
+        for i, place in enumerate(where[self.bounds[:-1]].tolist()):
+            key = self.text[place : place + width]
+            if key in numbers:
+                del numbers[key]
+                self.also[i] = key
+            self.automaton.add_word(key, i)
+        for key, i in numbers.items():
+            self.automaton.add_word(key, i)
+        self.empty = not len(self.automaton)
+        if not self.empty:
             self.automaton.make_automaton()
 
+    def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the anchors, those of one anchor side by side, and where each anchor's begin, with the end."""
+        x = np.frombuffer(self.text.encode("utf-32-le"), dtype=np.uint32)
+        if not len(x):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        gram = x[: len(x) - width + 1].astype(np.uint64)
+        valid = x[: len(gram)] != ord(END)
+        for i in range(1, width):
+            gram = gram << np.uint64(21) | x[i : len(gram) + i].astype(np.uint64)
+            valid &= x[i : len(gram) + i] != ord(END)
+        _, number, count = np.unique(gram, return_inverse=True, return_counts=True)
+        # The rarest first, then any order of the words alone; zero where an item ends.
+        order = np.where(valid, count[number].astype(np.uint64) << np.uint64(32) | (gram * MIX) >> np.uint64(32), np.uint64(0))
+        del gram
+        many = self.size - width + 1
+        pad = np.zeros(many - 1, np.uint64)
+        best = sliding(np.concatenate([pad, sliding(order, many, np.minimum), pad]), many, np.maximum)
+        at = np.flatnonzero((order > 0) & (best == order))
+        at = at[np.argsort(number[at], kind="stable")]
+        new = np.flatnonzero(np.concatenate([[True], np.diff(number[at]) > 0])[: len(at)])
+        return at.astype(np.uint32), np.concatenate([new, [len(at)]])
+
     @staticmethod
     def code(i: int) -> str:
-        """U+0000 stands for any word that no item has."""
+        """U+0000 stands for any word that no item has, END for the end of an item."""
         if i > 0x10F000:
             raise ValueError("too many distinct words in one automaton: lower AUTOMATON_BYTES")
         return chr(i + 1 if i + 1 < 0xD800 else i + 0x801)
@@ -69,9 +123,34 @@ class Windows:
         if self.empty or not own:
             return
         known = self.character.get
-        for end, (n, found) in self.automaton.iter("".join([known(w, "\0") for w in own])):
-            marks[end + 1 - n : end + 1] = b"\1" * n
-            ids |= found
+        text = "".join([known(w, "\0") for w in own])
+        n = len(self.bounds) - 1
+        width = min(self.size, ANCHOR_WORDS)
+        until: dict[int, int] = {}
+        for end, i in self.automaton.iter(text):
+            key = self.also.get(i) if i < n else self.keys[i - n]
+            if key is not None:
+                marks[end + 1 - len(key) : end + 1] = b"\1" * len(key)
+                ids |= self.short[key]
+            if i < n:
+                p = end + 1 - width
+                for q in self.places[self.bounds[i] : self.bounds[i + 1]].tolist():
+                    if until.get(q - p, -1) < p:  # not inside a run that was compared before
+                        until[q - p] = self.run(text, p, q, width, marks, ids)
+
+    def run(self, text: str, p: int, q: int, width: int, marks: bytearray, ids: set[str | None]) -> int:
+        """Marks the equal words around place p of a document and place q of the items if they hold a window; their end."""
+        own, a, b = self.text, p, p + width
+        shift = q - p
+        while a and a + shift and text[a - 1] == own[a - 1 + shift]:
+            a -= 1
+        last = min(len(text), len(own) - shift)
+        while b < last and text[b] == own[b + shift]:
+            b += 1
+        if b - a >= self.size:
+            marks[a:b] = b"\1" * (b - a)
+            ids.add(self.ids[int(np.searchsorted(self.starts, q, side="right")) - 1])
+        return b - width
 
 
 def dealt(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[DataFrame, int]:
