@@ -94,6 +94,23 @@ def test_effects_compose():
             assert (end, mode, depth) == (quote, place.mode, place.depth)
 
 
+@pytest.mark.parametrize("lines", [1, 2, 7])
+def test_rows_over_batches(spark, tmp_path, ranges, lines):
+    """Rows of several lines come whole, wherever Arrow's batches end."""
+    rng = random.Random(lines)
+    text, want = random_dump(rng, "\n")
+    text += "INSERT INTO t VALUES\n" + ",\n".join(f"({i},'v;\n\n(\n{i}'\n,\n1)" for i in range(50)) + ";\n"
+    want += [[str(i), f"v;\n\n(\n{i}", "1"] for i in range(50)]
+    (tmp_path / "a.b.sql").write_text(text)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(lines))
+    try:
+        for size in (100, 1 << 20):
+            ranges(size)
+            assert key(r["values"] for r in dumps.read_sql_dump(spark, str(tmp_path)).collect()) == key(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_large_files_begin_with_a_comment(spark, tmp_path, ranges):
     text = "/* a note;\n second line */\nINSERT INTO t VALUES\n" + ",\n".join(f"({i},'v;\n{i}')" for i in range(500)) + ";\n"
     (tmp_path / "a.b.sql").write_text(text)

@@ -36,10 +36,11 @@ class Place:
         self.mode, self.depth, self.moved = mode, depth, moved
 
 
-def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int, int]] | None = None, start: int = 0) -> tuple[int, int]:
-    """Reads whole lines from a quote state on; moves each place and gives (quote state, where an open row starts or -1).
-    With one place, spans gets the rows of INSERT statements; a row that was open before starts at `start`."""
-    at, row = 0, start if spans is not None and places[0].mode == ROWS and places[0].depth > 0 else -1
+def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int, int]] | None = None, start: int = 0) -> tuple[int, int | None]:
+    """Reads whole lines from a quote state on; moves each place and gives (quote state, where an open row starts or None).
+    With one place, spans gets the rows of INSERT statements; a row that was open before starts at `start`, which is below
+    zero where an earlier part of the text holds its start."""
+    at, row = 0, start if spans is not None and places[0].mode == ROWS and places[0].depth > 0 else None
     while True:
         if quote != PLAIN:
             m = _CLOSING[quote].match(text, at)
@@ -60,7 +61,7 @@ def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int,
         elif mark == b";":
             for p in places:
                 p.mode, p.depth, p.moved = BEFORE, 0, True
-            row = -1
+            row = None
         elif mark == b"(":
             for p in places:
                 p.mode = OTHER if p.mode == BEFORE else p.mode
@@ -70,9 +71,9 @@ def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int,
         elif mark == b")":
             for p in places:
                 p.depth -= 1
-            if spans is not None and places[0].mode == ROWS and places[0].depth == 0 and row >= 0:
+            if spans is not None and places[0].mode == ROWS and places[0].depth == 0 and row is not None:
                 spans.append((row, at))
-                row = -1
+                row = None
         else:
             word = mark.upper()
             for p in places:
