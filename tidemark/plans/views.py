@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import size_of
+
 #: Row changes of accounts and wallets, from `events`.
 CL_ACCOUNTS = """
 WITH raw AS (
@@ -70,11 +72,22 @@ FROM img WHERE NOT (kind = 3 AND row_before IS NULL)
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "supplier")
 
 
+#: Bytes of the tables for each partition of a shuffle; their rows are some ten times as large in the views.
+PART_BYTES = 4 << 20
+
+
+def width(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts the tables should be dealt into, so that a part doesn't grow with them."""
+    return -(-size_of(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]) // PART_BYTES)
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:
     """A statement over the driver's tables, cl, co and bl standing for the views, and frames under their names."""
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Shuffles begin with so many partitions; adaptive execution puts small ones together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(width(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     return spark.sql(with_views(sql))
