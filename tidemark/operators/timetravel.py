@@ -160,9 +160,9 @@ def state_pairs(state: DataFrame) -> DataFrame:
 
 
 def inserted_last(state: DataFrame) -> DataFrame:
-    """A state in the order of a dump: rows of the snapshot first, then new ones by key. Sorted by range, over many tasks."""
-    new = F.col("action") == "inserted"
-    return state.orderBy(new, F.when(new, F.col("pk_values")))
+    """A state in the order of a dump: rows of the snapshot first, then new ones, both by key. Sorted by range, over many
+    tasks: without the key all rows of the snapshot would be one task's."""
+    return state.orderBy(F.col("action") == "inserted", "pk_values")
 
 
 def states_at(tables: dict[str, tuple[DataFrame | None, DataFrame]], at) -> tuple[dict[str, DataFrame], dict[str, str]]:
