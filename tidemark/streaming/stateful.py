@@ -8,6 +8,7 @@ make no difference; annotated() says the same of a log at rest.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,14 +38,21 @@ def annotated(feed: DataFrame, before: int = 0) -> DataFrame:
     """A feed at rest, each event once: gtid and connection_id as they hold in its file, schema_version as the DDL before it in
     its server's log left it (`before` at first), previous_uuid and whether the server is another than before."""
     own = feed.dropDuplicates(["server_id", "binlog_file", "end_pos"])
-    place = [F.length("binlog_file"), "binlog_file", "end_pos"]
-    log = W.partitionBy("server_id").orderBy(*place)
-    file = W.partitionBy("server_id", "binlog_file").orderBy("end_pos").rowsBetween(W.unboundedPreceding, 0)
+    keys = ["server_id", "binlog_file"]
+    # What a file takes over from those before it: a row for each file, so that no task has a server's whole log.
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("end_pos")))
+    files = feed.groupBy(*keys).agg(last(sets_version()).alias("_version"), last(F.col("server_uuid")).alias("_uuid"))
+    earlier = W.partitionBy("server_id").orderBy(F.length("binlog_file"), "binlog_file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select(*[F.col(c).alias(f"_{c}") for c in keys], *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in ("_version", "_uuid")])
+    file = W.partitionBy(*keys).orderBy("end_pos")
+    so_far, behind = file.rowsBetween(W.unboundedPreceding, 0), file.rowsBetween(W.unboundedPreceding, -1)
     out = own.withColumns({
-        "schema_version": F.coalesce(F.last(sets_version(), ignorenulls=True).over(log.rowsBetween(W.unboundedPreceding, 0)), F.lit(before)),
-        "previous_uuid": F.last("server_uuid", ignorenulls=True).over(log.rowsBetween(W.unboundedPreceding, -1)),
-        "gtid": F.last("gtid", ignorenulls=True).over(file), "connection_id": F.last("connection_id", ignorenulls=True).over(file),
+        "_own_version": F.last(sets_version(), ignorenulls=True).over(so_far), "_own_uuid": F.last("server_uuid", ignorenulls=True).over(behind),
+        "gtid": F.last("gtid", ignorenulls=True).over(so_far), "connection_id": F.last("connection_id", ignorenulls=True).over(so_far),
     })
+    out = out.join(files, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), "left")
+    out = out.withColumns({"schema_version": F.coalesce("_own_version", "_version", F.lit(before)), "previous_uuid": F.coalesce("_own_uuid", "_uuid")})
+    out = out.drop("_own_version", "_own_uuid", "_version", "_uuid", *[f"_{c}" for c in keys])
     return out.withColumn("replaced", F.coalesce(F.col("server_uuid") != F.col("previous_uuid"), F.lit(False)))
 
 
