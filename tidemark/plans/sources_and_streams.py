@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import normalise, timetravel, undo
 from tidemark.operators import search as S
 from tidemark.plans.registry import COLS, FEED, IMAGE, LISTED, SNAPSHOT_TIME, SNAPSHOTS, query, shared_folder, small
-from tidemark.plans.views import accounts, orders_baseline, orders_log, run, with_views
+from tidemark.plans.views import accounts, orders_baseline, orders_log, run, width, with_views
+from tidemark.session import checkpointed
 from tidemark.sources import archive, dumps
 
 
@@ -186,7 +187,7 @@ def ladder_states(spark, sf_dir):
 
     from tidemark.operators.ladder import Ladder
 
-    log = orders_log(spark, sf_dir)
+    log = checkpointed(orders_log(spark, sf_dir))  # a log that lies there, as all climbs and states read it
     ladder = Ladder(spark, shared_folder(spark))
     ladder.start(orders_baseline(spark, sf_dir), SNAPSHOT_TIME)
     for month in (2, 3, 4, 5, 7):
