@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expressions as X
 from tidemark.operators import coverage, gtid, identity, normalise, policy, retention, timetravel, undo
 from tidemark.operators import search as S
-from tidemark.plans.views import accounts, orders_baseline, orders_log, run, with_views
+from tidemark.plans.views import accounts, orders_baseline, orders_log, run, width, with_views
 from tidemark.session import shared_root
 from tidemark.sources import archive, baseline, dumps
 
@@ -700,9 +700,10 @@ def stream_split_sinks(spark, sf_dir):
 
     root = shared_folder(spark)
     log = accounts(spark, sf_dir)
-    log.repartition(4, "event_id").write.parquet(f"{root}/in")
+    files = max(4, width(spark, sf_dir))
+    log.repartition(files, "event_id").write.parquet(f"{root}/in")
     write = ingest.split_sinks("s1", f"{root}/metadata", f"{root}/payload")
-    feed = ingest.read_feed(spark, f"{root}/in", log.schema, 2)
+    feed = ingest.read_feed(spark, f"{root}/in", log.schema, -(-files // 2))
     feed.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     full = spark.read.parquet(f"{root}/payload").select("event_id", "pk_values", "row_before", "row_after", "schema_table")
     return spark.read.parquet(f"{root}/metadata").select("event_id", "pk_hash").join(full, "event_id")
@@ -829,14 +830,15 @@ def stream_route(spark, sf_dir):
     root = shared_folder(spark)
     kind = F.when(F.col("event_id") % 10 == 0, 4).when(F.col("event_id") % 10 == 1, 5).otherwise(F.col("event_type"))
     log = accounts(spark, sf_dir).withColumn("event_type", kind)
-    log.repartition(4, "event_id").write.parquet(f"{root}/in")
+    files = max(4, width(spark, sf_dir))
+    log.repartition(files, "event_id").write.parquet(f"{root}/in")
     write = ingest.route(f"{root}/log", f"{root}/ddl")
 
     def twice(batch, number):
         write(batch, number)
         write(batch, number)
 
-    ingest.read_feed(spark, f"{root}/in", log.schema, 2).writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    ingest.read_feed(spark, f"{root}/in", log.schema, -(-files // 2)).writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     own = [spark.read.parquet(f"{root}/{sink}").select("event_id", F.lit(sink).alias("sink")) for sink in ("log", "ddl")]
     return own[0].unionByName(own[1])
 
