@@ -144,9 +144,10 @@ def stream_buffer(spark, sf_dir):
 
     root = shared_folder(spark)
     log = accounts(spark, sf_dir).select(*COLS, (100 + F.col("event_id") % 50).alias("size"))
-    log.repartition(6, F.col("event_id") % 6).write.parquet(f"{root}/in")
+    files = max(6, width(spark, sf_dir))
+    log.repartition(files, "event_id").write.parquet(f"{root}/in")
     buffer = stateful.Buffer(f"{root}/buffer", "12 days", 900, 60000)
-    ingest.read_feed(spark, f"{root}/in", log.schema, 2).writeStream.foreachBatch(buffer).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    ingest.read_feed(spark, f"{root}/in", log.schema, files // 3).writeStream.foreachBatch(buffer).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return buffer.read(spark, log.schema).select(COLS)
 
 
