@@ -91,6 +91,10 @@ def dump_ranges_read(spark, sf_dir):
     cell = lambda i: F.col("values")[i]
     return read.select(cell(0).alias("o_orderkey"), cell(1).alias("status"), cell(2).alias("called"), dumps.binary_value(cell(3)).cast("string").alias("bin"))
 
+#: Events of a batch of the streams with state, which a few servers share.
+BATCH_EVENTS = 1_000_000
+
+
 
 #: A feed as a server sends it: transaction records, DDL with the schema version that follows, and rows.
 CONTROLLED = """SELECT event_id, concat('s', CAST(user_id % 3 AS VARCHAR(9))) AS server_id, CASE WHEN event_id % 7 = 0 THEN concat('uuid', CAST(CAST(floor(event_id / 400) AS BIGINT) AS VARCHAR(9))) END AS server_uuid,
@@ -108,10 +112,14 @@ def controlled_feed(spark, sf_dir):
     return run(spark, sf_dir, CONTROLLED).withColumns({"epoch": F.unix_timestamp("ts"), "schema_name": F.lit("app"), "table_name": F.when(F.col("event_type") == 1, "accounts"), "rows": F.when(F.col("event_type") == 1, rows)}).drop("ts", "kind", "user_id")
 
 
-def in_parts(feed, root: str, parts: int = 3):
-    """Folders that each hold a stretch of the feed in its order, the last events of each again in the next as a replay."""
-    n = feed.agg(F.max("event_id")).first()[0] // parts + 1
-    for i in range(parts):
+def in_parts(feed, root: str, runs: int = 3):
+    """Folders of three files that each hold a stretch of the feed in its order, the last events of each again in the next as
+    a replay. They hold no more events than BATCH_EVENTS, so that their number grows with the feed; a part of them is
+    there when each run may begin."""
+    last = feed.agg(F.max("event_id")).first()[0]
+    each = max(1, -(-(last + 1) // (runs * BATCH_EVENTS)))
+    n = last // (runs * each) + 1
+    for i in range(runs * each):
         feed.filter((F.col("event_id") >= i * n - 20) & (F.col("event_id") < (i + 1) * n)).repartition(3).write.parquet(f"{root}/part-{i}")
         yield f"{root}/part-{i}"
 
@@ -125,7 +133,7 @@ def stream_normalise(spark, sf_dir):
     feed = controlled_feed(spark, sf_dir)
     write = stateful.normalising(lambda s: small(s, TYPED_SNAPSHOTS), f"{root}/log", f"{root}/ddl", f"{root}/rejected")
     for _ in in_parts(feed, f"{root}/in"):
-        stream = stateful.annotated_stream(ingest.read_feed(spark, f"{root}/in/*", feed.schema), 1)
+        stream = stateful.annotated_stream(ingest.read_feed(spark, f"{root}/in/*", feed.schema, 3), 1)  # files come by their times, a folder in each batch
         stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/log").select("event_id", "server_id", "gtid", "connection_id", "schema_version", "row_after", "pk_values")
 
