@@ -111,6 +111,21 @@ def test_rows_over_batches(spark, tmp_path, ranges, lines):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_skeletons_move_as_readers_do():
+    """The effects from skeletons are those of reading mark by mark, from any start, and rows are found alike."""
+    rng = random.Random(5)
+    for _ in range(150):
+        lines = [x + b"\n" for x in random_dump(rng, rng.choice(["\n", "\r\n"]))[0].encode().split(b"\n")]
+        a = rng.randrange(len(lines))
+        text = b"".join(lines[a : a + rng.randrange(1, 12)])
+        for quote in dumps.QUOTES:
+            want, got = ([dumps.Place(m) for m in dumps.MODES] for _ in range(2))
+            end, _ = dumps.advance(text, quote, want)
+            bones, own = dumps.skeleton(text, quote)
+            dumps.moved(bones, got)
+            assert own == end and [(p.mode, p.depth, p.moved) for p in got] == [(p.mode, p.depth, p.moved) for p in want], (text, quote)
+
+
 def test_large_files_begin_with_a_comment(spark, tmp_path, ranges):
     text = "/* a note;\n second line */\nINSERT INTO t VALUES\n" + ",\n".join(f"({i},'v;\n{i}')" for i in range(500)) + ";\n"
     (tmp_path / "a.b.sql").write_text(text)

@@ -15,6 +15,8 @@ from tidemark.session import share_package
 # Escapes inside quotes.
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"0": b"\0", b"b": b"\b", b"Z": b"\x1a"}
 
+#: Tasks for each core that the ranges are dealt to, at most.
+TASKS_A_CORE = 8
 #: What a line can begin in: nothing special, a quoted text, a quoted name, a comment over several lines.
 PLAIN, SINGLE, DOUBLE, NAME, COMMENT = QUOTES = range(5)
 #: Where in a statement: before it, in one that holds no rows, in an INSERT before its VALUES, among its rows.
@@ -25,6 +27,14 @@ _MARK = rb"'|\"|`|/\*|(?:--[ \t\r]|--(?=\n)|#)[^\n]*|[();]"
 _MARKS = re.compile(_MARK)
 _WORDS = re.compile(_MARK + rb"|[A-Za-z_][A-Za-z_0-9]*|[^\s]")
 
+_SINGLE, _DOUBLE, _BACK = (rb"'(?:[^'\\]++|\\.|'')*+'", rb"\"(?:[^\"\\]++|\\.|\"\")*+\"", rb"`(?:[^`]++|``)*+`")
+_IN_ROW = rb"[^'\"`()/#;-]++|" + b"|".join((_SINGLE, _DOUBLE, _BACK)) + rb"|/\*.*?\*/|(?:--[ \t\r]|--(?=\n)|#)[^\n]*|-|/(?!\*)"
+#: A row whose parentheses are nested once at most and that is whole; others are read mark by mark.
+_ROW = re.compile(rb"\((?:" + _IN_ROW + rb"|\((?:" + _IN_ROW + rb")*+\))*+\)", re.S)
+#: What hides marks, and the marks that stay of it: of a quote its ends, of a comment only the begin of one that isn't closed.
+_HIDDEN = re.compile(rb"(')(?:[^'\\]++|\\.|'')*+('?)|(\")(?:[^\"\\]++|\\.|\"\")*+(\"?)|(`)(?:[^`]++|``)*+(`?)|/\*.*?\*/|(/\*).*\Z|(?:--[ \t\r]|--(?=\n)|#)[^\n]*", re.S)
+_BONES = re.compile(rb"[();]|[A-Za-z_][A-Za-z_0-9]*|[^\s();A-Za-z_]+")
+
 
 class Place:
     """Where a reader is in a statement. depth counts parentheses; moved says that a statement began or the rows of one, so
@@ -47,7 +57,8 @@ def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int,
             if m is None:
                 return quote, row
             at, quote = m.end(), PLAIN
-        m = (_MARKS if all(p.mode in (OTHER, ROWS) for p in places) else _WORDS).search(text, at)
+        plain = places[0].mode in (OTHER, ROWS) if spans is not None else all(p.mode in (OTHER, ROWS) for p in places)
+        m = (_MARKS if plain else _WORDS).search(text, at)
         if m is None:
             return quote, row
         mark, at = m[0], m.end()
@@ -63,6 +74,10 @@ def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int,
                 p.mode, p.depth, p.moved = BEFORE, 0, True
             row = None
         elif mark == b"(":
+            if spans is not None and places[0].mode == ROWS and places[0].depth == 0 and (whole := _ROW.match(text, m.start())):
+                spans.append(whole.span())
+                at = whole.end()
+                continue
             for p in places:
                 p.mode = OTHER if p.mode == BEFORE else p.mode
                 p.depth += 1
@@ -83,12 +98,53 @@ def advance(text: bytes, quote: int, places: list[Place], spans: list[tuple[int,
                     p.mode, p.depth, p.moved = ROWS, 0, True
 
 
+def skeleton(text: bytes, quote: int) -> tuple[bytes, int]:
+    """Whole lines from a quote state on without what quotes and comments hold, and the quote state after them."""
+    at = 0
+    if quote != PLAIN:
+        m = _CLOSING[quote].match(text)
+        if m is None:
+            return b"", quote
+        at = m.end()
+    bones = _HIDDEN.sub(rb" \1\2\3\4\5\6\7", text[at:])
+    if not bones or bones.endswith(b"\n"):
+        return bones, PLAIN
+    return (bones[:-2], COMMENT) if bones.endswith(b"/*") else (bones, _OPENING[bones[-1:]])
+
+
+def moved(bones: bytes, places: list[Place]) -> None:
+    """Moves places as advance() does. What stands before the last end of a statement no longer matters after it, and where
+    words no longer matter parentheses are only counted."""
+    last = bones.rfind(b";")
+    if last >= 0:
+        one = Place(BEFORE, 0, True)
+        moved(bones[last + 1 :], [one])
+        for p in places:
+            p.mode, p.depth, p.moved = one.mode, one.depth, True
+        return
+    for p in places:
+        at = 0
+        while p.mode not in (OTHER, ROWS) and (m := _BONES.search(bones, at)):
+            mark, at = m[0], m.end()
+            if p.mode == BEFORE and mark != b")":
+                p.mode = HEAD if mark.upper() == b"INSERT" else OTHER
+            elif p.mode == HEAD and mark.upper() == b"VALUES":
+                p.mode, p.depth, p.moved = ROWS, 0, True
+            p.depth += (mark == b"(") - (mark == b")")
+        p.depth += bones.count(b"(", at) - bones.count(b")", at)
+
+
 def unquoted(text: bytes, mark: bytes) -> bytes:
     """What stands between two marks; of a mark only its own kind is doubled."""
+    if b"\\" not in text and mark not in text:
+        return text
     return re.sub(rb"\\(.)|" + mark * 2, lambda e: _ESCAPES.get(e[1], e[1]) if e[1] is not None else mark, text, flags=re.S)
 
 
 _CELL = re.compile(rb"'((?:[^'\\]++|\\.|'')*+)'|\"((?:[^\"\\]++|\\.|\"\")*+)\"|`(?:[^`]++|``)*+`|(?:/\*.*?\*/|(?:--(?=[ \t\r\n])|#)[^\n]*)|[(),]|[^'\"`/(),#-]++|[/-]", re.S)
+_TEXT = rb"[^'\"`(),/#-]"
+#: A value without comments: a quoted text, a word, number or call of one plain argument, or a text with an introducer.
+_VALUE = re.compile(rb"\s*+(?:'((?:[^'\\]++|\\.|'')*+)'|(-?" + _TEXT + rb"++(?:\(" + _TEXT + rb"*+\)" + _TEXT + rb"*+)?|[A-Za-z0-9_]++\s*+" + _SINGLE + rb"))\s*+([,)])", re.S)
 _INTRODUCED = re.compile(rb"_[A-Za-z0-9]+\s*'(.*)'", re.S)
 
 
@@ -96,6 +152,17 @@ def cells(row: bytes) -> list[str | None]:
     """The values of (a, b, ...): a quoted text without its quotes, NULL as None, and any other expression as it is written,
     such as 0x4142, X'4142', _binary 'ab' or a call; binary_value() reads those. A text that isn't UTF-8 becomes 0x...."""
     out: list[str | None] = []
+    at = 1
+    while m := _VALUE.match(row, at):  # rows of plain values, as nearly all are; others are read mark by mark
+        at, raw = m.end(), m[2]
+        value = unquoted(m[1], b"'") if raw is None else raw.strip()
+        try:
+            out.append(None if raw is not None and value.upper() == b"NULL" else value.decode())
+        except UnicodeDecodeError:
+            break
+        if m[3] == b")":
+            return out
+    out = []
     depth, parts, written = 0, [], []
 
     def end() -> None:
@@ -165,7 +232,10 @@ def _effects(batches) -> Iterator:
             if held is not None:
                 yield finish()
             held, states = key, {q: (q, [Place(m) for m in MODES]) for q in QUOTES}
-        states = {q: (advance(text, now, places)[0], places) for q, (now, places) in states.items()}
+        bones = {now: skeleton(text, now) for now in {now for now, _ in states.values()}}
+        for now, places in states.values():
+            moved(bones[now][0], places)
+        states = {q: (bones[now][1], places) for q, (now, places) in states.items()}
     if held is not None:
         yield finish()
 
@@ -284,6 +354,8 @@ def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     share_package(spark)
     meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_block_length", "length"), ("file_size", "size"))]
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), *meta)
+    # A task reads one range after the other; more tasks than this would only cost their start.
+    lines = lines.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
     def several(batches):
         import pyarrow.compute as pc
