@@ -106,8 +106,8 @@ class Rotation:
             planned = [r.file for r in files.join(small, "hour").select("file").distinct().toLocalIterator()]
             own = self.spark.read.schema(stored.schema).option("basePath", self.live).parquet(*planned)
             both = own.select(*archive.columns(own)).unionByName(self.archived().select(*archive.columns(self.archived())))
-            both = both.withColumn("hour", hour).join(small, "hour", "left_semi").drop("hour").dropDuplicates(["event_id"])
-            archive.write_archive(both, f"{self.work}/data", self.server_id)
+            both = both.withColumn("hour", hour).join(small, "hour", "left_semi").drop("hour")
+            archive.write_archive(both, f"{self.work}/data", self.server_id, once=True)
             reached("archived")
             whole = archive.read_archive(self.spark, f"{self.work}/data").groupBy(hour.alias("hour")).agg(F.count("*").alias("row_count"))
             want = own.select("event_id", "event_timestamp").unionByName(self.archived().select("event_id", "event_timestamp")).withColumn("hour", hour).join(small, "hour", "left_semi").groupBy("hour").agg(F.countDistinct("event_id").alias("wanted"))

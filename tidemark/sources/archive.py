@@ -31,14 +31,16 @@ def columns(log: DataFrame) -> list[Column]:
     return [F.col(f.name).cast(f.dataType) if f.name in log.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGELOG.fields]
 
 
-def write_archive(log: DataFrame, root: str, server_id: str | None = None, codec: str = "zstd", rows_per_file: int = 0, by_key: bool = False, group_bytes: int = 8 << 20) -> None:
+def write_archive(log: DataFrame, root: str, server_id: str | None = None, codec: str = "zstd", rows_per_file: int = 0, by_key: bool = False, group_bytes: int = 8 << 20, once: bool = False) -> None:
     """Hours of a log as partitions, each file in order of event_id; hours that are there already are replaced. An hour
     is spread over tasks by its rows, so a hot hour is many files. With by_key files are in order of the row's key instead, in
-    small row groups with bloom filters of keys, so that a search for a few keys skips nearly all of an hour."""
+    small row groups with bloom filters of keys, so that a search for a few keys skips nearly all of an hour. once: of events
+    of an hour with one id one stays; they meet in the exchange that spreads the hour."""
     own = log if server_id is None else log.withColumn("server_id", F.lit(server_id))
     own = own.withColumns({"event_date": F.to_date("event_timestamp"), "event_hour": F.hour("event_timestamp")})
     order = ["pk_values", "event_id"] if by_key else ["event_id"]
-    spread = own.select(*columns(own), *PARTITIONS).repartitionByRange(*PARTITIONS, *order).sortWithinPartitions(*PARTITIONS, *order)
+    spread = own.select(*columns(own), *PARTITIONS).repartitionByRange(*PARTITIONS, *order)
+    spread = (spread.dropDuplicates([*PARTITIONS, *order]) if once else spread).sortWithinPartitions(*PARTITIONS, *order)
     writer = spread.write.partitionBy(*PARTITIONS).option("compression", codec).option("partitionOverwriteMode", "dynamic").mode("overwrite")
     if by_key:
         writer = writer.option("parquet.bloom.filter.enabled#pk_values", "true").option("parquet.block.size", str(group_bytes)).option("parquet.bloom.filter.adaptive.enabled", "true")
