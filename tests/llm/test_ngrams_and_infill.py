@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import infill, ngram_join, phrases
@@ -78,6 +79,27 @@ def test_phrases_are_activated_late_and_counted_for_a_cycle():
     assert of(3) == [] and of(8) == [] and all(of(s) == [([b"new york", b"york new"], 2, [4, 4], [2, 1])] for s in (4, 7))
 
 
+def test_phrases_carry_no_marks_between_steps():
+    """Rows between steps have no mark; of phrases that reached the threshold it is found again, as counted() has it."""
+    assert "mark" not in phrases.ROWS
+    table = np.zeros(1 << 10, np.uint8)
+    for lang in ("en", "und"):
+        for phrase, n, _, mark, _ in phrases.counted([b"New York\xc3\xa9 new york. York a\x1cb new york\t york", b"x"], lang, 1, 4, 3, table):
+            if n:
+                rows = pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase.cast(pa.string()), pa.array([n] * len(phrase), pa.int32())], names=["lang", "phrase", "words"])
+                assert [m for out in phrases.mark_rows([rows]) for m in out.column(0).to_pylist()] == mark.view(np.int64).tolist()
+
+
+def test_words_end_at_ascii_space_only():
+    rng = random.Random(3)
+    letters = [*map(chr, range(128)), "\u00e9", "\u65e5", "\u00a0", "\u2028", "\u0085", " ", ". "]
+    for _ in range(2000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(40))).encode()
+        names, x = phrases.words_of(text)
+        words = [names[i].as_py() for i in x.tolist()]
+        assert words[0] == b"." and words[1:] == text.lower().translate(phrases.TO_STOP).replace(b".", b" . ").split()
+
+
 def test_phrases_scores_are_exact(spark):
     """Products beyond 64 bits."""
     rows = [(1, "p q " * 300_000, "en"), (2, "p q", "en")]

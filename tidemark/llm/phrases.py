@@ -42,24 +42,23 @@ NEVER = 255
 # What ends a piece. All become a full stop, which stands between words as one of its own.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 TO_STOP = bytes.maketrans(STOPS, b"." * len(STOPS))
-ROWS = "lang string, phrase string, words int, since int, mark long, count long"
+ROWS = "lang string, phrase string, words int, since int, count long"
+#: Bytes of a row group of the files between steps; a task writes one for each shard at once.
+GROUP_BYTES = 1 << 25
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, b"." where a piece ends. bytes.lower and bytes.split know ASCII only."""
-    return text.lower().translate(TO_STOP).replace(b".", b" . ").split()
+def words_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words, number of each word) of a text, "." where a piece ends; it comes first and is 0. bytes.lower and the
+    split know ASCII only."""
+    spaced = (b". " + text.lower().translate(TO_STOP).replace(b".", b" . ")).rstrip()
+    words = pc.ascii_split_whitespace(pa.array([spaced], pa.large_binary()).view(pa.large_string())).values.dictionary_encode()
+    return words.dictionary.cast(pa.binary()), words.indices.to_numpy().astype(np.int64)
 
 
-class Codes(dict):
-    """Numbers words as they come; the stop is 0."""
-
-    def __init__(self):
-        super().__init__({b".": 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
+def word_marks(lang: str, words: pa.Array) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_numpy(zero_copy_only=False)], dtype=np.uint64)
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -82,15 +81,13 @@ def reached(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def counted(texts: list[bytes], lang: str, step: int, shards: int, longest: int, table: np.ndarray) -> Iterator[tuple]:
     """(phrase, words, since, mark, count) arrays of the phrases that are active at this step; words 0 is the number of words."""
-    codes = Codes()
-    x = np.fromiter(map(codes.__getitem__, words_of(b".".join(texts))), dtype=np.int64)
-    names = pa.array(list(codes), pa.binary())
-    marks = np.array([xxhash.xxh64_intdigest(w, seed=xxhash.xxh32_intdigest(lang)) for w in codes], dtype=np.uint64)
-    size, own = len(codes), marks[x]
+    names, x = words_of(b".".join(texts))
+    marks = word_marks(lang, names)
+    size, own = len(names), marks[x]
     key, valid, since = x, x > 0, np.zeros(len(x), np.int32)
     for n in range(1, longest + 1):
         if n > 1:
-            step_of = reached(table, own)
+            step_of = reached(table, marks)[x] if n == 2 else reached(table, own)
             since = np.maximum(step_of[:-1], step_of[1:]) + 1
             valid = valid[:-1] & (x[n - 1 :] > 0)
             if len(key) and (int(key.max()) + 1) * size >= 1 << 63:
@@ -112,9 +109,9 @@ def count_step(df: DataFrame, step: int, shards: int, longest: int, table) -> Da
 
     def batches_of(held: dict[str, list[bytes]]):
         for lang, texts in held.items():
-            for phrase, n, since, mark, count in counted(texts, lang, step, shards, longest, table.value):
+            for phrase, n, since, _, count in counted(texts, lang, step, shards, longest, table.value):
                 rows = len(phrase)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows), phrase.cast(pa.string()), pa.array(np.full(rows, n, np.int32)), pa.array(since.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "words", "since", "mark", "count"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, rows), phrase.view(pa.string()), pa.array(np.full(rows, n, np.int32)), pa.array(since.astype(np.int32)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "words", "since", "count"])
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
@@ -132,6 +129,17 @@ def count_step(df: DataFrame, step: int, shards: int, longest: int, table) -> Da
     return df.mapInArrow(run, ROWS)
 
 
+def mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, words) to the marks that counted() gives the phrases."""
+    for batch in batches:
+        for (lang, n), own in batch.to_pandas().groupby(["lang", "words"])["phrase"]:
+            words = pc.split_pattern(pa.array(own, pa.string()), " ").values.dictionary_encode()
+            first, *rest = word_marks(lang, words.dictionary.cast(pa.binary()))[words.indices.to_numpy()].reshape(-1, n).T
+            for mark in rest:
+                first = mixed(first, mark)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64))], names=["mark"])
+
+
 def mark_table(found: DataFrame, table: np.ndarray, step: int) -> int:
     """Marks the places of found (mark long) with the step; the phrases' number. Bits of places are united by block of 32768
     on the executors, so that the driver gets one bit a place at most."""
@@ -158,29 +166,35 @@ def count_phrases(df: DataFrame, min_count: int = 10, longest: int = 3, shards:
         raise ValueError("shards times words must be below 255")
     root = f"{shared_root(spark)}/phrases-{uuid.uuid4().hex}"
     dealt = df.select(F.coalesce(F.col(lang_col), F.lit("und")).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    dealt.write.partitionBy("shard").parquet(f"{root}/shards")
+    # Files between steps are written as the rows come: some files are open at once instead of a sort.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    usual = spark.conf.get(writers, None)
+    spark.conf.set(writers, str(max(2, shards)))
+    write = lambda rows, by, to: rows.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).partitionBy(by).parquet(f"{root}/{to}")
+    write(dealt, "shard", "shards")
     corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{root}/shards")
     table = np.full(size, NEVER, np.uint8)
     counts = lambda: spark.read.schema(ROWS + ", step int, long boolean").parquet(f"{root}/counted")
     sums = lambda: spark.read.schema(ROWS + ", before long, step int, complete boolean").parquet(f"{root}/sums")
-    columns = ["lang", "phrase", "words", "since", "mark"]
+    columns = ["lang", "phrase", "words", "since"]
     pending, step, until = spark.createDataFrame([], ROWS), 0, shards
     while step < until:
         sent = spark.sparkContext.broadcast(table)
         own = count_step(corpus.filter(F.col("shard") == step % shards).select("lang", "text"), step, shards, longest, sent)
-        own.withColumn("long", F.col("words") == longest).write.partitionBy("long").parquet(f"{root}/counted/step={step}")
+        write(own.withColumn("long", F.col("words") == longest), "long", f"counted/step={step}")
         sent.destroy()
         new = counts().filter((F.col("step") == step) & ~F.col("long")).select(*columns, "count", F.lit(0).cast("long").alias("before"))
         both = new.unionByName(pending.select(*columns, "count", F.col("count").alias("before"))).groupBy(*columns).agg(F.sum("count").alias("count"), F.sum("before").alias("before"))
         both = both.withColumn("complete", F.lit(step) >= F.col("since") + (shards - 1)).filter((F.col("count") >= min_count) | ~F.col("complete") | (F.col("words") == 0))
-        both.write.partitionBy("complete").parquet(f"{root}/sums/step={step}")
+        write(both, "complete", f"sums/step={step}")
         state = sums().filter(F.col("step") == step)
-        if mark_table(state.filter((F.col("words") > 0) & (F.col("count") >= min_count) & (F.col("before") < min_count)), table, step):
+        if mark_table(state.filter((F.col("words") > 0) & (F.col("count") >= min_count) & (F.col("before") < min_count)).select("lang", "phrase", "words").mapInArrow(mark_rows, "mark long"), table, step):
             until = step + 1 + shards
         pending = state.filter("NOT complete")
         remove(spark, f"{root}/sums/step={step - 1}/complete=false")
         remove(spark, f"{root}/counted/step={step}/long=false")
         step += 1
+    spark.conf.set(writers, usual) if usual is not None else spark.conf.unset(writers)
     remove(spark, f"{root}/shards")
     short = sums().filter("complete")
     last = counts().filter("long").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count")).filter(F.col("count") >= min_count)
