@@ -270,6 +270,23 @@ def test_passages_whose_parts_stand_singly(spark):
     assert {(r.doc_id, (r.first_doc_id, r.word_start, r.word_end)) for r in out} == set(want.items())
 
 
+def test_every_passage_of_changed_lines_that_stand_singly(spark):
+    """A changed passage whose seeds all stand in documents before its first holder, and between, is met with every=True; all that the star finds is, too."""
+    rng = random.Random(41)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for trial in range(12):
+        lines = [words(12) for _ in range(6)]
+        alone = lambda: [words(20) + line[:11] + words(20) for line in lines]
+        changed = [w for line in lines for w in line[:11] + words(1)]
+        texts = [*alone(), words(9) + [w for line in lines for w in line] + words(9), *alone(), words(7) + changed + words(30)]
+        rows += [(100 * trial + i, " ".join(text), "a") for i, text in enumerate(texts)]
+        want.add((100 * trial + 13, 100 * trial + 6))
+    pairs = lambda **how: {(r.doc_id, r.first_doc_id) for r in chain_dedup.passages(frame(spark, rows), **how).collect()}
+    star = pairs()
+    assert star <= pairs(every=True) == want
+
+
 @pytest.mark.parametrize(("span", "many"), [(40, 12), (300, 25), (300, 120), (2000, 150)])
 def test_chains_are_the_best(span, many):
     """Against all pairs of matches, gaps over the limit among them."""
