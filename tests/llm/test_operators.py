@@ -415,6 +415,13 @@ def test_simhash_rows_without_an_id(spark, monkeypatch):
     assert kept[0] == kept[1] and Counter(r[0] for r in kept[0].elements()) == Counter({None: 3, 5: 1, 7: 1})
 
 
+def test_simhash_variants_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63), i) for i in range(500)], "fp long, rep long").groupBy("fp").agg({"rep": "min"}).withColumnRenamed("min(rep)", "rep")
+    found = simhash.links(df)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_all_up_to_three_bits(spark):
     rng = random.Random(4)
     prints = {}

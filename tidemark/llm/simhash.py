@@ -81,7 +81,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     differing = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     low = F.bit_count(differing.bitwiseAND(F.lit((1 << SEGMENT) - 1)))
     once = (F.col("variant") <= SEGMENT) | (low > 1)
-    found = left.join(right, (left["key"] == right["key"]) & (F.bit_count(differing) <= max_bits) & once & (~F.col("exact") | (F.col("fp_a") < F.col("fp_b"))))
+    # Spark sizes the variants as if there were one a fingerprint: unasked, it would broadcast all of them.
+    found = left.join(right.hint("merge"), (left["key"] == right["key"]) & (F.bit_count(differing) <= max_bits) & once & (~F.col("exact") | (F.col("fp_a") < F.col("fp_b"))))
     return found.select("a", "b")
 
 
