@@ -393,6 +393,30 @@ def brute_components(nodes, linked):
     return {n: root(n) for n in nodes}
 
 
+def test_suffix_dedup_sends_no_short_blobs(spark, docs, monkeypatch):
+    import numpy as np
+
+    # The blobs between chunks and buckets number by the text, not by the partitions squared, and texts travel compressed.
+    asked = []
+    monkeypatch.setattr(suffix_dedup, "send_runs", lambda n, real=suffix_dedup.send_runs: asked.append(n) or real(n))
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        out = suffix_dedup.dedup_substrings(frame(spark, docs[:20]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert asked == [64] and "squeeze" in out._jdf.queryExecution().optimizedPlan().toString()
+    keys = np.sort(np.frombuffer(random.Random(3).randbytes(500 * suffix_dedup.KEY), np.uint8).reshape(-1, suffix_dedup.KEY) % 3, axis=0)
+    keys[:, -2:] = [[1 + i % 20, 21 + i % 10] for i in range(len(keys))]
+    keys[:, :-2][~suffix_dedup.within(keys[:, -2:])] = 0
+    keys = keys[suffix_dedup.distinct_keys(keys)[0]]
+    shared, places, sent = (x.copy() for x in suffix_dedup.unpack(suffix_dedup.pack(*suffix_dedup.run_of(keys)), "u1", "u1", "u1"))
+    for got, want in zip((shared, suffix_dedup.rests(shared, places, sent)), suffix_dedup.front_code(keys), strict=True):
+        assert (got == want).all()
+    numbers = np.sort(np.random.default_rng(2).integers(0, 1 << 32, 5000, dtype=np.uint32))
+    assert (np.cumsum(suffix_dedup.unpack(suffix_dedup.pack(suffix_dedup.steps(numbers)), "<u4")[0], dtype=np.uint32) == numbers).all()
+    assert len(suffix_dedup.pack(suffix_dedup.steps(numbers))) < 3.2 * len(numbers)
+
+
 def test_simhash(spark, mixed):
     short = [(i, (t or "")[:3000] if t is not None else t, s) for i, t, s in mixed if i is not None]
     prints = {i: brute_fingerprint(t) for i, t, _ in short}

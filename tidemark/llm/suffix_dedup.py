@@ -16,15 +16,22 @@ decided at its own anchor. The steps:
 
 An anchor that stands in over HOT_DOCUMENTS documents, such as one at the rim of a passage that a third of all documents
 hold, is sent window by window, dealt by the windows' own bytes, so that no bucket gathers it. The chunks' texts are
-shuffled once; steps 1, 3 and 5 read the same exchange. The number of chunks follows the bytes of text, so a task holds
+compressed row by row and shuffled once; steps 1, 3 and 5 read the same exchange. The number of chunks follows the bytes of text, so a task holds
 about CHUNK_BYTES and what one document has beyond. Nothing but that number passes through the driver.
 
+Between chunks and buckets blobs travel, compressed by planes of bytes: sorted numbers go as their steps, and of a key only
+the bytes within its windows' reach. Their number, that of the chunks times that of the buckets, follows the bytes of text
+and not the partitions, so that they don't become too short to compress.
+
 Null text counts as empty. Rows with the same id never remove from each other; a null id neither loses bytes nor costs
 others any. Repeated rows get a result each; extra columns are not returned.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +44,11 @@ KMER = 20
 WINDOWS = WIDTH - KMER + 1  # k-mers in a window; also the places an anchor can have in one
 KEY = WIDTH + KMER + WINDOWS - 1 - KMER + 2  # right context, left context, first and last place
 HOT_DOCUMENTS = 1000
-#: Most bytes of text in a chunk, on average, and chunks for each shuffle partition at least, so that partitions come out
-#: even. There is a bucket for SPREAD chunks.
-CHUNK_BYTES, SPREAD = 16 << 20, 4
+#: Most bytes of text in a chunk, on average; there is a bucket for SPREAD chunks. Less text has a bucket for each shuffle
+#: partition, LEAST_BUCKETS at most.
+CHUNK_BYTES, SPREAD, LEAST_BUCKETS = 8 << 20, 4, 64
+#: Levels of zstd: of texts and blobs, and of runs, which are most of what is sent.
+LEVEL, RUN_LEVEL = 1, 6
 
 _RANDOM = np.random.default_rng(50)
 _BYTE = _RANDOM.integers(1, 1 << 32, 256, dtype=np.uint32)
@@ -48,10 +57,12 @@ _PLACES = _RANDOM.integers(0, 1 << 62, KEY, dtype=np.uint64) * np.uint64(2) + np
 
 
 class Chunk:
-    """The documents of a chunk, in order of id and text, as one buffer; those without an id come last."""
+    """The documents of a chunk, in order of id and text, as one buffer; those without an id come last. Text is a string, or
+    squeezed bytes."""
 
     def __init__(self, table: pa.Table):
-        ids, texts = table.column("id").to_pylist(), as_bytes(table.column("text"))
+        ids, text = table.column("id").to_pylist(), table.column("text")
+        texts = [unzstd(t) for t in text.to_pylist()] if pa.types.is_binary(text.type) else as_bytes(text)
         rows = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in rows]
         self.texts = [t for _, t in rows]
@@ -132,21 +143,47 @@ def short(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def zstd(data: bytes, level: int = LEVEL) -> bytes:
+    """Compressed, behind four bytes that tell the size; UNPACKED instead, if that is shorter."""
+    out = pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
+    return len(data).to_bytes(4, "little") + out if len(out) < len(data) else UNPACKED + data
+
+
+UNPACKED = b"\xff" * 4
+
+
+def unzstd(data: bytes) -> bytes:
+    return data[4:] if data[:4] == UNPACKED else pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, chunk) with the text's bytes compressed."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstd(t) for t in as_bytes(batch.column(1))], pa.binary()), batch.column(2)], names=["id", "text", "chunk"])
+
+
+def pack(*arrays: np.ndarray, level: int = LEVEL) -> bytes:
+    """The arrays in one blob: all first bytes of an array's numbers, then all second ones."""
     head = np.array([len(a) * a.itemsize for a in arrays], dtype="<u4").tobytes()
-    data = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstd(head + b"".join(planes), level)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data = pa.decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    data = unzstd(blob)
     at, out = 4 * len(kinds), []
     for size, kind in zip(np.frombuffer(data[:at], dtype="<u4").tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data[at : at + size], dtype=kind))
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data[at : at + size], dtype=np.uint8).reshape(width, size // width).T).view(kind).ravel())
         at += size
     return out
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers of 32 bits as their differences; np.cumsum gives them back."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0)).astype("<u4")
+
+
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bucket, indices in their order) of each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
@@ -172,15 +209,16 @@ def send_anchors(buckets: int):
             distinct = np.unique(key[1].astype(np.int64) * (int(docs[-1]) + 1) + docs) // (int(docs[-1]) + 1)
             many = np.minimum(np.bincount(distinct, minlength=len(key[0])), 255).astype(np.uint8)
             for b, part in by_bucket((key[0] >> np.uint64(32)).astype(np.int64)):
-                rows.append((b, table.column("chunk")[0].as_py(), pack(key[0][part].astype("<u4"), many[part])))
+                rows.append((b, table.column("chunk")[0].as_py(), pack(steps(key[0][part].astype("<u4")), many[part])))
         return table_of(rows, ["bucket", "chunk", "blob"])
 
     return run
 
 
 def name_repeated(table: pa.Table) -> pa.Table:
-    """Step 2: (chunk, bucket, blob of the chunk's hashes that stand in two documents or more, and whether in many)."""
-    got = [unpack(b, "<u4", "u1") for b in table.column("blob").to_pylist()]
+    """Step 2: (chunk, bucket, blob of bits: which of the chunk's hashes stand in two documents or more, and which of these
+    in many)."""
+    got = [(np.cumsum(v, dtype=np.uint32), m) for v, m in (unpack(b, "<u4", "u1") for b in table.column("blob").to_pylist())]
     values, at = np.unique(np.concatenate([v for v, _ in got]), return_inverse=True)
     docs = np.bincount(at, weights=np.concatenate([m for _, m in got]))
     rows, bucket, start = [], table.column("bucket")[0].as_py(), 0
@@ -188,7 +226,7 @@ def name_repeated(table: pa.Table) -> pa.Table:
         n = docs[at[start : start + len(v)]]
         start += len(v)
         if (n > 1).any():
-            rows.append((chunk, bucket, pack(v[n > 1], (n[n > 1] > HOT_DOCUMENTS).astype(np.uint8))))
+            rows.append((chunk, bucket, pack(np.packbits(n > 1), np.packbits(n[n > 1] > HOT_DOCUMENTS))))
     return table_of(rows, ["chunk", "bucket", "blob"])
 
 
@@ -206,9 +244,42 @@ def front_code(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared, keys[np.arange(KEY) >= shared[:, None]]
 
 
+def within(places: np.ndarray) -> np.ndarray:
+    """Which bytes of keys with these places lie within their windows' reach."""
+    byte = np.arange(WIDTH + WINDOWS - 1)
+    first, last = places[:, :1].astype(np.int64) - 1, places[:, 1:].astype(np.int64) - 1
+    return np.where(byte < WIDTH, byte < WIDTH - first, byte < WIDTH + last)
+
+
+def run_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shared lengths, places, rests): sorted keys front-coded, the rests without what the places tell."""
+    shared = front_code(keys)[0]
+    sent = within(keys[:, -2:]) & (np.arange(KEY - 2) >= shared[:, None])
+    return shared, np.ascontiguousarray(keys[:, -2:].T).ravel(), keys[:, :-2][sent]
+
+
+def rests(shared: np.ndarray, places: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """The rests of front_code, of what run_of gives."""
+    keys = np.zeros((len(shared), KEY), dtype=np.uint8)
+    keys[:, -2:] = places.reshape(2, len(shared)).T
+    wide = np.arange(KEY) >= shared[:, None]
+    keys[:, :-2][within(keys[:, -2:]) & wide[:, :-2]] = sent
+    return keys[wide]
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint ascending ranges as the steps of their starts, and their lengths."""
+    return steps(starts), (ends - starts).astype("<u4")
+
+
+def unspanned(begun: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.cumsum(begun, dtype=np.uint32)
+    return starts, starts + long
+
+
 def send_runs(buckets: int):
-    """Step 3: (bucket, chunk, blob of a front-coded run: shared lengths, rests, documents, positions; and bytes of the
-    chunk itself that are known to go: starts, ends)."""
+    """Step 3: (bucket, chunk, blob of a front-coded run: shared lengths, places, rests, documents, positions; and bytes of the
+    chunk itself that are known to go, as spans)."""
 
     def run(docs: pa.Table, named: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -217,15 +288,15 @@ def send_runs(buckets: int):
         own, number = Chunk(docs), docs.column("chunk")[0].as_py()
         at, h, doc = own.anchors()
         bucket, value = short(h, buckets)
+        key = (bucket.astype(np.uint64) << np.uint64(32)) | value
+        distinct = np.unique(key)
+        edges = np.searchsorted(distinct, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         known, hot = [], []
-        for b, blob in zip(named.column("bucket").to_pylist(), named.column("blob").to_pylist(), strict=True):
-            v, m = unpack(blob, "<u4", "u1")
-            known.append((np.uint64(b) << np.uint64(32)) | v.astype(np.uint64))
-            hot.append(m)
+        for b, blob in sorted(zip(named.column("bucket").to_pylist(), named.column("blob").to_pylist(), strict=True)):
+            bits, m = unpack(blob, "u1", "u1")
+            known.append(distinct[edges[b] : edges[b + 1]][np.unpackbits(bits, count=int(edges[b + 1] - edges[b])).astype(bool)])
+            hot.append(np.unpackbits(m, count=len(known[-1])).astype(bool))
         known, hot = np.concatenate(known), np.concatenate(hot)
-        order = np.argsort(known)
-        known, hot = known[order], hot[order].astype(bool)
-        key = (bucket.astype(np.uint64) << np.uint64(32)) | value
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
         is_named = known[place] == key
         at, bucket, doc, hot = at[is_named], bucket[is_named], doc[is_named], hot[place[is_named]]
@@ -249,11 +320,10 @@ def send_runs(buckets: int):
         order = order[new | (ids[order] == ids[order[least]])]  # every place of the smallest document waits for an answer
         for b, part in by_bucket(bucket[order]):
             part = order[part]
-            shared, rest = front_code(keys[part])
-            rows.append((b, number, pack(shared, rest, ids[part].astype("<i8"), at[part].astype("<u4"), *(x[:0] for x in local))))
+            rows.append((b, number, pack(*run_of(keys[part]), ids[part].astype("<i8"), at[part].astype("<u4"), *(x[:0] for x in local), level=RUN_LEVEL)))
         if len(local[0]):
             none = np.zeros(0, np.uint8)
-            rows.append((number % buckets, number, pack(none, none, none, none, *local)))
+            rows.append((number % buckets, number, pack(none, none, none, none.astype("<i8"), none.astype("<u4"), *spans(*local))))
         return table_of(rows, ["bucket", "chunk", "blob"])
 
     return run
@@ -343,24 +413,29 @@ def loser_tree(runs: list[Run]):
 
 
 def combine(table: pa.Table) -> pa.Table:
-    """Step 4: (chunk, blob of starts and ends of bytes to remove)."""
+    """Step 4: (chunk, blob of spans of bytes to remove)."""
     chunks, runs, docs, spots, rows = table.column("chunk").to_pylist(), [], [], [], []
     for number, blob in enumerate(table.column("blob").to_pylist()):
-        shared, rest, ids, at, starts, ends = unpack(blob, "u1", "u1", "<i8", "<u4", "<u4", "<u4")
-        if len(starts):
-            rows.append((chunks[number], pack(starts, ends)))
+        shared, places, sent, ids, at, begun, long = unpack(blob, "u1", "u1", "u1", "<i8", "<u4", "<u4", "<u4")
+        if len(begun):
+            rows.append((chunks[number], pack(begun, long)))
         docs.append(ids)
         spots.append(at)
         if len(shared):
-            runs.append(Run(number, shared, rest))
+            runs.append(Run(number, shared, rests(shared, places, sent)))
     if runs:
-        out = list(loser_tree(runs))
-        number = np.array([x[0] for x in out])
+        keys, common, of, index = bytearray(), bytearray(), array("q"), array("q")
+        for n, i, key, shared in loser_tree(runs):
+            keys += key
+            common.append(shared)
+            of.append(n)
+            index.append(i)
+        number = np.frombuffer(of, dtype=np.int64)
         offset = np.cumsum([0, *map(len, docs)])
-        flat = offset[number] + np.array([x[1] for x in out])
-        starts, ends, entry = decide(np.frombuffer(b"".join([x[2] for x in out]), dtype=np.uint8).reshape(len(out), KEY), np.array([x[3] for x in out]), np.concatenate(docs)[flat], np.concatenate(spots)[flat].astype(np.int64))
+        flat = offset[number] + np.frombuffer(index, dtype=np.int64)
+        starts, ends, entry = decide(np.frombuffer(keys, dtype=np.uint8).reshape(len(number), KEY), np.frombuffer(common, dtype=np.uint8), np.concatenate(docs)[flat], np.concatenate(spots)[flat].astype(np.int64))
         for chunk, part in by_bucket(np.array(chunks)[number[entry]]) if len(entry) else []:
-            rows.append((chunk, pack(*merged(starts[part], ends[part]))))
+            rows.append((chunk, pack(*spans(*merged(starts[part], ends[part])))))
     return table_of(rows, ["chunk", "blob"])
 
 
@@ -396,7 +471,7 @@ def cut_out(docs: pa.Table, gone: pa.Table) -> pa.Table:
     own = Chunk(docs)
     change = np.zeros(len(own.buffer) + 1, dtype=np.int32)
     for blob in gone.column("blob").to_pylist():
-        starts, ends = unpack(blob, "<u4", "<u4")
+        starts, ends = unspanned(*unpack(blob, "<u4", "<u4"))
         np.add.at(change, starts, 1)
         np.add.at(change, ends, -1)
     covered = np.cumsum(change[:-1]) > 0
@@ -420,8 +495,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     byte ranges of the input. Ids are integers."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (SPREAD * CHUNK_BYTES)))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(SPREAD * n)).cast("long"))
+    n = max(1, min(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-size // (SPREAD * CHUNK_BYTES)))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(SPREAD * n)).cast("long")).mapInArrow(squeeze, "id long, text binary, chunk long")
     anchors = docs.groupBy("chunk").applyInArrow(send_anchors(n), "bucket long, chunk long, blob binary")
     named = anchors.groupBy("bucket").applyInArrow(name_repeated, "chunk long, bucket long, blob binary")
     runs = docs.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(send_runs(n), "bucket long, chunk long, blob binary")
