@@ -287,6 +287,38 @@ def test_every_passage_of_changed_lines_that_stand_singly(spark):
     assert star <= pairs(every=True) == want
 
 
+def test_the_query_meets_all_earlier_documents(spark, tmp_path, monkeypatch):
+    """Changed passages whose seeds all stand singly elsewhere are found by the query, hot seeds' pieces and all."""
+    from tidemark.llm.queries import QUERIES
+
+    rng = random.Random(43)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for trial in range(6):
+        lines = [words(12) for _ in range(6)]
+        alone = lambda: [words(20) + line[:11] + words(20) for line in lines]
+        changed = [w for line in lines for w in line[:11] + words(1)]
+        texts = [*alone(), words(9) + [w for line in lines for w in line] + words(9), *alone(), words(7) + changed + words(30)]
+        rows += [(100 * trial + i, " ".join(text), "a") for i, text in enumerate(texts)]
+        want.add((100 * trial + 13, 100 * trial + 6))
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = lambda: {(r.doc_id, r.first_doc_id) for r in QUERIES["op3_fuzzy_passages"](spark, str(tmp_path)).collect()}
+    assert found() == want
+    docs = frame(spark, rows).selectExpr("doc_id AS doc", "text")
+    matches = lambda: Counter(tuple(r) for r in chain_dedup.all_matches(docs).collect())
+    whole = matches()
+    for name, value in (("HOT_SAMPLE", 1.0), ("HOT_ROWS", 2), ("PIECE_PAIRS", 1), ("PAIRS_AT_ONCE", 3)):
+        monkeypatch.setattr(chain_dedup, name, value)
+    assert max(chain_dedup.hot_pairs(docs).values()) > 1 and matches() == whole and found() == want
+    plain, places = {}, Counter()
+    for doc, text, _ in sorted(rows):
+        _, seed, place = chain_dedup.seeds([text.encode().split()])
+        for s, p in zip(seed.tolist(), place.tolist()):
+            places.update((doc, other, p, q) for other, q in plain.get(s, ()) if other != doc)
+            plain.setdefault(s, []).append((doc, p))
+    assert whole == places
+
+
 @pytest.mark.parametrize(("span", "many"), [(40, 12), (300, 25), (300, 120), (2000, 150)])
 def test_chains_are_the_best(span, many):
     """Against all pairs of matches, gaps over the limit among them."""
